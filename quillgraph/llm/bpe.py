@@ -41,6 +41,8 @@ class Merges:
         self.to_symbols = {i: c for i, c in enumerate(self.alphabet)}
         self.bytes_of = {c: i for i, c in enumerate(self.alphabet)}
         self.longest = max(len(t.removesuffix(self.suffix) if self.suffix else t) for t in self.ids)
+        self.raw = {i: bytes(self.bytes_of[c] for c in t) for t, i in self.ids.items() if all(c in self.bytes_of for c in t)}
+        self.raw |= {i: t.encode() for t, i in self.special.items()}
         self._whole: dict[str, bool] = {}
         self._valid: dict[tuple[str, str], bool] = {}
 
@@ -179,8 +181,7 @@ class Decoder:
     """Ids to text, in pieces: bytes of an unfinished character wait for the next id."""
 
     def __init__(self, merges: Merges) -> None:
-        self.bytes = {i: bytes(merges.bytes_of[c] for c in t) for t, i in merges.ids.items() if all(c in merges.bytes_of for c in t)}
-        self.bytes |= {i: t.encode() for t, i in merges.special.items()}
+        self.bytes = merges.raw
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> str:
