@@ -8,6 +8,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op2_pii_crf": "pii_crf",
     "op6_lang_rank": "lang_rank",
     "op7_odd_sketch": "near_dedup",
     "op8_token_prefix": "token_prefix",
