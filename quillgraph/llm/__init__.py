@@ -10,6 +10,7 @@ import importlib
 MODULES = {
     "op2_pii_crf": "pii_crf",
     "op3_quality_weak": "quality_weak",
+    "op5_license_join": "license_join",
     "op6_lang_rank": "lang_rank",
     "op7_odd_sketch": "near_dedup",
     "op8_token_prefix": "token_prefix",
