@@ -10,6 +10,7 @@ import importlib
 MODULES = {
     "op2_pii_crf": "pii_crf",
     "op3_quality_weak": "quality_weak",
+    "op4_lm_mixing": "lm_mixing",
     "op5_license_join": "license_join",
     "op6_lang_rank": "lang_rank",
     "op7_odd_sketch": "near_dedup",
