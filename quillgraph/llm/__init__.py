@@ -8,6 +8,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op1_html_wrapper": "html_wrapper",
     "op2_pii_crf": "pii_crf",
     "op3_quality_weak": "quality_weak",
     "op4_lm_mixing": "lm_mixing",
