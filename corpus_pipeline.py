@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe_stream, decontaminate
+from quillgraph.llm import bpe_stream, decontaminate, lang_rank, near_dedup, pii_crf
 from quillgraph.session import stored
 
 STAGES = [
-    ("benchmark_decontamination", lambda spark, docs, sf_dir: decontaminate.stage(spark, docs, sf_dir)),
-    ("bpe_encoding", lambda spark, docs, sf_dir: bpe_stream.stage(spark, docs, sf_dir)),
+    ("language_id", lang_rank.stage),
+    ("near_dedup", near_dedup.stage),
+    ("decontamination", decontaminate.stage),
+    ("pii", pii_crf.stage),
+    ("bpe", bpe_stream.stage),
 ]
 
-#: Not expressible in SQL (shingle components, a trained tagger, merges); tested against brute force.
+#: Not expressible in SQL (rank distances, shingle components, a trained tagger, merges); tested against brute force.
 ORACLE_SQL = None
 
 
