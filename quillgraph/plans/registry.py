@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import table_queries, text_queries
+from .common import QUERIES, SQL
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the triple extractor is in."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    """What English documents state, by relation."""
+    english = text_queries.docs(spark, sf_dir, "doc_id", "lang", "text").where("lang = 'en'").drop("lang")
+    return text_queries.tr.extract(english).groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("n_subjects"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["flagship", "oracle_sql", "queries", "table_queries"]
