@@ -10,13 +10,16 @@ from __future__ import annotations
 import codecs
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import regex
 
 #: White space as Unicode defines it (Python's own classes also hold U+001C to U+001F).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+#: The rank of pairs that no merge joins.
+NEVER = 1 << 60
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one from U+0100."""
@@ -43,7 +46,6 @@ class Merges:
         self.longest = max(len(t.removesuffix(self.suffix) if self.suffix else t) for t in self.ids)
         self.raw = {i: bytes(self.bytes_of[c] for c in t) for t, i in self.ids.items() if all(c in self.bytes_of for c in t)}
         self.raw |= {i: t.encode() for t, i in self.special.items()}
-        self._whole: dict[str, bool] = {}
         self._valid: dict[tuple[str, str], bool] = {}
 
     @property
@@ -57,16 +59,16 @@ class Merges:
 
     def merged(self, parts: list[str]) -> list[str]:
         """The lowest-ranked pair is joined, leftmost first, until no pair has a rank."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get((parts[i], parts[i + 1]))
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        rank_of = self.ranks.get
+        ranks = [rank_of(pair, NEVER) for pair in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < NEVER:
+            at = ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of((parts[at - 1], parts[at]), NEVER)
+            if at < len(ranks):
+                ranks[at] = rank_of((parts[at], parts[at + 1]), NEVER)
         return parts
 
     def parts(self, token: str) -> list[str]:
@@ -76,14 +78,10 @@ class Merges:
             return [*body[:-1], body[-1] + self.suffix]
         return list(token)
 
-    def whole(self, token: str) -> bool:
-        """The token is in the vocabulary and the merges make it from its symbols."""
-        if token not in self.ids:
-            return False
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merged(self.parts(token)) == [token]
-        return known
+    @cached_property
+    def whole(self) -> frozenset[str]:
+        """Tokens that the merges make from their symbols: others never occur in an encoding."""
+        return frozenset(t for t in self.ids if self.merged(self.parts(t)) == [t])
 
     def valid(self, left: str, right: str) -> bool:
         """The two tokens may stand side by side."""
@@ -97,11 +95,11 @@ class Merges:
     def last_tokens(self, symbols: str) -> tuple[list[str], list[int]]:
         """For each prefix, without the end of word: its last token and its token count; entry 0 is the empty prefix."""
         last, count, longest = [""], [0], self.longest
-        ids, whole, valid, known = self.ids, self.whole, self.valid, self._valid
+        whole, valid, known = self.whole, self.valid, self._valid
         for end in range(1, len(symbols) + 1):
             for start in range(max(0, end - longest), end):
                 token = symbols[start:end]
-                if token in ids and whole(token):
+                if token in whole:
                     before = last[start]
                     ok = not start or known.get((before, token))
                     if ok or ok is None and valid(before, token):
@@ -120,7 +118,7 @@ class Merges:
             return count[end]
         for start in range(max(0, end - self.longest), end):
             token = symbols[start:end] + self.suffix
-            if token in self.ids and self.whole(token) and (not start or self.valid(last[start], token)):
+            if token in self.whole and (not start or self.valid(last[start], token)):
                 return count[start] + 1
         raise ValueError("no token ends the word")
 
@@ -145,7 +143,7 @@ class Transducer:
             for start in range(max(0, end - m.longest), end):
                 token = self.window[start:end]
                 before = self.last[start] if start else self.base
-                if m.whole(token) and (not before or m.valid(before, token)):
+                if token in m.whole and (not before or m.valid(before, token)):
                     self.last.append(token)
                     break
             if end >= 2 * m.longest and not end % m.longest:

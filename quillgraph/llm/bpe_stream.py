@@ -27,8 +27,8 @@ from . import bpe
 from .common import table, texts, with_columns
 
 FILE = "byte_bpe_50k.json"
-#: Entries of a worker's table, and characters of a piece that goes there.
-TABLE_SIZE, PIECE_SIZE = 300_000, 48
+#: Entries of each of a worker's tables, and characters of a piece that goes there.
+TABLE_SIZE, PIECE_SIZE = 400_000, 48
 
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{bpe.WS}\p{{L}}\p{{N}}]+|[{bpe.WS}]+(?![^{bpe.WS}])|[{bpe.WS}]+")
 CUT = re.compile(rf" (?<=[^{bpe.WS}] )(?=[^{bpe.WS}])")
@@ -41,12 +41,20 @@ class Pieces(dict):
         super().__init__()
         self.merges, self.lead = bpe.load(path), lead
         self.stream, self.decoder = bpe.Transducer(self.merges), bpe.Decoder(self.merges)
+        self.pretokens: dict[str, list[int]] = {}
 
     def ids(self, pretoken: str) -> list[int]:
-        m, raw = self.merges, pretoken.encode("utf-8", "surrogatepass")
-        if len(raw) <= m.lookahead:
-            return [m.ids[t] for t in m.merged(list(m.symbols(raw)))]
-        return [*self.stream.feed(raw), *self.stream.finish()]
+        found = self.pretokens.get(pretoken)
+        if found is None:
+            m, raw = self.merges, pretoken.encode("utf-8", "surrogatepass")
+            if len(raw) > m.lookahead:
+                return [*self.stream.feed(raw), *self.stream.finish()]
+            found = [m.ids[t] for t in m.merged(list(m.symbols(raw)))]
+            if len(pretoken) <= PIECE_SIZE:
+                if len(self.pretokens) >= TABLE_SIZE:
+                    self.pretokens.clear()
+                self.pretokens[pretoken] = found
+        return found
 
     def __missing__(self, piece: str) -> tuple[str, str]:
         ids = [i for p in PRETOKEN.findall(self.lead + piece) for i in self.ids(p)]
