@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import table_queries, text_queries
+from . import model_queries, table_queries, text_queries
 from .common import QUERIES, SQL
 
 
@@ -25,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["flagship", "oracle_sql", "queries", "table_queries"]
+__all__ = ["flagship", "model_queries", "oracle_sql", "queries", "table_queries"]
