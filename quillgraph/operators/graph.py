@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ranking import ranked
+
 
 def entity_frequency(triples: DataFrame) -> DataFrame:
     """entity, freq: places as subject and as object."""
@@ -20,12 +23,9 @@ def frequency_summary(freq: DataFrame) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, column: str) -> DataFrame:
-    """column and its place in sorted order from 0. Ranks are made within ranges of values and then offset, so no task sees them all."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("part").orderBy(column))
-    counts = values.groupBy("part").agg(F.count("*").alias("size"))
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return values.withColumn("local", local).join(F.broadcast(offsets), "part").select(column, (F.col("local") + F.col("offset") - 1).alias("id"))
+    """column and its place in sorted order from 0."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return ranked(values, None, [F.col(column)], "id").select(column, (F.col("id") - 1).alias("id"))
 
 
 def scaled(vectors: DataFrame, freq: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -50,8 +50,6 @@ def pair_features(triples: DataFrame, vectors: DataFrame, width: int) -> DataFra
 
 def ancestors(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """class, ancestor, depth over subclass edges (child, parent): joined step by step until nothing is new. Cycles end at the first repeat."""
-    from ..session import cut
-
     own = edges.select("child", "parent").distinct()
     found = cut(own.select(F.col("child").alias("class"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
     last = found

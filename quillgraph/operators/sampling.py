@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def draw_key(seed: int, key: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")))
@@ -23,8 +25,9 @@ def shares(df: DataFrame, key: str) -> DataFrame:
 def stratified(df: DataFrame, stratum: str, key: str, target: int, seed: int = 42) -> DataFrame:
     """max(1, int(n * target / total)) rows of each stratum."""
     total = df.count()
-    quota = F.greatest(F.lit(1), F.floor(F.col("stratum_n") * F.lit(min(1.0, target / max(1, total)))))
-    return _take(df, stratum, key, quota, seed)
+    quota = F.greatest(F.lit(1), F.floor(F.col("group_size") * F.lit(min(1.0, target / max(1, total)))))
+    drawn = ranked(df, stratum, [draw_key(seed, key), F.col(key)], "draw")
+    return drawn.where(F.col("draw") <= F.least(quota, F.col("group_size"))).drop("draw", "group_size")
 
 
 def proportional(df: DataFrame, stratum: str, key: str, target: int, seed: int = 42) -> DataFrame:
@@ -35,14 +38,8 @@ def proportional(df: DataFrame, stratum: str, key: str, target: int, seed: int =
     largest = F.row_number().over(every.orderBy(F.desc("n"), stratum)) == 1
     rest = F.lit(target) - F.sum("quota").over(every)
     quotas = quotas.select(F.col(stratum), (F.col("quota") + F.when(largest, rest).otherwise(0)).alias("quota"))
-    ranked = df.withColumn("draw", F.row_number().over(Window.partitionBy(stratum).orderBy(draw_key(seed, key), key)))
-    return ranked.join(quotas, stratum).where("draw <= quota").drop("draw", "quota")
-
-
-def _take(df: DataFrame, stratum: str, key: str, quota: Column, seed: int) -> DataFrame:
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumn("stratum_n", F.count("*").over(w)).withColumn("draw", F.row_number().over(w.orderBy(draw_key(seed, key), key)))
-    return ranked.where(F.col("draw") <= F.least(quota, F.col("stratum_n"))).drop("draw", "stratum_n")
+    drawn = ranked(df, stratum, [draw_key(seed, key), F.col(key)], "draw")
+    return drawn.join(quotas, stratum).where("draw <= quota").drop("draw", "quota", "group_size")
 
 
 def top_classes(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -53,15 +50,14 @@ def top_classes(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """train or test, the share held in each label."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(draw_key(seed, key), key))
-    return df.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * test_share), "test").otherwise("train"))
+    drawn = ranked(df, label, [draw_key(seed, key), F.col(key)], "draw")
+    return drawn.withColumn("split", F.when(F.col("draw") <= F.floor(F.col("group_size") * test_share), "test").otherwise("train")).drop("draw", "group_size")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 10, seed: int = 42) -> DataFrame:
     """A fold number for each row, even within each label."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(draw_key(seed, key), key))
-    return df.withColumn("fold", (place - 1) % k)
+    drawn = ranked(df, label, [draw_key(seed, key), F.col(key)], "draw")
+    return drawn.withColumn("fold", ((F.col("draw") - 1) % k).cast("int")).drop("draw", "group_size")
 
 
 def split_graph(triples: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -79,7 +75,7 @@ def split_graph(triples: DataFrame, key: str, test_share: float = 0.2, seed: int
 
 def fill_quota(df: DataFrame, category: str, order: str, quota: int) -> DataFrame:
     """The first rows of each category in order, up to the quota."""
-    place = F.row_number().over(Window.partitionBy(category).orderBy(order))
+    place = F.row_number().over(Window.partitionBy(category).orderBy(order))  # a constant bound: each task keeps its first rows before the shuffle
     return df.withColumn("place", place).where(F.col("place") <= quota)
 
 
