@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import LOWER, UPPER, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,19 +72,18 @@ def base(docs: DataFrame) -> DataFrame:
     return out.drop("spaced")
 
 
-def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """row and the template words of each line, in the order of the vocabulary."""
-    own = F.array(*[F.lit(w) for w in vocabulary])
+def blocks(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """row and the template words of each line that has any, written once: counted first, then joined."""
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, t in templates for w in t.split()})])
     lines = docs.select("row", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("row", F.array_intersect(own, words_of(F.col("line"))).alias("tokens"))
+    return stored(lines.select("row", F.array_intersect(vocabulary, words_of(F.col("line"))).alias("tokens")).where(F.size("tokens") > 0))
 
 
-def global_order(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
+def global_order(found: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
     """Template words, the ones in fewest blocks first, equals by name."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    counted = blocks(docs, vocabulary).select(F.explode("tokens").alias("token")).groupBy("token").count()
-    found = {r.token: r["count"] for r in counted.collect()}  # as many rows as the vocabulary at most
-    return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
+    counted = found.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    n = {r.token: r["count"] for r in counted.collect()}  # as many rows as template words at most
+    return sorted({w for _, t in templates for w in t.split()}, key=lambda w: (n.get(w, 0), w))
 
 
 def needed(size: int) -> int:
@@ -94,7 +94,8 @@ def needed(size: int) -> int:
 def matches(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     """(row, label, containment) of every block and template that meet the threshold; docs: row, text."""
     spark = docs.sparkSession
-    order = global_order(docs, templates)
+    every = blocks(docs, templates)
+    order = global_order(every, templates)
     rank = {w: i for i, w in enumerate(order)}
     rows, index = [], []
     for number, (label, text) in enumerate(templates):
@@ -106,7 +107,8 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     full = one.select(F.inline(F.array(*rows)))
     prefixes = one.select(F.inline(F.array(*index))).join(full, "template")
     shortest = min(needed(len(set(t.split()))) for _, t in templates)
-    own = blocks(docs, order).where(F.size("tokens") >= shortest)
+    ranked = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("tokens"))
+    own = every.where(F.size("tokens") >= shortest).select("row", ranked.alias("tokens"))
     prefix = own.select("row", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - shortest + 1)).alias("at_b", "token"))
     joined = prefix.join(F.broadcast(prefixes), "token")  # a constant table
     length = F.size("tokens") >= F.col("least")
