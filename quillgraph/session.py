@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     builder = (
@@ -45,4 +48,13 @@ def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: columnar, splittable and prunable, unlike a checkpoint."""
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_stored(spark: SparkSession) -> None:
+    """Deletes what stored() has written in this process. For a caller that is done with the results."""
+    for path in _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.clear()
