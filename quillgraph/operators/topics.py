@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -73,6 +76,60 @@ def umass(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     return scored.groupBy("topic").agg(F.avg(value).alias("coherence"))
 
 
+def _window_counts(batches: Iterator[pa.RecordBatch], index: dict[str, int], width: int) -> Iterator[pa.RecordBatch]:
+    total, windows = np.zeros((len(index), len(index)), np.int64), 0
+    for batch in batches:
+        for tokens in batch.column("tokens").to_pylist():
+            places: dict[int, list[int]] = {}
+            for i, t in enumerate(tokens or []):
+                if t in index:
+                    places.setdefault(index[t], []).append(i)
+            n = max(1, len(tokens or []) - width + 1)
+            windows += n
+            inside = np.zeros((len(places), n + 1), np.int64)
+            for row, own in enumerate(places.values()):
+                for i in own:
+                    inside[row, max(0, i - width + 1)] += 1
+                    inside[row, min(i, n - 1) + 1] -= 1
+            held = (np.cumsum(inside, axis=1)[:, :n] > 0).astype(np.int64)
+            terms = np.array(list(places), np.int64)
+            if len(terms):
+                total[np.ix_(terms, terms)] += held @ held.T
+    a, b = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(a, -1)), pa.array(np.append(b, -1)), pa.array(np.append(total[a, b], windows))], names=["a", "b", "n"])
+
+
+def c_v(terms: DataFrame, docs: DataFrame, width: int = 110) -> dict[int | str, float]:
+    """topic to coherence: the mean cosine of each term's vector of normalised pointwise information with the topic's, over sliding windows.
+
+    terms: topic, rank, term, a top list for each topic, so its size and the pair counts that come back are bounded by
+    it; docs: tokens in order.
+    """
+    lists: dict[int | str, list[str]] = {}
+    for r in terms.orderBy("topic", "rank").collect():
+        lists.setdefault(r.topic, []).append(r.term)
+    index = {t: i for i, t in enumerate(sorted({t for own in lists.values() for t in own}))}
+    counted = docs.select("tokens").mapInArrow(lambda batches: _window_counts(batches, index, width), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    n = np.zeros((len(index), len(index)))
+    windows = 1
+    for r in counted.collect():
+        if r.a < 0:
+            windows = max(1, r.n)
+        else:
+            n[r.a, r.b] = r.n
+    tiny, p = 1e-12, n / windows
+    single = np.diag(p)
+    joint = p + tiny
+    information = np.log(joint / np.maximum(np.outer(single, single), tiny)) / -np.log(joint)
+    out = {}
+    for topic, own in lists.items():
+        v = information[np.ix_([index[t] for t in own], [index[t] for t in own])]
+        whole = v.sum(axis=0)
+        size = np.linalg.norm(v, axis=1) * np.linalg.norm(whole)
+        out[topic] = float(np.mean(np.divide(v @ whole, size, out=np.zeros(len(own)), where=size > 0)))
+    return out
+
+
 def best(results: DataFrame, n: int = 10) -> DataFrame:
     """The first n by coherence; equals in grid order."""
     return results.orderBy(F.desc("coherence"), "grid_id").limit(n).withColumn("place", F.row_number().over(Window.orderBy(F.desc("coherence"), "grid_id")))

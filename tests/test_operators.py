@@ -185,6 +185,19 @@ def test_grid_priors():
     assert callable(classify.linear)
 
 
+def test_sliding_window_coherence(spark):
+    docs = [["a", "b", "x", "a", "c"], ["c"], [], ["b", "b", "a"]]
+    terms = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (1, 1, "zz")], "topic int, rank int, term string")
+    got = topics.c_v(terms, spark.createDataFrame([(d,) for d in docs], "tokens array<string>"), width=2)
+    windows = [set(d[i : i + 2]) for d in docs for i in range(max(1, len(d) - 1))]
+    p = lambda *w: sum(set(w) <= x for x in windows) / len(windows)
+    info = lambda x, y: np.log((p(x, y) + 1e-12) / max(p(x) * p(y), 1e-12)) / -np.log(p(x, y) + 1e-12)
+    v = np.array([[info(x, y) for y in "ab"] for x in "ab"])
+    whole = v.sum(0)
+    assert got[0] == pytest.approx(np.mean(v @ whole / (np.linalg.norm(v, axis=1) * np.linalg.norm(whole))))
+    assert got[1] == pytest.approx(0.5)  # a term that never occurs agrees with nothing
+
+
 def test_files(spark, tmp_path):
     corpus = spark.createDataFrame([("One; two\nthree \"x\"", "a"), ("", "b")], "text string, category string")
     files.write_corpus(corpus, f"{tmp_path}/corpus")
