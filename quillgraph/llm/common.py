@@ -43,6 +43,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that what a step makes of one stays small."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo: the fold of a row. A null key counts as the empty text."""
     c = F.col(column) if isinstance(column, str) else column

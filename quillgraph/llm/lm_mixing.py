@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import mixing
-from .common import crc_mod, space_words, table, texts_as_bytes
+from .common import crc_mod, slices, space_words, table, texts_as_bytes
 
 FOLDS = 10
 HOT_WORDS = 500_000
 #: The end of a text as a token: no word is empty.
 END = b""
-#: Distinct words that a task holds before it hands their counts on.
-HELD = 300_000
+#: Distinct words and grams that a task holds before it hands their counts on.
+HELD, HELD_GRAMS = 300_000, 3_000_000
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,12 +58,27 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of a task with counts; more than HELD_GRAMS distinct ones are handed on and begun anew."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[low : low + 100_000].astype(np.int64)), pa.array(n[low : low + 100_000].astype(np.int64))], names=["gram", "n"])
+
+    merge = lambda: mixing.counted(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
     for batch in batches:
-        parts = [mixing.counted(keys) for keys, _ in mixing.windows(texts_as_bytes(batch))]
-        if len(parts) > 1:
-            parts = [mixing.counted(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))]
-        for keys, n in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+        for keys, _ in mixing.windows(texts_as_bytes(batch)):
+            parts.append(mixing.counted(keys))
+            size += len(parts[-1][0])
+            if size > HELD_GRAMS:
+                parts = [merge()]
+                size = len(parts[0][0])
+                if size > HELD_GRAMS // 2:
+                    yield from out(*parts[0])
+                    parts, size = [], 0
+    if parts:
+        yield from out(*merge())
 
 
 def _grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +126,7 @@ def learn(train: DataFrame, rounds: int = 2) -> mixing.Scorer:
 
         sums = columns(grams.mapInArrow(weigh, "cell int, a double, b double").groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
         mixer.weights.ravel()[sums["cell"]] = sums["a"] / sums["b"]
+        shared.destroy()
     shared = context.broadcast(mixer)
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +141,7 @@ def learn(train: DataFrame, rounds: int = 2) -> mixing.Scorer:
 
     sums = columns(grams.mapInArrow(observe, "cell int, a double, b double").groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     mixer.hits[sums["cell"]], mixer.seen[sums["cell"]] = sums["a"], sums["b"]
+    shared.destroy()
     return mixer.compact()
 
 
@@ -149,7 +166,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = words.value.get
-        for batch in batches:
+        for batch in slices(batches, 2000):
             raws = list(texts_as_bytes(batch))
             n, known, sums = [], [], []
             for raw in raws:
@@ -168,7 +185,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each batch, words that aren't hot and the rows that hold them, as often as they do."""
         known = words.value
-        for batch in batches:
+        for batch in slices(batches, 4000):
             held: dict[bytes, list[int]] = {}
             for row, raw in zip(batch.column("row").to_pylist(), texts_as_bytes(batch), strict=True):
                 own = space_words(raw)

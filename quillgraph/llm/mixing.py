@@ -17,10 +17,12 @@ import numpy as np
 ORDERS = 6
 #: Bytes of a gram: the longest context and the byte that follows.
 GRAM = ORDERS
-SLOT_BITS = 20
+SLOT_BITS = 18
 SLOTS = ORDERS << SLOT_BITS
 END, PAD = b"\xff", b"\0" * (GRAM - 1)
-CHUNK = 6 << 20
+CHUNK = 2 << 20
+#: Grams whose cost a scorer keeps, and texts of a piece (their number shares a word with the gram).
+KNOWN, MOST_TEXTS = 1_500_000, 1 << 16
 LEVELS = (1, 4, 32)
 GATES = ORDERS * len(LEVELS)
 BUCKETS, REACH = 33, 8.0
@@ -67,7 +69,7 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
         keys = np.sort(keys)
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         return keys[first], np.diff(np.append(first, len(keys)))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(weights, first)
@@ -161,6 +163,7 @@ class Scorer(Mixer):
         self.odds = np.clip(np.log((mixer.ones + _PRIOR) / (mixer.zeros + _PRIOR)), -REACH, REACH).astype(np.float32)
         self.level = np.searchsorted(LEVELS, mixer.zeros + mixer.ones, side="right").astype(np.int8)
         self.weights = mixer.weights
+        self.known, self.cost = np.empty(0, np.uint64), np.empty(0)
         centre = np.tile(np.linspace(-REACH, REACH, BUCKETS), GATES * 8)
         self.refined = (mixer.hits + 20 / (1 + np.exp(-centre))) / (mixer.seen + 20)
 
@@ -191,14 +194,33 @@ class Scorer(Mixer):
                 out[low : low + len(part)] -= np.log2(np.where(bit_of(part, turn) == 1, p, 1 - p))
         return out
 
+    def known_bits(self, keys: np.ndarray) -> np.ndarray:
+        """As bits() for sorted distinct grams, most of which have been seen before."""
+        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
+        out = np.empty(len(keys))
+        fresh = self.known[at] != keys if len(self.known) else np.ones(len(keys), bool)
+        if not fresh.all():
+            out[~fresh] = self.cost[at[~fresh]]
+        if fresh.any():
+            out[fresh] = self.bits(keys[fresh])
+            if len(self.known) + fresh.sum() > KNOWN:
+                self.known, self.cost = keys, out.copy()
+            else:
+                merged = np.concatenate([self.known, keys[fresh]])
+                order = np.argsort(merged, kind="stable")
+                self.known, self.cost = merged[order], np.concatenate([self.cost, out[fresh]])[order]
+        return out
+
     def text_bits(self, docs: list[bytes]) -> np.ndarray:
         """Bits of each text with its end."""
         out = np.zeros(len(docs))
-        for keys, owner in windows(docs):
-            order = np.argsort(keys)
-            ordered = keys[order]
-            fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-            cost = np.empty(len(keys))
-            cost[order] = self.bits(ordered[fresh])[np.cumsum(fresh) - 1]
-            out += np.bincount(owner, cost, len(docs))
+        for low in range(0, len(docs), MOST_TEXTS):
+            part = docs[low : low + MOST_TEXTS]
+            for keys, owner in windows(part):
+                both = (keys << np.uint64(16)) | owner.astype(np.uint64)  # a gram has 48 bits
+                both.sort()
+                keys = both >> np.uint64(16)
+                first = np.concatenate(([True], keys[1:] != keys[:-1]))
+                cost = self.known_bits(keys[first])[np.cumsum(first) - 1]
+                out[low : low + len(part)] += np.bincount((both & np.uint64(MOST_TEXTS - 1)).astype(np.int64), cost, len(part))
         return out
