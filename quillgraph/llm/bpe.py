@@ -123,6 +123,28 @@ class Merges:
         raise ValueError("no token ends the word")
 
 
+class Bounded(dict):
+    """A table of computed values in two halves: a full one becomes the older, so that what is used often stays."""
+
+    def __init__(self, size: int, longest: int) -> None:
+        super().__init__()
+        self.size, self.longest, self.older = size, longest, {}
+
+    def make(self, key: str):
+        raise NotImplementedError
+
+    def __missing__(self, key: str):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Transducer:
     """Encodes one pretoken that arrives in pieces. A token is emitted once every start that a later token can still have
     agrees on it; the window that is kept is as long as the lookahead and what is not yet agreed on."""

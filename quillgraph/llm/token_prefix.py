@@ -30,8 +30,8 @@ from .common import table, texts, with_columns
 
 FILE = "word_bpe_49k.json"
 LIMIT = 2048
-#: Entries of a worker's table, and characters of a piece that goes there.
-TABLE_SIZE, PIECE_SIZE = 600_000, 48
+#: Entries of each half of a worker's tables, and characters of a piece that goes there.
+TABLE_SIZE, PIECE_SIZE = 400_000, 48
 
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{bpe.WS}\p{{L}}\p{{N}}]+")
 SPACE = re.compile(f"[{bpe.WS}]+")
@@ -46,23 +46,28 @@ def word_counts(word: str, merges: bpe.Merges) -> list[int]:
     return [merges.closed(symbols, last, count, end) for end in range(len(symbols) + 1)]
 
 
-class Pieces(dict):
-    """piece without white space -> its tokens."""
+class Words(bpe.Bounded):
+    """word -> its tokens: the last entry of its table."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
+        super().__init__(TABLE_SIZE, PIECE_SIZE)
         self.merges = bpe.load(path)
 
-    def __missing__(self, piece: str) -> int:
-        total, m = 0, self.merges
-        for word in PRETOKEN.findall(piece):
-            symbols = m.symbols(word.encode("utf-8", "surrogatepass"))
-            total += m.closed(symbols, *m.last_tokens(symbols), len(symbols))
-        if len(piece) <= PIECE_SIZE:
-            if len(self) >= TABLE_SIZE:
-                self.clear()
-            self[piece] = total
-        return total
+    def make(self, word: str) -> int:
+        m = self.merges
+        symbols = m.symbols(word.encode("utf-8", "surrogatepass"))
+        return m.closed(symbols, *m.last_tokens(symbols), len(symbols))
+
+
+class Pieces(bpe.Bounded):
+    """piece without white space -> its tokens."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(TABLE_SIZE, PIECE_SIZE)
+        self.words = Words(path)
+
+    def make(self, piece: str) -> int:
+        return sum(map(self.words.__getitem__, PRETOKEN.findall(piece)))
 
 
 _pieces: dict[str, Pieces] = {}
