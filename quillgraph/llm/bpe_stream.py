@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -24,46 +26,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import table, texts, with_columns
+from .common import slices, table, texts, with_columns
 
 FILE = "byte_bpe_50k.json"
-#: Entries of each of a worker's tables, and characters of a piece that goes there.
-TABLE_SIZE, PIECE_SIZE = 400_000, 48
+#: Entries of each half of a worker's tables, and characters of a piece that goes there.
+TABLE_SIZE, PIECE_SIZE = 250_000, 48
 
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{bpe.WS}\p{{L}}\p{{N}}]+|[{bpe.WS}]+(?![^{bpe.WS}])|[{bpe.WS}]+")
 CUT = re.compile(rf" (?<=[^{bpe.WS}] )(?=[^{bpe.WS}])")
 
 
-class Pieces(dict):
+class Pretokens(bpe.Bounded):
+    """pretoken -> ids."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(TABLE_SIZE, PIECE_SIZE)
+        self.merges = bpe.load(path)
+        self.stream = bpe.Transducer(self.merges)
+
+    def make(self, pretoken: str) -> list[int]:
+        m, raw = self.merges, pretoken.encode("utf-8", "surrogatepass")
+        if len(raw) <= m.lookahead:
+            return [m.ids[t] for t in m.merged(list(m.symbols(raw)))]
+        return [*self.stream.feed(raw), *self.stream.finish()]
+
+
+class Pieces(bpe.Bounded):
     """piece -> (comma-joined ids, decoded text)."""
 
     def __init__(self, path: str, lead: str) -> None:
-        super().__init__()
-        self.merges, self.lead = bpe.load(path), lead
-        self.stream, self.decoder = bpe.Transducer(self.merges), bpe.Decoder(self.merges)
-        self.pretokens: dict[str, list[int]] = {}
-
-    def ids(self, pretoken: str) -> list[int]:
-        found = self.pretokens.get(pretoken)
-        if found is None:
-            m, raw = self.merges, pretoken.encode("utf-8", "surrogatepass")
-            if len(raw) > m.lookahead:
-                return [*self.stream.feed(raw), *self.stream.finish()]
-            found = [m.ids[t] for t in m.merged(list(m.symbols(raw)))]
-            if len(pretoken) <= PIECE_SIZE:
-                if len(self.pretokens) >= TABLE_SIZE:
-                    self.pretokens.clear()
-                self.pretokens[pretoken] = found
-        return found
-
-    def __missing__(self, piece: str) -> tuple[str, str]:
-        ids = [i for p in PRETOKEN.findall(self.lead + piece) for i in self.ids(p)]
-        found = ",".join(map(str, ids)), self.decoder.feed(ids) + self.decoder.finish()
-        if len(piece) <= PIECE_SIZE:
-            if len(self) >= TABLE_SIZE:
-                self.clear()
-            self[piece] = found
-        return found
+        super().__init__(TABLE_SIZE, PIECE_SIZE)
+        self.lead, self.pretokens, self.decoder = lead, Pretokens(path), bpe.Decoder(bpe.load(path))
+
+    def make(self, piece: str) -> tuple[str, str]:
+        ids = [i for p in PRETOKEN.findall(self.lead + piece) for i in self.pretokens[p]]
+        return ",".join(map(str, ids)), self.decoder.feed(ids) + self.decoder.finish()
 
 
 _pieces: dict[str, tuple[Pieces, Pieces]] = {}
@@ -96,18 +93,19 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     names = {f.name for f in fields}
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, out, back = [], [], []
+        for batch in slices(batches):
+            n, hashed, back, flat, ends = [], [], [], array("i"), [0]
             for text in texts(batch):
                 joined, decoded = encode_text(text, path)
                 n.append(joined.count(",") + 1 if joined else 0)
                 if digests:
-                    out.append(hashlib.sha256(joined.encode()).hexdigest())
+                    hashed.append(hashlib.sha256(joined.encode()).hexdigest())
                     back.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                 else:
-                    out.append([int(x) for x in joined.split(",")] if joined else [])
-            n = pa.array(n, pa.int64())
-            yield with_columns(batch, (), {"n_tokens": n, "ids_sha256": pa.array(out, pa.string()), "decoded_sha256": pa.array(back, pa.string())} if digests else {"n_tokens": n, "ids": pa.array(out, pa.list_(pa.int32()))})
+                    flat.extend(map(int, joined.split(",")) if joined else ())
+                    ends.append(len(flat))
+            own = {"ids_sha256": pa.array(hashed, pa.string()), "decoded_sha256": pa.array(back, pa.string())} if digests else {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))}
+            yield with_columns(batch, (), {"n_tokens": pa.array(n, pa.int64()), **own})
 
     return docs.mapInArrow(step, T.StructType([*[f for f in docs.schema if f.name not in names], *fields]))
 

@@ -25,7 +25,7 @@ def _class_of(char: str) -> str:
     return next((c for p, c in _CLASSES if p.match(char)), char)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def token_shape(token: str) -> str:
     """Digits as 9, letters as a or A, runs as one with their rough length for digits; a hexadecimal run as h."""
     core = token.strip("\"'`#*$%&!?,;:()[]{}<>|")
@@ -51,7 +51,7 @@ def slot(name: str) -> int:
     return (value ^ value >> 15) % FEATURES
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def slots(before: str, own: str, after: str) -> tuple[int, ...]:
     """Feature numbers of a token between its neighbours' shapes."""
     plain = lambda s: "plain" if s and is_plain(s) else s

@@ -14,7 +14,7 @@ SAMPLES, ROWS = 128, 4
 BANDS = SAMPLES // ROWS
 SKETCH_BITS = 512
 #: Words of a worker's table of word hashes.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 200_000
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -240,7 +240,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays; repeated rows of one doc_id count once, rows without doc_id stay unless a named copy does."""
+    """Pipeline stage: one document of each group stays; repeated rows of one doc_id count once, rows without doc_id can't be named as a copy and stay."""
     found = stored(near_duplicates(docs))
     gone = cut(found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct())
     left = docs.join(_bounded(gone), "doc_id", "left_anti")

@@ -77,3 +77,9 @@ def test_queries(spark, sf_dir):
     assert q8.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and q9.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert q8.where("over_limit").count() == q8.where("n_tokens > 2048").count()
     assert q9.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_ids_of_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, "the the"), (3, "")], "doc_id long, text string")
+    want = Tokenizer.from_file(BYTE).encode("the the", add_special_tokens=False).ids
+    assert [(r.n_tokens, r.ids) for r in bpe_stream.encode(docs, BYTE).collect()] == [(0, []), (2, want), (0, [])]
