@@ -39,8 +39,8 @@ CUT = re.compile(rf" (?<=[^{bpe.WS}] )(?=[^{bpe.WS}])")
 class Pretokens(bpe.Bounded):
     """pretoken -> ids."""
 
-    def __init__(self, path: str) -> None:
-        super().__init__(TABLE_SIZE, PIECE_SIZE)
+    def __init__(self, path: str, size: int) -> None:
+        super().__init__(size, PIECE_SIZE)
         self.merges = bpe.load(path)
         self.stream = bpe.Transducer(self.merges)
 
@@ -54,23 +54,23 @@ class Pretokens(bpe.Bounded):
 class Pieces(bpe.Bounded):
     """piece -> (comma-joined ids, decoded text)."""
 
-    def __init__(self, path: str, lead: str) -> None:
-        super().__init__(TABLE_SIZE, PIECE_SIZE)
-        self.lead, self.pretokens, self.decoder = lead, Pretokens(path), bpe.Decoder(bpe.load(path))
+    def __init__(self, path: str, lead: str, size: int) -> None:
+        super().__init__(size, PIECE_SIZE)
+        self.lead, self.pretokens, self.decoder = lead, Pretokens(path, size), bpe.Decoder(bpe.load(path))
 
     def make(self, piece: str) -> tuple[str, str]:
         ids = [i for p in PRETOKEN.findall(self.lead + piece) for i in self.pretokens[p]]
         return ",".join(map(str, ids)), self.decoder.feed(ids) + self.decoder.finish()
 
 
-_pieces: dict[str, tuple[Pieces, Pieces]] = {}
+_pieces: dict[tuple[str, int], tuple[Pieces, Pieces]] = {}
 
 
-def encode_text(text: str, path: str) -> tuple[str, str]:
+def encode_text(text: str, path: str, size: int = TABLE_SIZE) -> tuple[str, str]:
     """Comma-joined ids and the decoded text."""
-    if path not in _pieces:
-        _pieces[path] = Pieces(path, ""), Pieces(path, " ")
-    first, spaced = _pieces[path]
+    if (path, size) not in _pieces:
+        _pieces[path, size] = Pieces(path, "", size), Pieces(path, " ", size)
+    first, spaced = _pieces[path, size]
     special = bpe.load(path).special
     pattern = bpe.special_pattern(path)
     ids, decoded = [], []
@@ -86,7 +86,7 @@ def encode_text(text: str, path: str) -> tuple[str, str]:
     return ",".join(ids), "".join(decoded)
 
 
-def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, digests: bool = False, size: int = TABLE_SIZE) -> DataFrame:
     """Every row of docs with n_tokens and ids (array); with digests the sha256 of ids and of the decoded text in place of the ids."""
     added = [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType()))]
     fields = [T.StructField("n_tokens", T.LongType()), *[T.StructField(*x) for x in added]]
@@ -96,7 +96,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
         for batch in slices(batches):
             n, hashed, back, flat, ends = [], [], [], array("i"), [0]
             for text in texts(batch):
-                joined, decoded = encode_text(text, path)
+                joined, decoded = encode_text(text, path, size)
                 n.append(joined.count(",") + 1 if joined else 0)
                 if digests:
                     hashed.append(hashlib.sha256(joined.encode()).hexdigest())
@@ -123,8 +123,8 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFram
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: documents with their token ids."""
-    return encode(docs, public_tokenizers.path(FILE)).withColumn("n_ids", F.size("ids"))
+    """Pipeline stage, the last: documents with their token ids. Smaller tables, as workers still hold those of earlier stages."""
+    return encode(docs, public_tokenizers.path(FILE), size=TABLE_SIZE // 3).withColumn("n_ids", F.size("ids"))
 
 
 ORACLE_SQL = None
