@@ -1,9 +1,11 @@
 """LM scoring: logistic context mixing over bytes (``mixing``), and a smoothed unigram score as the base.
 
-Learning reads the training rows only and happens on the executors: grams with counts are summed over the corpus, then
-hashed into predictor counts, a table of fixed size. Gate weights are learned online over the grams in each partition
-and averaged, twice; the adaptive map adds up what followed. Only tables of fixed size come to the driver: predictor
-counts (at most mixing.SLOTS rows), weights and the map.
+Learning reads the training rows only and happens on the executors: grams with counts are summed over the corpus and
+stored, none left out. They lie in parts by the last two bytes of context, so a part has all counts of its contexts of
+two to five bytes, exactly, and the number of parts grows with the grams. Gate weights are learned online over the
+grams of each part and averaged, twice; the adaptive map adds up what followed. Texts are scored in packs: a pack sends
+its distinct grams to their parts and gets their costs back. Only tables of fixed size come to the driver: counts of
+one byte after another (at most 65536 rows), weights and the map.
 
 Base: word counts are summed over the training rows. Words with a share of at least 1 / HOT_WORDS of all tokens, so
 at most HOT_WORDS of them, are broadcast; others are joined to their counts by word and added up by document.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,9 @@ HOT_WORDS = 500_000
 END = b""
 #: Distinct words and grams that a task holds before it hands their counts on.
 HELD, HELD_GRAMS = 300_000, 3_000_000
+#: Bytes of training text for a part of the grams, and bytes of a pack of texts, on average.
+PART_BYTES, LEAST_PARTS = 16 << 20, 16
+PACK_BYTES, LEAST_PACKS = 8 << 20, 8
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,68 +87,157 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*merge())
 
 
-def _grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("gram").to_numpy().astype(np.uint64), batch.column("n").to_numpy().astype(np.float64)
+def _packed(keys: np.ndarray) -> bytes:
+    """Ordered grams as differences, bytes of one place together, so that shuffles compress them well."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, mixing.SLOTS), np.int64)
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """One row for a part: its distinct grams, in order, and their counts."""
+    keys, n = mixing.counted(table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy())
+    return pa.table({"part": table.column("part").slice(0, 1), "grams": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
+
+
+def _grams_of(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams in order and counts of each part."""
+    for grams, counts in zip(rows.column("grams"), rows.column("counts"), strict=True):
+        yield _unpacked(grams.as_py()), np.frombuffer(counts.as_py(), np.int64).astype(np.float64)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the last two bytes of the grams."""
+    total = np.zeros(1 << 16)
     for batch in batches:
-        mixing.add_counts(total, *[x.astype(t) for x, t in zip(_grams(batch), (np.uint64, np.int64), strict=True)])
-    at = np.flatnonzero(total.any(axis=0))
-    for low in range(0, len(at), 100_000):
-        part = at[low : low + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], names=["slot", "zeros", "ones"])
+        for keys, n in _grams_of(batch):
+            total += np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), n, 1 << 16)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
+
+
+def _cells(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(b)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(a[at]), pa.array(b[at])], names=["cell", "a", "b"])
+
 
+@dataclass
+class Model:
+    """The training grams as a stored table (part, grams, counts), a row for each part, and what of the model has a fixed size."""
 
-def _weights_frame(mixer: mixing.Mixer, mass: float) -> pa.RecordBatch:
-    flat = mixer.weights.ravel()
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * mass), pa.array(np.full(len(flat), mass))], names=["cell", "a", "b"])
+    grams: DataFrame
+    parts: int
+    low: np.ndarray
+    weights: np.ndarray
+    curve: np.ndarray
 
 
-def learn(train: DataFrame, rounds: int = 2) -> mixing.Scorer:
+def learn(train: DataFrame, rounds: int = 2) -> Model:
     """The model of the training rows (text)."""
     context = train.sparkSession.sparkContext
-    grams = stored(train.select("text").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    slots = grams.mapInArrow(_slot_counts, "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    found = columns(slots)
-    zeros, ones = np.zeros(mixing.SLOTS, np.float32), np.zeros(mixing.SLOTS, np.float32)
-    zeros[found["slot"]], ones[found["slot"]] = found["zeros"], found["ones"]
-    mixer = mixing.Mixer(zeros, ones)
-    for _ in range(rounds):
-        shared = context.broadcast(mixer)
-
-        def weigh(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = mixing.Mixer.__new__(mixing.Mixer)
-            own.__dict__ = dict(shared.value.__dict__, weights=shared.value.weights.copy())
-            mass = 0.0
+    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(LEAST_PARTS, -(-size // PART_BYTES))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gram_counts(batches):
+            part = mixing.part_of(batch.column("gram").to_numpy().astype(np.uint64), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *batch.columns], names=["part", "gram", "n"])
+
+    found = train.select("text").mapInArrow(counts, "part int, gram long, n long")
+    grams = stored(found.groupBy("part").applyInArrow(_merged, "part int, grams binary, counts binary"))
+    pairs = columns(grams.mapInArrow(_pairs, "pair int, n double").groupBy("pair").agg(F.sum("n").alias("n")))  # at most 65536 rows
+    low = np.zeros(1 << 16)
+    low[pairs["pair"]] = pairs["n"]
+    weights, hits, seen = mixing.Mixer(np.empty(0), np.empty(0)).weights, np.zeros(mixing.CELLS), np.zeros(mixing.CELLS)
+
+    def over_parts(step) -> dict[str, np.ndarray]:
+        shared = context.broadcast((low, weights))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counted, now = shared.value
             for batch in batches:
-                keys, n = _grams(batch)
-                if len(keys):
-                    own.learn(keys, n)
-                    mass += n.sum()
-            if mass:
-                yield _weights_frame(own, mass)
-
-        sums = columns(grams.mapInArrow(weigh, "cell int, a double, b double").groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-        mixer.weights.ravel()[sums["cell"]] = sums["a"] / sums["b"]
+                for keys, n in _grams_of(batch):
+                    mixer = mixing.PartMixer(now, mixing.Exact(keys, n, counted))
+                    yield step(mixer, keys, n, np.random.default_rng(len(keys)).permutation(len(keys)))
+
+        sums = columns(grams.mapInArrow(run, "cell int, a double, b double").groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
         shared.destroy()
-    shared = context.broadcast(mixer)
+        return sums
+
+    def weigh(mixer: mixing.PartMixer, keys: np.ndarray, n: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        for some in mixer.steps(rows):
+            mixer.learn(keys[some], n[some])
+        flat = mixer.weights.ravel()
+        return _cells(flat * n.sum(), np.full(len(flat), n.sum()))
 
-    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = mixing.Mixer.__new__(mixing.Mixer)
-        own.__dict__ = dict(shared.value.__dict__, hits=np.zeros(mixing.CELLS), seen=np.zeros(mixing.CELLS))
-        for batch in batches:
-            keys, n = _grams(batch)
-            if len(keys):
-                own.observe(keys, n)
-        at = np.flatnonzero(own.seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(own.hits[at]), pa.array(own.seen[at])], names=["cell", "a", "b"])
+    def observe(mixer: mixing.PartMixer, keys: np.ndarray, n: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        for some in mixer.steps(rows):
+            mixer.observe(keys[some], n[some])
+        return _cells(mixer.hits, mixer.seen)
 
-    sums = columns(grams.mapInArrow(observe, "cell int, a double, b double").groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    mixer.hits[sums["cell"]], mixer.seen[sums["cell"]] = sums["a"], sums["b"]
-    shared.destroy()
-    return mixer.compact()
+    for _ in range(rounds):
+        sums = over_parts(weigh)
+        weights.ravel()[sums["cell"]] = sums["a"] / sums["b"]
+    sums = over_parts(observe)
+    hits[sums["cell"]], seen[sums["cell"]] = sums["a"], sums["b"]
+    return Model(grams, parts, low, weights, mixing.refined(hits, seen))
+
+
+def _asked(raws: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the texts by part, in order within it, and where each part begins."""
+    pieces = [mixing.counted(keys)[0] for keys, _ in mixing.windows(raws)]
+    keys = mixing.counted(np.concatenate(pieces))[0] if len(pieces) > 1 else pieces[0]
+    part = mixing.part_of(keys, parts)
+    order = np.argsort(part, kind="stable")
+    return keys[order], np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def gram_costs(keyed: DataFrame, model: Model) -> DataFrame:
+    """(pack, part, costs): bits of the distinct grams that the texts of each pack hold, as float32 in order of gram.
+
+    Each pack sends every part its distinct grams; a part, which has all counts of their contexts, answers with costs.
+    """
+    parts = model.parts
+    shared = keyed.sparkSession.sparkContext.broadcast((model.low, model.weights, model.curve))
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys, bounds = _asked(list(texts_as_bytes(table)), parts)
+        some = np.flatnonzero(np.diff(bounds))
+        packed = [_packed(keys[bounds[p] : bounds[p + 1]]) for p in some]
+        return pa.table({"part": pa.array(some.astype(np.int32)), "pack": pa.array([table.column("pack")[0].as_py()] * len(some), pa.int64()), "grams": pa.array(packed, pa.binary())})
+
+    def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
+        wanted = [_unpacked(x) for x in asked.column("grams").to_pylist()]
+        if not wanted:
+            return pa.table({"pack": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "costs": pa.array([], pa.binary())})
+        low, weights, curve = shared.value
+        keys, n = next(_grams_of(known), (np.empty(0, np.uint64), np.empty(0)))
+        every = np.unique(np.concatenate([keys, *wanted]))
+        counts = np.zeros(len(every))
+        counts[np.searchsorted(every, keys)] = n
+        cost = mixing.PartMixer(weights, mixing.Exact(every, counts, low)).cost(every, curve).astype(np.float32)
+        costs = [cost[np.searchsorted(every, w)].tobytes() for w in wanted]
+        return pa.table({"pack": asked.column("pack"), "part": asked.column("part"), "costs": pa.array(costs, pa.binary())})
+
+    questions = keyed.groupBy("pack").applyInArrow(ask, "part int, pack long, grams binary")
+    return model.grams.groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(answer, "pack long, part int, costs binary")
+
+
+def _text_bits(raws: list[bytes], costs: pa.Table, parts: int) -> np.ndarray:
+    """Bits of each text with its end."""
+    keys, _ = _asked(raws, parts)
+    by_part = sorted(zip(costs.column("part").to_pylist(), costs.column("costs").to_pylist(), strict=True))
+    cost = np.frombuffer(b"".join(c for _, c in by_part), np.float32)
+    order = np.argsort(keys)
+    keys, cost = keys[order], cost[order]
+    out = np.zeros(len(raws))
+    for grams, owner in mixing.windows(raws):
+        both = np.argsort(grams)
+        grams, owner = grams[both], owner[both]
+        out += np.bincount(owner, cost[np.searchsorted(keys, grams)], len(raws))
+    return out
 
 
 def columns(df: DataFrame) -> dict[str, np.ndarray]:
@@ -160,27 +255,29 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     least = max(1, -(-total // HOT_WORDS))
     frequent = columns(counts.where(F.col("n") >= least))  # at most HOT_WORDS rows
     hot = {w: math.log10(n + 0.1) - below for w, n in zip(frequent["word"], frequent["n"].tolist(), strict=True)}
-    scorer = learn(train)
-    shared, words = context.broadcast(scorer), context.broadcast(hot)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = learn(train)
+    words, parts = context.broadcast(hot), model.parts
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    packs = max(LEAST_PACKS, -(-size // PACK_BYTES))
+    row = F.xxhash64("doc_id", "text")
+    keyed = docs.select("doc_id", "text", row.alias("row"), F.pmod(row, F.lit(packs)).alias("pack"))
+
+    def measure(table: pa.Table, costs: pa.Table) -> pa.Table:
         of = words.value.get
-        for batch in slices(batches, 2000):
-            raws = list(texts_as_bytes(batch))
-            n, known, sums = [], [], []
-            for raw in raws:
-                own = space_words(raw)
-                own.append(END)
-                found = [v for v in map(of, own) if v is not None]
-                n.append(len(own))
-                known.append(len(found))
-                sums.append(math.fsum(found))
-            bits = shared.value.text_bits(raws) if raws else np.empty(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array([len(r) for r in raws], pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(bits, pa.float64())],
-                names=["doc_id", "row", "n_bytes", "n_tokens", "known", "base", "bits"],
-            )
+        raws = list(texts_as_bytes(table))
+        n, known, sums = [], [], []
+        for raw in raws:
+            own = space_words(raw)
+            own.append(END)
+            found = [v for v in map(of, own) if v is not None]
+            n.append(len(own))
+            known.append(len(found))
+            sums.append(math.fsum(found))
+        bits = _text_bits(raws, costs, parts)
+        return pa.table(
+            [table.column("doc_id"), table.column("row"), pa.array([len(r) for r in raws], pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(bits, pa.float64())],
+            names=["doc_id", "row", "n_bytes", "n_tokens", "known", "base", "bits"],
+        )
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each batch, words that aren't hot and the rows that hold them, as often as they do."""
@@ -195,7 +292,8 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                         held.setdefault(w, []).append(row)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["word", "rows"])
 
-    measured = keyed.mapInArrow(measure, "doc_id long, row long, n_bytes long, n_tokens long, known long, base double, bits double")
+    costs = gram_costs(keyed, model)  # with all columns, so that both groupings by pack share one shuffle
+    measured = keyed.groupBy("pack").cogroup(costs.groupBy("pack")).applyInArrow(measure, "doc_id long, row long, n_bytes long, n_tokens long, known long, base double, bits double")
     measured = measured.groupBy("doc_id", "row").agg(*[F.first(c).alias(c) for c in ("n_bytes", "n_tokens", "known", "base", "bits")], F.count("*").alias("times"))
     postings = keyed.select("row", "text").mapInArrow(rare, "word binary, rows array<long>")
     valued = postings.join(counts.where(F.col("n") < least), "word", "left").select(

@@ -6,6 +6,9 @@ Their log-odds are mixed with weights that a gate selects (the longest context s
 online, and the result is refined by an adaptive probability map of observed frequencies.
 
 All of it depends on the last bytes only, so distinct grams (context and next byte) are evaluated once with a count.
+
+Counts are exact and lie in parts (``Exact``, ``PartMixer``), which grow with the corpus. ``Mixer`` and ``Scorer`` by
+themselves hold hashed counts of a fixed size: they serve a few texts in memory.
 """
 
 from __future__ import annotations
@@ -111,10 +114,14 @@ class Mixer:
         self.weights[:, -1] = 0.0
         self.hits, self.seen = np.zeros(CELLS), np.zeros(CELLS)
 
+    def counts(self, keys: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones that each predictor has counted, (ORDERS, n) both."""
+        at = slots(keys, turn)
+        return self.zeros[at], self.ones[at]
+
     def inputs(self, keys: np.ndarray, turn: int, without_own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of each predictor (and a constant), and the gate. without_own: as if one occurrence had not been counted."""
-        at = slots(keys, turn)
-        zero, one = self.zeros[at], self.ones[at]
+        zero, one = self.counts(keys, turn)
         if without_own:
             bit = bit_of(keys, turn)
             zero, one = np.maximum(zero - (1 - bit), 0), np.maximum(one - bit, 0)
@@ -156,6 +163,80 @@ class Mixer:
         return Scorer(self)
 
 
+def refined(hits: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The adaptive map: observed frequencies, drawn to the middle of their bucket."""
+    centre = np.tile(np.linspace(-REACH, REACH, BUCKETS), GATES * 8)
+    return (hits + 20 / (1 + np.exp(-centre))) / (seen + 20)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part that holds a gram: all grams with the same last two bytes of context share one."""
+    near = (keys >> np.uint64(8)).astype(np.int64) & 0xFFFF
+    return ((near * 40503 & 0xFFFF) * parts) >> 16
+
+
+class Exact:
+    """Counts without hashing, from all grams of a part with their counts (0: only asked for).
+
+    Contexts of two bytes and more lie within a part; ``low`` counts grams of one byte of context in the whole corpus.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, low: np.ndarray) -> None:
+        self.orders = []
+        for order in range(ORDERS):
+            own = keys & np.uint64((1 << 8 * (order + 1)) - 1)
+            if order < 2:
+                self.orders.append((np.arange(256 ** (order + 1)), low if order else low.reshape(256, 256).sum(axis=0), own.astype(np.int64)))
+            else:
+                grams, at = np.unique(own, return_inverse=True)
+                self.orders.append((grams.astype(np.int64), np.bincount(at, n, len(grams)), at))
+
+    def counts(self, turn: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones of the decision after ``turn`` bits for the grams in these rows, (ORDERS, n) both."""
+        zero, one = np.empty((ORDERS, len(rows)), np.float32), np.empty((ORDERS, len(rows)), np.float32)
+        for order, (grams, n, at) in enumerate(self.orders):
+            node = grams >> (8 - turn)
+            group = np.cumsum(np.concatenate(([0], node[1:] != node[:-1])))
+            bit = (grams >> (7 - turn)) & 1
+            mine = group[at[rows]]
+            zero[order], one[order] = np.bincount(group, n * (1 - bit))[mine], np.bincount(group, n * bit)[mine]
+        return zero, one
+
+
+class PartMixer(Mixer):
+    """A mixer over one part's exact counts; rows are taken in blocks, so that few counts are spread out at a time."""
+
+    BLOCK, STEP = 1 << 17, 1 << 12
+
+    def __init__(self, weights: np.ndarray, exact: Exact) -> None:
+        self.weights, self.exact = weights.copy(), exact
+        self.hits, self.seen = np.zeros(CELLS), np.zeros(CELLS)
+
+    def steps(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows in pieces of STEP, each ready for inputs()."""
+        for low in range(0, len(rows), self.BLOCK):
+            block = rows[low : low + self.BLOCK]
+            turns = [self.exact.counts(turn, block) for turn in range(8)]
+            for start in range(0, len(block), self.STEP):
+                self.turns = [(z[:, start : start + self.STEP], o[:, start : start + self.STEP]) for z, o in turns]
+                yield block[start : start + self.STEP]
+
+    def counts(self, keys: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.turns[turn]
+
+    def cost(self, keys: np.ndarray, curve: np.ndarray) -> np.ndarray:
+        """Bits of each gram's last byte, by the adaptive map ``curve``."""
+        out = np.zeros(len(keys))
+        for rows in self.steps(np.arange(len(keys))):
+            own = keys[rows]
+            for turn in range(8):
+                x, gate = self.inputs(own, turn)
+                z = self.logit(x, gate)
+                p = np.clip((1 / (1 + np.exp(-z)) + curve[self.cells(z, gate, turn)]) / 2, _LEAST, 1 - _LEAST)
+                out[rows] -= np.log2(np.where(bit_of(own, turn) == 1, p, 1 - p))
+        return out
+
+
 class Scorer(Mixer):
     """What scoring needs, smaller: log-odds and gate level of each slot."""
 
@@ -164,8 +245,7 @@ class Scorer(Mixer):
         self.level = np.searchsorted(LEVELS, mixer.zeros + mixer.ones, side="right").astype(np.int8)
         self.weights = mixer.weights
         self.known, self.cost = np.empty(0, np.uint64), np.empty(0)
-        centre = np.tile(np.linspace(-REACH, REACH, BUCKETS), GATES * 8)
-        self.refined = (mixer.hits + 20 / (1 + np.exp(-centre))) / (mixer.seen + 20)
+        self.refined = refined(mixer.hits, mixer.seen)
 
     def inputs(self, keys: np.ndarray, turn: int, without_own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         at = slots(keys, turn)

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -75,3 +76,35 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     (r,) = lm_mixing.score(one, docs).collect()
     assert (r.n_tokens, r.n_known, r.base_score) == (3, 0, 0.0) and r.score < 0
+
+
+def test_counts_are_exact_however_many_contexts():
+    rng = np.random.default_rng(1)
+    text = bytes(rng.integers(97, 123, 400_000, dtype=np.uint8))
+    keys, n = mixing.counted(next(mixing.windows([text]))[0])
+    assert len(keys) > 1 << mixing.SLOT_BITS  # more contexts of five bytes than a hashed table has slots
+    low = np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), n, 1 << 16)
+    part, padded = mixing.part_of(keys, 16), mixing.PAD + text + mixing.END
+    for p in range(16):
+        mine = keys[part == p]
+        at = int(rng.integers(len(mine)))
+        exact, gram = mixing.Exact(mine, n[part == p], low), int(mine[at]).to_bytes(6, "big")
+        for order in range(1, mixing.ORDERS):
+            context = gram[5 - order : 5]
+            after = [m.end() for m in re.finditer(b"(?=" + re.escape(context) + b")", padded)]
+            after = [padded[i + order] for i in after if 5 <= i + order < len(padded)]
+            for turn in (0, 3, 7):
+                zero, one = exact.counts(turn, np.array([at]))
+                seen = [b >> (7 - turn) & 1 for b in after if b >> (8 - turn) == gram[5] >> (8 - turn)]
+                assert (zero[order, 0], one[order, 0]) == (seen.count(0), seen.count(1))
+
+
+def test_score_has_no_table_of_fixed_size(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [(i, "".join(map(chr, rng.integers(97, 123, 300)))) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {r.doc_id: r.score for r in lm_mixing.score(df, df).collect()}
+    monkeypatch.setattr(lm_mixing, "PACK_BYTES", 500)
+    monkeypatch.setattr(mixing, "SLOTS", 0)  # score must not depend on a table of slots
+    got = {r.doc_id: r.score for r in lm_mixing.score(df, df).collect()}
+    assert all(math.isclose(got[d], want[d], rel_tol=1e-5) for d in want)
