@@ -213,6 +213,12 @@ def predicate_normalise(spark, sf_dir):
     return docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(text.normalise_predicate(F.left("text", F.lit(2000)))).alias("digest"))
 
 
+@entry()
+def predicate_normalise_whole(spark, sf_dir):
+    """Of the whole text; predicate_normalise and its SQL take the first 2000 characters."""
+    return docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(text.normalise_predicate(F.col("text"))).alias("digest"))
+
+
 @entry("""with w as (select doc_id, list_distinct(regexp_extract_all(text, '[A-Za-z]+')) as a from documents),
 b as (select item_id, list_distinct(regexp_extract_all(text, '[A-Za-z]+')) as b from benchmark)
 select doc_id, item_id, len(list_distinct(list_filter(b, lambda x: list_contains(list_transform(a, lambda y: lower(y)), lower(x))))) as n_shared,
