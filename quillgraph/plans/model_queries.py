@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import classify, clusters, explain, kge, metrics, sampling, topics
@@ -37,8 +36,16 @@ pr as (select x.topic, x.token as a, y.token as b from tm x join tm y on x.topic
 sc as (select topic, ln(((select count(*) from us u join us v using (doc_id) where u.token = a and v.token = b) + 1) / greatest(1, (select count(*) from us where token = b))) as v from pr)
 select topic, round(avg(v), 6) as coherence from sc group by topic""")
 def umass_coherence(spark, sf_dir):
+    return _umass(spark, sf_dir, docs(spark, sf_dir, "doc_id", "source").where(F.col("source").isin("src1", "src2", "src3")))
+
+
+@entry()
+def umass_coherence_whole(spark, sf_dir):
+    return _umass(spark, sf_dir, docs(spark, sf_dir, "doc_id", "source"))
+
+
+def _umass(spark, sf_dir, sources):
     tokens = cut(_tokens(spark, sf_dir))
-    sources = docs(spark, sf_dir, "doc_id", "source").where(F.col("source").isin("src1", "src2", "src3"))
     counted = tokens.join(sources, "doc_id").groupBy(F.col("source").alias("topic"), "token").agg(F.count("*").alias("n"))
     terms = vo.top_per(counted, "topic", F.desc("n"), "token", n=6).select("topic", F.col("place").alias("rank"), F.col("token").alias("term"))
     return topics.umass(cut(terms), tokens).withColumn("coherence", F.round("coherence", 6))
@@ -52,7 +59,7 @@ def classifier_cv(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    triples = valid_triples(spark, sf_dir).where("relation <> 'has_property'").select("subject", "relation", "object").distinct()
+    triples = valid_triples(spark, sf_dir).select("subject", "relation", "object").distinct()
     keyed = triples.withColumn("key", F.concat_ws("|", "subject", "relation", "object"))
     return cut(sampling.split_graph(keyed, "key").select("subject", "relation", "object", "split"))
 
@@ -63,11 +70,9 @@ def kge_train(spark, sf_dir):
 
 
 def _clustered(spark, sf_dir, method):
-    """Vectors of ten labels stand for the vocabularies of topics, the first 40 each."""
+    """Vectors of a label stand for the vocabulary of a topic, all of them; clusters.MOST_TERMS bounds one topic."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    terms = e.where("label < 3").withColumn("place", place).where("place <= 40")
-    named = terms.select(F.col("label").cast("string").alias("topic"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("term"), F.col("embedding").alias("vec"))
+    named = e.select(F.col("label").cast("string").alias("topic"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("term"), F.col("embedding").alias("vec"))
     return clusters.cluster_terms(named, method)
 
 

@@ -230,9 +230,18 @@ rk as (select query, 1 + (select count(*) from lf x where x.query = t.query and
 
 @entry(f"with {_KG} select round(avg(1 / rank), 6) as mrr, round(avg((rank <= 1)::int), 6) as hits1, round(avg((rank <= 10)::int), 6) as hits10 from rk")
 def filtered_rank_metrics(spark, sf_dir):
+    return _filtered_rank_metrics(spark, sf_dir, F.col("query") % 10 == 0)
+
+
+@entry()
+def filtered_rank_metrics_whole(spark, sf_dir):
+    return _filtered_rank_metrics(spark, sf_dir, F.lit(True))
+
+
+def _filtered_rank_metrics(spark, sf_dir, which):
     kg = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select(F.col("c_custkey").alias("query"), F.col("c_nationkey").alias("truth"))
     nations = F.broadcast(table(spark, sf_dir, "nation", "n_nationkey"))  # 25 rows by definition of the table
-    asked = kg.where(F.col("query") % 10 == 0).crossJoin(nations)
+    asked = kg.where(which).crossJoin(nations)
     score = F.round((F.col("query") * 7 + F.col("n_nationkey") * 13) % 25 / 25.0, 6)
     all_scores = asked.select("query", F.col("n_nationkey").cast("long").alias("candidate"), score.alias("score"), (F.col("n_nationkey") == F.col("truth")).alias("is_truth"))
     known = kg.select("query", F.explode(F.array((F.col("truth") + 1) % 25, (F.col("truth") + 2) % 25)).alias("candidate")).distinct()
@@ -244,10 +253,19 @@ _ONTOLOGY = """o as (select 'n' || n_nationkey as child, 'r' || n_regionkey as p
 
 @entry(f"with recursive {_ONTOLOGY}, up as (select child as class, parent as ancestor, 1 as depth from o union all select up.class, o.parent, depth + 1 from up join o on o.child = up.ancestor) select class, ancestor, depth from up")
 def ontology_hierarchy(spark, sf_dir):
+    return _hierarchy(spark, sf_dir, F.col("c_custkey") % 20 == 0)
+
+
+@entry()
+def ontology_hierarchy_whole(spark, sf_dir):
+    return _hierarchy(spark, sf_dir, F.lit(True))
+
+
+def _hierarchy(spark, sf_dir, which):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nations = table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent"))
     regions = table(spark, sf_dir, "region", "r_regionkey").select(name("r", "r_regionkey").alias("child"), F.lit("world").alias("parent"))
-    customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").where(F.col("c_custkey") % 20 == 0).select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent"))
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").where(which).select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent"))
     return graph.ancestors(nations.union(regions).union(customers))
 
 
@@ -280,9 +298,9 @@ _SIL = """e3 as (select vec_id, label % 3 as c, embedding::double[] as v from em
 ab as (select vec_id, c, min(case when c2 = c then d end) as a, min(case when c2 <> c then d end) as b from ds group by all), si as (select vec_id, c, case when a is null or b is null then 0 else (b - a) / greatest(a, b) end as s from ab)"""
 
 
-def silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of one topic's terms: the first 150 vectors, in three clusters."""
-    e = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").where("vec_id < 150").withColumn("c", F.col("label") % 3)
+def silhouettes(spark: SparkSession, sf_dir: str, which: str = "vec_id < 150") -> DataFrame:
+    """Of the vectors that ``which`` takes, in three clusters."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").where(which).withColumn("c", F.col("label") % 3)
     return metrics.silhouette(e, "vec_id", "embedding", "c")
 
 
@@ -291,6 +309,16 @@ def silhouette(spark, sf_dir):
     return silhouettes(spark, sf_dir).withColumn("silhouette", F.round("silhouette", 5))
 
 
+@entry()
+def silhouette_whole(spark, sf_dir):
+    return silhouettes(spark, sf_dir, "true").withColumn("silhouette", F.round("silhouette", 5))
+
+
+@entry()
+def cluster_top_terms_whole(spark, sf_dir):
+    return vo.top_per(silhouette_whole(spark, sf_dir), "c", F.desc("silhouette"), "vec_id").select("c", "vec_id", "place")
+
+
 @entry(f"with {_SIL} select c, vec_id, place::int as place from (select c, vec_id, row_number() over (partition by c order by round(s, 5) desc, vec_id) as place from si) where place <= 10")
 def cluster_top_terms(spark, sf_dir):
     s = silhouettes(spark, sf_dir).withColumn("silhouette", F.round("silhouette", 5))

@@ -224,10 +224,20 @@ b as (select item_id, list_distinct(regexp_extract_all(text, '[A-Za-z]+')) as b
 select doc_id, item_id, len(list_distinct(list_filter(b, lambda x: list_contains(list_transform(a, lambda y: lower(y)), lower(x))))) as n_shared,
   list_has_all(list_transform(a, lambda y: lower(y)), list_transform(b, lambda y: lower(y))) as is_superset from w join b on doc_id % 40 = item_id""")
 def case_insensitive_sets(spark, sf_dir):
+    return _case_insensitive_sets(spark, sf_dir, F.col("doc_id") % 40 == F.col("item_id"))
+
+
+@entry()
+def case_insensitive_sets_whole(spark, sf_dir):
+    """Every document with every item."""
+    return _case_insensitive_sets(spark, sf_dir, F.lit(True))
+
+
+def _case_insensitive_sets(spark, sf_dir, on):
     own = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)))
     a = docs(spark, sf_dir, "doc_id", "text").select("doc_id", own("text").alias("a"))
     b = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", own("text").alias("b"))
-    both = a.join(b, F.col("doc_id") % 40 == F.col("item_id"))
+    both = a.join(b, on)
     shared = F.coalesce(F.size(sets.shared_ignoring_case(F.col("a"), F.col("b"))), F.lit(0)).cast("long")
     return both.select("doc_id", "item_id", shared.alias("n_shared"), sets.superset(sets.folded(F.col("a")), sets.folded(F.col("b"))).alias("is_superset"))
 
