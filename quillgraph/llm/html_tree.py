@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 OPTIONAL, REPEATED = 1, 2
-#: Deeper elements are taken as part of their parent; longer child lists are generalised to one repeated item a name.
+#: Text of deeper elements goes to their parent, blocks apart, and what isn't article stays apart; longer child lists are generalised to one repeated item a name.
 DEEPEST, WIDEST = 60, 48
 
 # Element names of HTML by their role here.
@@ -45,10 +46,29 @@ def element_name(tag: str, attributes: str) -> str:
     return tag
 
 
+def own_node(name: str, stack: list) -> bool:
+    """Below DEEPEST: what has a role of its own keeps its node, once, so the tree is few levels deeper at most."""
+    if name[0] == "!":
+        return not any(x[0][0] == "!" for x in stack[DEEPEST:])
+    if name in HEADINGS:
+        return stack[-1][0] == "!header"
+    return name in ("a", "article", "main") and not any(x[0] == name for x in stack[DEEPEST:])
+
+
 def parse(source: str) -> list:
     """The tree of a page. Elements that are left open end with their parent; strange ends are ignored; raw elements and comments go."""
     root: list = ["html", []]
     stack = [root]
+    opened: Counter[str] = Counter()  # names on the stack, so that a strange end needs no search
+
+    def leave(i: int) -> None:
+        """Ends the open elements from the i-th on; a block that has no node of its own ends its text."""
+        gone = stack[i:]
+        del stack[i:]
+        opened.subtract(x[0].lstrip("!") for x in gone)
+        if any(len(x) > 2 and x[0] not in INLINE for x in gone):
+            stack[-1][1].append(["/", []])
+
     at, end = 0, len(source)
     while at < end:
         m = _TAG.search(source, at)
@@ -65,9 +85,9 @@ def parse(source: str) -> list:
         if tag == "html":
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0].lstrip("!") == tag), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0].lstrip("!") == tag), 0) if opened[tag] else 0
             if depth:
-                del stack[depth:]
+                leave(depth)
             elif tag in BLOCKS or tag == "div":
                 stack[-1][1].append(["/", []])
             continue
@@ -80,19 +100,24 @@ def parse(source: str) -> list:
             stack[-1][1].append("\n" if tag in ("br", "wbr") else ["/", []] if tag == "hr" else " ")
             continue
         shut = CLOSES.get(tag) or ({"p"} if tag not in INLINE else set())
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in shut) else ():
             name = stack[i][0].lstrip("!")
             if name in shut:
-                del stack[i:]
+                leave(i)
                 break
             if name in SCOPE and name not in shut:
                 break
-        if len(stack) > DEEPEST:
-            continue
-        node = [element_name(tag, attributes), []]
-        stack[-1][1].append(node)
+        name = element_name(tag, attributes)
+        node = [name, []]
+        if len(stack) > DEEPEST and not own_node(name, stack):
+            node = [name, stack[-1][1], True]  # the parent's children: no node of its own
+            if name not in INLINE:
+                node[1].append(["/", []])
+        else:
+            stack[-1][1].append(node)
         if not attributes.endswith("/") or tag not in INLINE:
             stack.append(node)
+            opened[name.lstrip("!")] += 1
     return root
 
 

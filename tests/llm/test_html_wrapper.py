@@ -73,3 +73,12 @@ def test_null_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (2, None, "<p>a"), (None, "http://h/x", "<article>b"), (None, "http://h/x", "<article>b")], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text) for r in hw.extract(pages).collect()) == [("1", ""), ("2", "a"), ("None", "b"), ("None", "b")]
     assert hw.extract(pages.limit(0)).count() == 0
+
+
+def test_depth_loses_nothing():
+    for n in (10, 100, 3000):
+        body = "<div>" * n + "<p>one</p><div>two</div><div>three</div><div class=ad>Buy</div><nav>Menu</nav><b>bold</b> text" + "</div>" * n
+        page = f"<body><div class=page><article>{body}<p>rest</p></article></div><p>outside</p></body>"
+        assert hw.article(page, None) == "one\ntwo\nthree\nbold text\nrest", n
+    deep = "<div>" * 100 + "<div>around</div><article><header><h1>Head</h1>by me</header><p>text</article>" + "</div>" * 100
+    assert hw.article(deep, None) == "Head\ntext"
