@@ -34,7 +34,7 @@ from .components import components
 
 PERCENT = 75
 #: What a sketch's estimate may lie under the threshold.
-MARGIN = 0.15
+MARGIN = 0.25
 #: Buckets up to this size are compared pair by pair, larger ones in blocks of about BLOCK nodes a side.
 SMALL, BLOCK = 32, 512
 #: Ids that may be broadcast (16 bytes each); beyond, the join is shuffled.

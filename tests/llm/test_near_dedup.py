@@ -82,3 +82,17 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
     got = near_dedup.stage(spark, docs, sf_dir)
     assert got.columns == docs.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 3, None]
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    lost = 0
+    for _ in range(25):
+        same = rng.random((4000, minhash.SAMPLES)) < near_dedup.PERCENT / 100
+        at = rng.integers(0, minhash.SKETCH_BITS, (4000, 2, minhash.SAMPLES))
+        row = np.repeat(np.arange(4000), minhash.SAMPLES).reshape(4000, -1)
+        flips = np.zeros((4000, minhash.SKETCH_BITS), np.int32)
+        for side in (0, 1):
+            np.add.at(flips, (row[~same], at[:, side][~same]), 1)
+        lost += (minhash.estimate((flips & 1).sum(axis=1)) < near_dedup.PERCENT / 100 - near_dedup.MARGIN).sum()
+    assert lost <= 1  # of 100 000
