@@ -24,79 +24,98 @@ CONTENT_TAGS = ["NN", "NNS", "NNP", "NNPS", "VB", "VBD", "VBG", "VBN", "VBP", "V
 CONTENT_WORDS = ["it", "they", "he", "she", "we"]
 AUXILIARY = ["am", "is", "are", "do", "have", "does", "has", "can", "will", "would", "should"]
 
-TRIPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "relation", "object")])
+TRIPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "relation", "object", "subject_tag", "object_tag")])
 
 
 def phrase_tokens(docs: DataFrame, first_phrase_only: bool = False) -> DataFrame:
-    """doc_id, phrase_id, tokens for each phrase that isn't blank; other columns stay."""
-    out = docs.select("*", F.posexplode(text.phrases(F.col("text"))).alias("phrase_id", "phrase")).where(F.col("phrase").rlike(r"\S"))
+    """doc_id, phrase_id, tokens and their codes for each phrase that isn't blank; other columns stay."""
+    out = _phrases(docs)
     if first_phrase_only:
         out = out.where("phrase_id = 0")
-    return out.drop("text").withColumn("tokens", tagging.tokens(F.col("phrase")))
+    return out.drop("text").withColumn("tokens", tagging.tokens(F.col("phrase"))).withColumn("codes", codes(F.col("tokens")))
 
 
-def _triple(s: Column, r: Column | str, o: Column) -> Column:
-    return F.struct(s.alias("subject"), (F.lit(r) if isinstance(r, str) else r).alias("relation"), o.alias("object"))
+def _phrases(docs: DataFrame) -> DataFrame:
+    return docs.select("*", F.posexplode(text.phrases(F.col("text"))).alias("phrase_id", "phrase")).where(F.col("phrase").rlike(r"\S"))
+
+
+def phrase_words(docs: DataFrame) -> DataFrame:
+    """doc_id, phrase_id, pos, word, tag: a row for each distinct word of a phrase, tagged in compiled code; other columns stay."""
+    own = F.array_distinct(F.regexp_extract_all("phrase", F.lit(tagging.TOKEN), F.lit(0)))
+    out = _phrases(docs).drop("text")
+    out = out.select(*[c for c in out.columns if c != "phrase"], F.posexplode(own).alias("pos", "word"))
+    return out.withColumn("low", F.lower("word")).withColumn("tag", tagging.tag(F.col("word"), F.col("low"))).drop("low")
+
+
+def codes(tokens: Column) -> Column:
+    """One letter for each token, so that patterns over tags are patterns over a string: J adjective, N common and P proper noun, o the word of, s preposition of place."""
+    word = lambda t: F.lower(t["word"])
+    code = lambda t: F.when(t["tag"] == "JJ", "J").when(t["tag"].isin("NN", "NNS"), "N").when(t["tag"].isin(PROPER), "P").when(word(t) == "of", "o").when((t["tag"] == "IN") & word(t).isin(SPATIAL), "s").otherwise("-")
+    return F.array_join(F.transform(tokens, code), "")
 
 
 def _at(tokens: Column, i: Column, field: str = "word") -> Column:
     return F.get(tokens, i)[field]
 
 
-def _first(tokens: Column, width: int, matches, make) -> Column:
-    """The first run of ``width`` tokens that matches, as an array of at most one triple."""
-    n = F.size(tokens)
-    places = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.slice(F.filter(places, matches), 1, 1), make)
+def _triple(tokens: Column, s: Column, r: Column | str, o: Column) -> Column:
+    """The triple of the tokens in places s and o, with their tags."""
+    return F.struct(_at(tokens, s).alias("subject"), (F.lit(r) if isinstance(r, str) else r).alias("relation"), _at(tokens, o).alias("object"), _at(tokens, s, "tag").alias("subject_tag"), _at(tokens, o, "tag").alias("object_tag"))
 
 
-def has_property(tokens: Column) -> Column:
+def _first(codes: Column, pattern: str, make) -> Column:
+    """The first run of tokens that matches, as an array of at most one triple."""
+    at = F.regexp_instr(codes, F.lit(pattern))
+    return F.when(at > 0, F.array(make(at - 1))).otherwise(F.array().cast(T.ArrayType(TRIPLE)))
+
+
+def has_property(tokens: Column, codes: Column) -> Column:
     """First adjective right before a noun."""
-    return _first(tokens, 2, lambda i: (_at(tokens, i, "tag") == "JJ") & _at(tokens, i + 1, "tag").isin(NOUNS), lambda i: _triple(_at(tokens, i + 1), "has_property", _at(tokens, i)))
+    return _first(codes, "J[NP]", lambda i: _triple(tokens, i + 1, "has_property", i))
 
 
-def instance_of(tokens: Column) -> Column:
+def instance_of(tokens: Column, codes: Column) -> Column:
     """First common noun right before a proper one."""
-    return _first(tokens, 2, lambda i: _at(tokens, i, "tag").isin("NN", "NNS") & _at(tokens, i + 1, "tag").isin(PROPER), lambda i: _triple(_at(tokens, i), "is_instance_of", _at(tokens, i + 1)))
+    return _first(codes, "NP", lambda i: _triple(tokens, i, "is_instance_of", i + 1))
 
 
-def part_of(tokens: Column) -> Column:
+def part_of(tokens: Column, codes: Column) -> Column:
     """First noun of noun."""
-    return _first(tokens, 3, lambda i: _at(tokens, i, "tag").isin(NOUNS) & (F.lower(_at(tokens, i + 1)) == "of") & _at(tokens, i + 2, "tag").isin(NOUNS), lambda i: _triple(_at(tokens, i), "part_of", _at(tokens, i + 2)))
+    return _first(codes, "[NP]o[NP]", lambda i: _triple(tokens, i, "part_of", i + 2))
 
 
-def located(tokens: Column) -> Column:
+def located(tokens: Column, codes: Column) -> Column:
     """First noun, preposition of place as spelled, noun."""
-    matches = lambda i: _at(tokens, i, "tag").isin(NOUNS) & (_at(tokens, i + 1, "tag") == "IN") & F.lower(_at(tokens, i + 1)).isin(SPATIAL) & _at(tokens, i + 2, "tag").isin(NOUNS)
-    return _first(tokens, 3, matches, lambda i: _triple(_at(tokens, i), F.concat(F.lit("located_"), _at(tokens, i + 1)), _at(tokens, i + 2)))
+    return _first(codes, "[NP]s[NP]", lambda i: _triple(tokens, i, F.concat(F.lit("located_"), _at(tokens, i + 1)), i + 2))
 
 
-def adjective_runs(tokens: Column) -> Column:
+def adjective_runs(tokens: Column, codes: Column) -> Column:
     """For each noun, each adjective of the unbroken runs at its sides: leftwards first, then rightwards."""
-    run = lambda values: F.aggregate(
-        values,
-        F.struct(F.lit(True).alias("open"), F.array().cast("array<string>").alias("found")),
-        lambda acc, t: F.struct((acc["open"] & (t["tag"] == "JJ")).alias("open"), F.when(acc["open"] & (t["tag"] == "JJ"), F.array_append(acc["found"], t["word"])).otherwise(acc["found"]).alias("found")),
-    )["found"]
+    code = lambda i: F.substring(codes, i + 1, F.lit(1))
 
     def near(i: Column) -> Column:
-        noun = _at(tokens, i)
-        own = F.concat(run(F.reverse(F.slice(tokens, F.lit(1), i))), run(F.slice(tokens, i + 2, F.size(tokens))))
-        return F.transform(own, lambda a: _triple(noun, "has_property", a))
+        before, behind = F.substring(codes, F.lit(1), i), F.substring(codes, i + 2, F.length(codes))
+        left = F.length(before) - F.length(F.rtrim(before, F.lit("J")))
+        right = F.length(behind) - F.length(F.ltrim(behind, F.lit("J")))
+        none = F.array().cast("array<int>")
+        places = F.concat(F.when(left > 0, F.sequence(i - 1, i - left, F.lit(-1))).otherwise(none), F.when(right > 0, F.sequence(i + 1, i + right)).otherwise(none))
+        return F.transform(places, lambda a: _triple(tokens, i, "has_property", a))
 
-    n = F.size(tokens)
-    beside = lambda i: F.coalesce(_at(tokens, i - 1, "tag") == "JJ", F.lit(False)) | F.coalesce(_at(tokens, i + 1, "tag") == "JJ", F.lit(False))
-    nouns = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: _at(tokens, i, "tag").isin(NOUNS) & beside(i))
-    return F.flatten(F.transform(nouns, near))
+    beside = lambda i: ((i > 0) & (code(i - 1) == "J")) | (code(i + 1) == "J")
+    nouns = F.filter(F.sequence(F.lit(0), F.length(codes) - 1), lambda i: code(i).isin("N", "P") & beside(i))
+    return F.when(codes.rlike("J[NP]|[NP]J"), F.flatten(F.transform(nouns, near))).otherwise(F.array().cast(T.ArrayType(TRIPLE)))
 
 
 GENERATORS = {"has_property": has_property, "instance_of": instance_of, "part_of": part_of, "located": located, "adjective_runs": adjective_runs}
 
 
 def generate(tokenised: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One row for each triple, in generator order, duplicates kept: phrase columns, triple_seq, subject, relation, object."""
-    made = F.concat(*[GENERATORS[n](F.col("tokens")) for n in names or GENERATORS])
-    return tokenised.select("*", F.posexplode(made).alias("triple_seq", "triple")).select("*", "triple.*").drop("triple")
+    """One row for each triple, in generator order, duplicates kept: phrase columns without the tokens, triple_seq, subject, relation, object and the tags of both ends."""
+    if "codes" not in tokenised.columns:
+        tokenised = tokenised.withColumn("codes", codes(F.col("tokens")))
+    made = F.concat(*[GENERATORS[n](F.col("tokens"), F.col("codes")) for n in names or GENERATORS])
+    kept = [c for c in tokenised.columns if c not in ("tokens", "codes", "phrase")]
+    return tokenised.select(*kept, F.posexplode(made).alias("triple_seq", "triple")).select(*kept, "triple_seq", "triple.*")
 
 
 def _tags(part: Column, tokens: Column) -> Column:
@@ -109,14 +128,23 @@ def rule_reason(s: Column, r: Column, o: Column, tokens: Column) -> Column:
     """Why the rule validator rejects a triple; null if it doesn't."""
     s, r, o = (F.trim(x) for x in (s, r, o))
     any_of = lambda part, allowed: F.arrays_overlap(_tags(part, tokens), F.array(*map(F.lit, allowed)))
+    return _reason(s, r, o, any_of(s, SUBJECT_TAGS), any_of(o, OBJECT_TAGS), any_of(r, RELATION_TAGS))
+
+
+def generated_reason(row=F.col) -> Column:
+    """rule_reason() for generated triples, whose ends are single words with known tags and whose relations are no words of the phrase."""
+    return _reason(row("subject"), row("relation"), row("object"), row("subject_tag").isin(SUBJECT_TAGS), row("object_tag").isin(OBJECT_TAGS), F.lit(False))
+
+
+def _reason(s: Column, r: Column, o: Column, s_fits: Column, o_fits: Column, r_fits: Column) -> Column:
     low = lambda part: F.regexp_extract_all(F.lower(part), F.lit(r"\S+"), F.lit(0))
     only_stop = lambda part: F.size(F.array_except(low(part), F.array(*map(F.lit, STOPWORDS)))) == 0
     black = lambda part: F.arrays_overlap(low(part), F.array(*map(F.lit, BLACKLIST)))
     return (
         F.when((F.length(s) < 2) | (F.length(r) < 2) | (F.length(o) < 2), "too short")
-        .when(~any_of(s, SUBJECT_TAGS), "subject tags")
-        .when(~any_of(o, OBJECT_TAGS), "object tags")
-        .when(~r.isin(EXEMPT) & ~any_of(r, RELATION_TAGS), "relation tags")
+        .when(~s_fits, "subject tags")
+        .when(~o_fits, "object tags")
+        .when(~r.isin(EXEMPT) & ~r_fits, "relation tags")
         .when(only_stop(s) | only_stop(o), "only stopwords")
         .when(black(s) | black(o), "blacklisted word")
         .when(F.lower(s) == F.lower(o), "subject equals object")
@@ -142,23 +170,40 @@ def lookup(word: Column, tokens: Column) -> Column:
 
 def pos_reason(s: Column, r: Column, o: Column, tokens: Column) -> Column:
     """Basic form, then subject, predicate and object by their tags; the first thing that is wrong, or null."""
+    return _pos_reason(s, r, o, *[lambda w: lookup(w, tokens)] * 3)
+
+
+def word_runs(tokens: Column) -> Column:
+    """Each run of three words as a triple, with the tags of all parts."""
+    part = lambda i, name: (_at(tokens, i).alias(name), _at(tokens, i, "tag").alias(f"{name}_tag"))
+    places = F.when(F.size(tokens) > 2, F.sequence(F.lit(0), F.size(tokens) - 3)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(*part(i, "subject"), *part(i + 1, "relation"), *part(i + 2, "object")))
+
+
+def generated_pos_reason(row=F.col, relation_tag: Column | None = None) -> Column:
+    """pos_reason() for generated triples: ends are single words with known tags, relations no words of the phrase unless their tag is given."""
+    tag_of = lambda end: lambda w: row(f"{end}_tag")
+    return _pos_reason(row("subject"), row("relation"), row("object"), tag_of("subject"), lambda w: F.when(F.lower(w).isin(AUXILIARY), "VB").otherwise(".") if relation_tag is None else relation_tag, tag_of("object"))
+
+
+def _pos_reason(s: Column, r: Column, o: Column, s_tag, r_tag, o_tag) -> Column:
     split = lambda part: F.regexp_extract_all(part, F.lit(r"\S+"), F.lit(0))
 
-    def noun_part(part: Column, never: list[str], name: str) -> Column:
+    def noun_part(part: Column, tag_of, never: list[str], name: str) -> Column:
         own = split(part)
-        one = lookup(F.get(own, F.lit(0)), tokens)
-        content = F.exists(own, lambda w: lookup(w, tokens).isin(CONTENT_TAGS) | F.lower(w).isin(CONTENT_WORDS))
+        one = tag_of(F.get(own, F.lit(0)))
+        content = F.exists(own, lambda w: tag_of(w).isin(CONTENT_TAGS) | F.lower(w).isin(CONTENT_WORDS))
         bare = one.isin("VB", "VBP", "VBZ") & ~F.lower(part).isin("being", "having")
         return F.when((F.size(own) == 1) & (one.isin(never) | bare), f"{name} tag").when((F.size(own) != 1) & ~content, f"{name} without content")
 
-    verb = ~F.lower(r).isin(PREDICATE_KNOWN) & ~lookup(F.get(split(r), F.lit(0)), tokens).isin(PREDICATE_CORE)
-    return F.coalesce(basic_reason(s, r, o), noun_part(s, SUBJECT_NEVER, "subject"), F.when(verb, "predicate tag"), noun_part(o, OBJECT_NEVER, "object"))
+    verb = ~F.lower(r).isin(PREDICATE_KNOWN) & ~r_tag(F.get(split(r), F.lit(0))).isin(PREDICATE_CORE)
+    return F.coalesce(basic_reason(s, r, o), noun_part(s, s_tag, SUBJECT_NEVER, "subject"), F.when(verb, "predicate tag"), noun_part(o, o_tag, OBJECT_NEVER, "object"))
 
 
 def extract(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Valid triples of docs (doc_id, text, ...)."""
     made = generate(phrase_tokens(docs), names)
-    return made.where(rule_reason(F.col("subject"), F.col("relation"), F.col("object"), F.col("tokens")).isNull()).drop("tokens", "phrase")
+    return made.where(generated_reason().isNull()).drop("subject_tag", "object_tag")
 
 
 def maximal(triples: DataFrame, *group: str) -> DataFrame:

@@ -14,9 +14,8 @@ SKIPPED_TAGS = ["RB", "PRP", "CC", "DT", "IN", "TO", "MD"]
 
 def content_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, token: words of each phrase that carry content, in lower case."""
-    tokens = tr.phrase_tokens(docs).select("doc_id", F.explode("tokens").alias("t"))
-    word = F.col("t.word")
-    return tokens.where(~F.col("t.tag").isin(SKIPPED_TAGS) & word.rlike(r"^\p{L}+$") & (F.length(word) > 1)).select("doc_id", F.lower(word).alias("token"))
+    word = F.col("word")
+    return tr.phrase_words(docs).where(~F.col("tag").isin(SKIPPED_TAGS) & word.rlike(r"^\p{L}+$") & (F.length(word) > 1)).select("doc_id", F.lower(word).alias("token"))
 
 
 def dictionary(tokens: DataFrame, documents: int, least: int = 5, most: float = 0.7) -> DataFrame:
@@ -42,7 +41,7 @@ def with_term(triples: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, gazetteer: DataFrame, fallback: DataFrame) -> DataFrame:
     """doc_id, n_links, links: words found in the gazetteer (term, uri, type), missing types filled from the fallback."""
-    words = tr.phrase_tokens(docs).select("doc_id", F.explode("tokens.word").alias("surface")).distinct()
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(tagging.TOKEN), F.lit(0)))).alias("surface")).distinct()
     found = words.join(gazetteer.select("term", "uri"), F.lower("surface") == F.col("term"))
     typed = types_of(gazetteer.select("uri").distinct(), gazetteer.where("type is not null").select("uri", "type"), fallback)
     both = found.join(typed, "uri").select("doc_id", "surface", "uri", F.element_at("types", 1).alias("type"))

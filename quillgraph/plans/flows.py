@@ -56,9 +56,11 @@ def assign_topics(docs: DataFrame, k: int = 4, iterations: int = 10) -> tuple[Da
 def triples_only(docs: DataFrame, providers: Providers = DEFAULT) -> DataFrame:
     """doc_id, phrase_id, triples (array): parsed ones first, or the patterns' alone where a phrase has none; then the patterns in order."""
     tokens = tr.phrase_tokens(docs)
-    made = F.concat(providers.svo(F.col("tokens")).cast("array<struct<subject:string,relation:string,object:string>>"), *[g(F.col("tokens")) for g in tr.GENERATORS.values()])
-    kept = F.filter(made, lambda t: tr.rule_reason(t["subject"], t["relation"], t["object"], F.col("tokens")).isNull())
-    return tokens.withColumn("triples", kept).drop("tokens", "phrase").where(F.size("triples") > 0)
+    own = "array<struct<subject:string,relation:string,object:string>>"
+    parsed = F.filter(providers.svo(F.col("tokens")).cast(own), lambda t: tr.rule_reason(t["subject"], t["relation"], t["object"], F.col("tokens")).isNull())
+    made = F.concat(*[g(F.col("tokens"), F.col("codes")) for g in tr.GENERATORS.values()])
+    patterns = F.transform(F.filter(made, lambda t: tr.generated_reason(lambda c: t[c]).isNull()), lambda t: F.struct(t["subject"].alias("subject"), t["relation"].alias("relation"), t["object"].alias("object")))
+    return tokens.withColumn("triples", F.concat(parsed, patterns)).drop("tokens", "codes", "phrase").where(F.size("triples") > 0)
 
 
 def with_topics(docs: DataFrame, assigned: DataFrame, providers: Providers = DEFAULT) -> DataFrame:
