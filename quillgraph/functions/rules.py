@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators.triples import lookup
 from .sets import strict_superset, words
-from .text import casefold, normalise_predicate
+from .text import MODALS, casefold, normalise_predicate
 
 #: Tags that can be a subject, a predicate or an object.
 SUBJECT_TAGS = ["NN", "NNS", "NNP", "NNPS", "PRP", "WP"]
 PREDICATE_TAGS = ["VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "MD"]
 OBJECT_TAGS = ["NN", "NNS", "NNP", "NNPS", "JJ", "JJR", "JJS", "CD", "RB", "PRP"]
 PREPOSITION_TAGS = ["IN", "TO"]
+ADVERB_TAGS = ["RB", "RBS", "RBP"]
+#: Forms that a normalised predicate leaves out.
+BE_HAVE = ["is", "are", "am", "was", "were", "has", "have", "had"]
 
 
 def lemma(word: Column) -> Column:
@@ -57,6 +60,19 @@ def verb_noun_preposition(tokens: Column) -> Column:
     return F.coalesce(F.get(at, F.lit(0)), F.lit(-1))
 
 
+def first_adverb(tokens: Column) -> Column:
+    return F.get(F.filter(tokens, lambda t: t["tag"].isin(ADVERB_TAGS)), F.lit(0))["word"]
+
+
+def predicate_normalised(part: Column, verb_preposition: Column, adverb: Column) -> Column:
+    """A predicate of several words without modals, without be and have unless what is left is a verb with its preposition
+    (``verb_then_preposition``), and without the phrase's first adverb. One word stays as it is."""
+    words = F.filter(F.split(part, " "), lambda w: ~F.lower(w).isin(MODALS))
+    kept = F.when(verb_preposition & (F.size(words) == 2), words).otherwise(F.filter(words, lambda w: ~F.lower(w).isin(BE_HAVE)))
+    left = F.array_join(kept, " ")
+    return F.when(F.size(F.split(part, " ")) > 1, F.when(adverb.isNull(), left).otherwise(F.replace(left, adverb, F.lit("")))).otherwise(part)
+
+
 def valid_predicate(part: Column, tokens: Column) -> Column:
     """A verb in it, and nothing that could be a subject."""
     tags = tags_of(part, tokens)
@@ -105,12 +121,14 @@ def type_names(types: Column) -> Column:
 
 def nearest_svo(tokens: Column) -> Column:
     """The default for a dependency parse: for each verb, the nearest noun on either side, as an array of triples."""
-    n = F.size(tokens)
-    verbs = F.filter(F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.get(tokens, i)["tag"].isin(PREDICATE_TAGS))
+    # a letter for each token, so that the nearest noun is found by text search and not by going through the phrase for each verb
+    kinds = F.array_join(F.transform(tokens, lambda t: F.when(t["tag"].startswith("NN"), "N").when(t["tag"].isin(PREDICATE_TAGS), "V").otherwise("-")), "")
+    verbs = F.filter(F.when(F.length(kinds) >= 3, F.sequence(F.lit(1), F.length(kinds) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(kinds, i + 1, F.lit(1)) == "V")
 
     def made(i: Column) -> Column:
-        noun = lambda part: F.filter(part, lambda t: t["tag"].startswith("NN"))
-        left, right = noun(F.slice(tokens, F.lit(1), i)), noun(F.slice(tokens, i + 2, n))
-        return F.struct(F.try_element_at(left, F.lit(-1))["word"].alias("subject"), lemma(F.get(tokens, i)["word"]).alias("relation"), F.get(right, F.lit(0))["word"].alias("object"))
+        before, behind = F.substring(kinds, F.lit(1), i), F.substring(kinds, i + 2, F.length(kinds))
+        left = F.when(before.contains("N"), F.length(before) - F.length(F.substring_index(before, "N", -1)) - 1)
+        right = F.when(behind.contains("N"), i + F.length(F.substring_index(behind, "N", 1)) + 1)
+        return F.struct(F.get(tokens, left)["word"].alias("subject"), lemma(F.get(tokens, i)["word"]).alias("relation"), F.get(tokens, right)["word"].alias("object"))
 
     return F.filter(F.transform(verbs, made), lambda t: t["subject"].isNotNull() & t["object"].isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import casefold
@@ -45,3 +45,17 @@ def triple_superset(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     for x, y in zip(a, b, strict=True):
         out = out & superset(words(x), words(y))
     return out
+
+
+def shared_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_shared, is_superset for documents (doc_id, w in lower case, distinct) and items (item_id, spelled, distinct) that share a word without case."""
+    low = b.withColumn("w", F.lower("spelled"))
+    sizes = low.groupBy("item_id").agg(F.count_distinct("w").alias("size"))
+    both = a.join(low, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.count_distinct("w").alias("n"))
+    return both.join(sizes, "item_id").select("doc_id", "item_id", "n_shared", (F.col("n") == F.col("size")).alias("is_superset"))
+
+
+def folded_map(rows: DataFrame, *group: str) -> DataFrame:
+    """Maps (group, key, value, pos) whose keys have no case: of equal keys the first spelling and the last value."""
+    out = rows.groupBy(*group, casefold(F.col("key")).alias("low")).agg(F.min_by("key", "pos").alias("key"), F.max_by("value", "pos").alias("value"))
+    return out.select(*group, "key", "value")

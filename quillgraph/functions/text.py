@@ -64,7 +64,7 @@ def normalise_sentence(text: Column) -> Column:
 
 
 def normalise_predicate(predicate: Column) -> Column:
-    """Without modals; be and have go too, unless the next word is a preposition or they stand alone."""
+    """Without modals; be and have go too, unless they stand alone. ``rules.predicate_normalised`` heeds tags as well."""
     words = F.filter(F.split(predicate, " "), lambda w: (w != "") & ~F.lower(w).isin(MODALS))
     main = F.filter(words, lambda w: ~F.lower(w).isin(AUXILIARIES))
     return F.array_join(F.when(F.size(main) > 0, main).otherwise(words), " ")

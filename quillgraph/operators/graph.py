@@ -48,16 +48,15 @@ def pair_features(triples: DataFrame, vectors: DataFrame, width: int) -> DataFra
     return out.withColumn("features", F.concat(F.coalesce("subject_vec", zeros), F.coalesce("object_vec", zeros))).drop("subject_vec", "object_vec")
 
 
-def ancestors(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """class, ancestor, depth over subclass edges (child, parent): joined step by step until nothing is new. Cycles end at the first repeat."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """class, ancestor, depth over subclass edges (child, parent): joined step by step until nothing is new, however deep. Cycles end at the first repeat."""
     own = edges.select("child", "parent").distinct()
     found = cut(own.select(F.col("child").alias("class"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    last = found
-    for depth in range(2, rounds + 1):
+    last, depth = found, 1
+    while not last.isEmpty():
+        depth += 1
         step = last.join(own, last["ancestor"] == own["child"]).select("class", F.col("parent").alias("ancestor")).distinct()
         last = cut(step.join(found, ["class", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if last.isEmpty():
-            break
         found = cut(found.unionByName(last))
     return found
 

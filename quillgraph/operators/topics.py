@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Topic shares below this count as 0.
 LEAST_SHARE = 0.01
-#: Terms a vocabulary keeps.
-VOCABULARY = 100_000
+#: Terms that a vocabulary may have: it and the model's tables lie on the driver.
+MOST_TERMS = 2_000_000
 
 
 def grid(ks: list[int], alphas: list[float | str], etas: list[float | str]) -> list[dict]:
@@ -33,8 +33,12 @@ def _prior(value: float | str, k: int) -> list[float]:
 
 def bag_of_words(tokens: DataFrame, least: int = 5, most: float = 0.7) -> tuple[DataFrame, CountVectorizerModel]:
     """doc_id, features from doc_id, token rows."""
+    df = tokens.distinct().groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    terms = df.count()
+    if terms > MOST_TERMS:
+        raise ValueError(f"{terms} terms, more than {MOST_TERMS}; prune the vocabulary first")
     gathered = tokens.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
-    model = CountVectorizer(inputCol="tokens", outputCol="features", minDF=least, maxDF=most, vocabSize=VOCABULARY).fit(gathered)
+    model = CountVectorizer(inputCol="tokens", outputCol="features", minDF=least, maxDF=most, vocabSize=max(1, terms)).fit(gathered)
     return model.transform(gathered).select("doc_id", "features"), model
 
 

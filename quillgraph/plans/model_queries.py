@@ -30,21 +30,13 @@ def lda_grid(spark, sf_dir):
     return topics.best(topics.search(cut(features), words, tokens, configs, iterations=5))
 
 
-@entry(f"""with {_BAG}, ct as (select source as topic, token, count(*) as n from bag join documents using (doc_id) where source in ('src1', 'src2', 'src3') group by all),
+@entry(f"""with {_BAG}, ct as (select source as topic, token, count(*) as n from bag join documents using (doc_id) group by all),
 tm as (select topic, token, row_number() over (partition by topic order by n desc, token) as rank from ct qualify rank <= 6), us as (select distinct doc_id, token from bag),
 pr as (select x.topic, x.token as a, y.token as b from tm x join tm y on x.topic = y.topic and y.rank < x.rank),
 sc as (select topic, ln(((select count(*) from us u join us v using (doc_id) where u.token = a and v.token = b) + 1) / greatest(1, (select count(*) from us where token = b))) as v from pr)
 select topic, round(avg(v), 6) as coherence from sc group by topic""")
 def umass_coherence(spark, sf_dir):
-    return _umass(spark, sf_dir, docs(spark, sf_dir, "doc_id", "source").where(F.col("source").isin("src1", "src2", "src3")))
-
-
-@entry()
-def umass_coherence_whole(spark, sf_dir):
-    return _umass(spark, sf_dir, docs(spark, sf_dir, "doc_id", "source"))
-
-
-def _umass(spark, sf_dir, sources):
+    sources = docs(spark, sf_dir, "doc_id", "source")
     tokens = cut(_tokens(spark, sf_dir))
     counted = tokens.join(sources, "doc_id").groupBy(F.col("source").alias("topic"), "token").agg(F.count("*").alias("n"))
     terms = vo.top_per(counted, "topic", F.desc("n"), "token", n=6).select("topic", F.col("place").alias("rank"), F.col("token").alias("term"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import sets, tagging, text
+from ..functions import rules, sets, tagging, text
 from ..operators import triples as tr
 from ..operators import vocabulary as vo
+from ..session import stored
 from .common import entry, table
 
 # --- SQL shared by the entries -------------------------------------------------------------------------------------
@@ -104,8 +105,7 @@ def phrases(spark, sf_dir):
 
 @entry(f"with {TOK} select doc_id, phrase_id::int as phrase_id, pos::int as pos, word, tag from tok")
 def pos_map(spark, sf_dir):
-    out = tr.phrase_tokens(docs(spark, sf_dir, "doc_id", "text"))
-    return out.select("doc_id", "phrase_id", F.posexplode("tokens").alias("pos", "t")).select("doc_id", "phrase_id", "pos", "t.word", "t.tag")
+    return tr.phrase_words(docs(spark, sf_dir, "doc_id", "text")).select("doc_id", "phrase_id", "pos", "word", "tag")
 
 
 @entry(f"with {TOK} select doc_id, lower(word) as token, count(*) as n from tok where tag not in ('RB','PRP','CC','DT','IN','TO','MD') and regexp_matches(word, '^\\p{{L}}+$') and length(word) > 1 group by all")
@@ -144,25 +144,25 @@ def triples_all(spark, sf_dir):
 @entry(f"with {VALID} select coalesce(reason, 'valid') as reason, relation, count(*) as n from judged group by all")
 def validate_rule(spark, sf_dir):
     made = tr.generate(tr.phrase_tokens(docs(spark, sf_dir, "doc_id", "text")))
-    reason = tr.rule_reason(F.col("subject"), F.col("relation"), F.col("object"), F.col("tokens"))
-    return made.groupBy(F.coalesce(reason, F.lit("valid")).alias("reason"), "relation").agg(F.count("*").alias("n"))
+    return made.groupBy(F.coalesce(tr.generated_reason(), F.lit("valid")).alias("reason"), "relation").agg(F.count("*").alias("n"))
 
 
-_POS = f"""with {RAW}, looked as (select raw.*, coalesce(s.tag, '.') as st, coalesce(o.tag, '.') as ot from raw
-left join tok s on s.doc_id = raw.doc_id and s.phrase_id = raw.phrase_id and s.word = raw.subject
-left join tok o on o.doc_id = raw.doc_id and o.phrase_id = raw.phrase_id and o.word = raw.object),
-judged as (select case when subject = object or subject = relation or relation = object then 'equal parts'
-when st in ('CC','DT','EX','IN','TO','UH') or (st in ('VB','VBP','VBZ') and lower(subject) not in ('being','having')) then 'subject tag'
-when lower(relation) not in ('locatedat','isat','has','have','had','is','are','was','were') then 'predicate tag'
-when ot in ('CC','DT','EX','TO','UH') or (ot in ('VB','VBP','VBZ') and lower(object) not in ('being','having')) then 'object tag' end as reason from looked)
-select coalesce(reason, 'valid') as reason, count(*) as n from judged group by all"""
+_CORE = _in(tr.PREDICATE_CORE)
+_POS = f"""with {TOK}, three as (select word as s, w1 as r, w2 as o, tag as st, t1 as rt, t2 as ot from tok where w2 is not null),
+judged as (select case when lower(r) in ('the', 'a', 'an') then 'article as relation'
+when st in ('CC','DT','EX','IN','TO','UH') or (st in ('VB','VBP','VBZ') and lower(s) not in ('being','having')) then 'subject tag'
+when lower(r) not in ('locatedat','isat','has','have','had','is','are','was','were') and not list_contains({_CORE}, rt) then 'predicate tag'
+when ot in ('CC','DT','EX','TO','UH') or (ot in ('VB','VBP','VBZ') and lower(o) not in ('being','having')) then 'object tag' end as reason, st, rt, ot from three)
+select coalesce(reason, 'valid') as reason, st as subject_tag, rt as relation_tag, ot as object_tag, count(*) as n from judged group by all"""
 
 
 @entry(_POS)
 def validate_pos(spark, sf_dir):
-    made = tr.generate(tr.phrase_tokens(docs(spark, sf_dir, "doc_id", "text")))
-    reason = tr.pos_reason(F.col("subject"), F.col("relation"), F.col("object"), F.col("tokens"))
-    return made.groupBy(F.coalesce(reason, F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+    """Runs of three words as triples, so that every rule is met."""
+    tokens = tr.phrase_tokens(docs(spark, sf_dir, "doc_id", "text"))
+    made = tokens.select(F.explode(tr.word_runs(F.col("tokens"))).alias("t")).select("t.*")
+    reason = tr.generated_pos_reason(relation_tag=F.col("relation_tag"))
+    return made.groupBy(F.coalesce(reason, F.lit("valid")).alias("reason"), "subject_tag", "relation_tag", "object_tag").agg(F.count("*").alias("n"))
 
 
 _BENCH_WORDS = "bw as (select distinct lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) as term from benchmark)"
@@ -206,49 +206,61 @@ _modals = _in(text.MODALS)
 _aux = _in(text.AUXILIARIES)
 
 
-@entry(f"""with w as (select doc_id, list_filter(string_split(left(text, 2000), ' '), lambda x: x <> '' and not list_contains({_modals}, lower(x))) as a from documents),
+@entry(f"""with w as (select doc_id, list_filter(string_split(text, ' '), lambda x: x <> '' and not list_contains({_modals}, lower(x))) as a from documents),
 m as (select doc_id, a, list_filter(a, lambda x: not list_contains({_aux}, lower(x))) as b from w)
 select doc_id, md5(array_to_string(case when len(b) > 0 then b else a end, ' ')) as digest from m""")
 def predicate_normalise(spark, sf_dir):
-    return docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(text.normalise_predicate(F.left("text", F.lit(2000)))).alias("digest"))
+    return docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(text.normalise_predicate(F.col("text"))).alias("digest"))
 
 
-@entry()
-def predicate_normalise_whole(spark, sf_dir):
-    """Of the whole text; predicate_normalise and its SQL take the first 2000 characters."""
-    return docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(text.normalise_predicate(F.col("text"))).alias("digest"))
+_verbs = _in(rules.PREDICATE_TAGS)
 
 
-@entry("""with w as (select doc_id, list_distinct(regexp_extract_all(text, '[A-Za-z]+')) as a from documents),
-b as (select item_id, list_distinct(regexp_extract_all(text, '[A-Za-z]+')) as b from benchmark)
-select doc_id, item_id, len(list_distinct(list_filter(b, lambda x: list_contains(list_transform(a, lambda y: lower(y)), lower(x))))) as n_shared,
-  list_has_all(list_transform(a, lambda y: lower(y)), list_transform(b, lambda y: lower(y))) as is_superset from w join b on doc_id % 40 = item_id""")
-def case_insensitive_sets(spark, sf_dir):
-    return _case_insensitive_sets(spark, sf_dir, F.col("doc_id") % 40 == F.col("item_id"))
+@entry(f"""with {TOK}, adv as (select doc_id, phrase_id, arg_min(word, pos) as a from tok where tag in ('RB','RBS','RBP') group by all),
+pr as (select doc_id, phrase_id, word || ' ' || w1 as p, list_contains({_verbs}, tag) and t1 in ('IN','TO') as kept, a, list_filter([word, w1], lambda x: not list_contains({_modals}, lower(x))) as m
+  from tok left join adv using (doc_id, phrase_id) where w1 is not null and (list_contains({_verbs}, tag) or list_contains({_verbs}, t1))),
+n as (select doc_id, p, array_to_string(case when kept and len(m) = 2 then m else list_filter(m, lambda x: not list_contains({_in(rules.BE_HAVE)}, lower(x))) end, ' ') as v, a from pr)
+select doc_id, p as predicate, case when a is null then v else replace(v, a, '') end as normal, count(*) as n from n group by all""")
+def predicate_rules(spark, sf_dir):
+    """Runs of two words with a verb as predicates, normalised by the tags of their phrase."""
+    tokens = tr.phrase_tokens(docs(spark, sf_dir, "doc_id", "text"))
+    word, tag = (lambda i: F.get("tokens", i)["word"]), (lambda i: F.get("tokens", i)["tag"])
+    verb = lambda i: tag(i).isin(rules.PREDICATE_TAGS)
+    places = F.when(F.size("tokens") > 1, F.sequence(F.lit(0), F.size("tokens") - 2)).otherwise(F.array().cast("array<int>"))
+    adverb = rules.first_adverb(F.col("tokens"))
+    made = F.transform(F.filter(places, lambda i: verb(i) | verb(i + 1)), lambda i: F.struct(F.concat_ws(" ", word(i), word(i + 1)).alias("predicate"), (verb(i) & tag(i + 1).isin(rules.PREPOSITION_TAGS)).alias("kept")))
+    rows = tokens.select("doc_id", adverb.alias("adverb"), F.explode(made).alias("p")).select("doc_id", "adverb", "p.*")
+    return rows.groupBy("doc_id", "predicate", rules.predicate_normalised(F.col("predicate"), F.col("kept"), F.col("adverb")).alias("normal")).agg(F.count("*").alias("n"))
 
 
-@entry()
-def case_insensitive_sets_whole(spark, sf_dir):
-    """Every document with every item."""
-    return _case_insensitive_sets(spark, sf_dir, F.lit(True))
+@entry("""with a as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as w from documents),
+b as (select distinct item_id, x as spelled, lower(x) as w from (select item_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) as x from benchmark)),
+s as (select item_id, count(distinct w) as size from b group by item_id)
+select doc_id, item_id, count(*) as n_shared, count(distinct w) = any_value(size) as is_superset from a join b using (w) join s using (item_id) group by doc_id, item_id""")
+def case_insensitive_sets(spark, sf_dir):
+    """Documents and items that share a word, whatever its case: how many of the item's words, and whether all."""
+    a = docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))
+    return sets.shared_words(a, table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("spelled")))
 
 
-def _case_insensitive_sets(spark, sf_dir, on):
-    own = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)))
-    a = docs(spark, sf_dir, "doc_id", "text").select("doc_id", own("text").alias("a"))
-    b = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", own("text").alias("b"))
-    both = a.join(b, on)
-    shared = F.coalesce(F.size(sets.shared_ignoring_case(F.col("a"), F.col("b"))), F.lit(0)).cast("long")
-    return both.select("doc_id", "item_id", shared.alias("n_shared"), sets.superset(sets.folded(F.col("a")), sets.folded(F.col("b"))).alias("is_superset"))
+@entry("""with w as (select doc_id, unnest(ws) as key, unnest(range(len(ws))) as pos from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as ws from documents))
+select doc_id, arg_min(key, pos) as first_spelling, max(pos)::int as last_value from w group by doc_id, lower(key)""")
+def case_insensitive_map(spark, sf_dir):
+    """Words as keys without case, their places as values: the first spelling and the last value stay."""
+    words = docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "key"))
+    return sets.folded_map(words.withColumn("value", F.col("pos")), "doc_id").select("doc_id", F.col("key").alias("first_spelling"), F.col("value").alias("last_value"))
 
 
-@entry(f"""with {VALID}, u as (select doc_id, phrase_id, subject, relation, object, min(rn) as seq from (select *, row_number() over (partition by doc_id, phrase_id order by subject, relation, object) as rn from valid) group by all)
-select doc_id, phrase_id::int as phrase_id, subject, relation, object from u a where not exists (select 1 from u b where b.doc_id = a.doc_id and b.phrase_id = a.phrase_id and b.seq <> a.seq
- and lower(b.subject) = lower(a.subject) and lower(b.relation) = lower(a.relation) and lower(b.object) = lower(a.object) and b.seq < a.seq)""")
+@entry(f"""with {VALID}, longer as (select doc_id, phrase_id, subject, relation, object from valid union all select doc_id, phrase_id, subject || ' ' || object, relation, object from valid where length(subject) % 2 = 0),
+u as (select *, row_number() over (partition by doc_id, phrase_id order by subject, relation, object) as seq, list_distinct(string_split(lower(subject), ' ')) as s, list_distinct(string_split(lower(relation), ' ')) as r, list_distinct(string_split(lower(object), ' ')) as o from longer)
+select distinct doc_id, phrase_id::int as phrase_id, subject, relation, object from u a where not exists (select 1 from u b where b.doc_id = a.doc_id and b.phrase_id = a.phrase_id and b.seq <> a.seq
+ and list_has_all(b.s, a.s) and list_has_all(b.r, a.r) and list_has_all(b.o, a.o) and (not (list_has_all(a.s, b.s) and list_has_all(a.r, b.r) and list_has_all(a.o, b.o)) or b.seq < a.seq))""")
 def superset_maximal(spark, sf_dir):
-    valid = valid_triples(spark, sf_dir)
+    """Valid triples, and for some of them one whose subject holds the object's words too."""
+    valid = valid_triples(spark, sf_dir).select("doc_id", "phrase_id", "subject", "relation", "object")
+    longer = valid.where(F.length("subject") % 2 == 0).withColumn("subject", F.concat_ws(" ", "subject", "object"))
     place = F.row_number().over(Window.partitionBy("doc_id", "phrase_id").orderBy("subject", "relation", "object"))
-    kept = tr.maximal(valid.withColumn("triple_seq", place), "doc_id", "phrase_id")
+    kept = tr.maximal(stored(valid.union(longer).withColumn("triple_seq", place)), "doc_id", "phrase_id")
     return kept.select("doc_id", "phrase_id", "subject", "relation", "object").distinct()
 
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables, by brute force; the entries of the same name without _whole follow their SQL, which cuts."""
+"""Queries over whole tables, by brute force."""
 
 import hashlib
 
@@ -6,11 +6,11 @@ from quillgraph.functions import text
 from quillgraph.plans import registry
 
 
-def test_predicate_normalise_takes_the_whole_text(spark, tmp_path):
+def test_predicate_normalise_takes_the_text(spark, tmp_path):
     long = "it can be " + "running fast " * 400
     rows = [(1, long + "to the end"), (2, long + "to the edge"), (3, "has been"), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.digest for r in registry.queries()["predicate_normalise_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.digest for r in registry.queries()["predicate_normalise"](spark, str(tmp_path)).collect()}
 
     def brute(t):
         words = [w for w in t.split(" ") if w and w.lower() not in text.MODALS]
@@ -29,7 +29,7 @@ def test_every_row_of_the_table_takes_part(spark):
     customers, vectors = rows("customer").collect(), rows("embeddings").collect()
     nation = {r.n_nationkey: r.n_regionkey for r in rows("nation").collect()}
     want = {("c%d" % r.c_custkey, x, d) for r in customers for x, d in (("n%d" % r.c_nationkey, 1), ("r%d" % nation[r.c_nationkey], 2), ("world", 3))}
-    got = {tuple(r) for r in run("ontology_hierarchy_whole").collect()}
+    got = {tuple(r) for r in run("ontology_hierarchy").collect()}
     assert {r for r in got if r[0][0] == "c"} == want
 
     known = {(r.c_custkey, (r.c_nationkey + d) % 25) for r in customers for d in (1, 2)}
@@ -39,19 +39,19 @@ def test_every_row_of_the_table_takes_part(spark):
         left = [n for n in nation if n != r.c_nationkey and (r.c_custkey, n) not in known]
         own = score[r.c_nationkey]
         ranks.append(1 + sum(score[n] > own for n in left) + 0.5 * sum(score[n] == own for n in left))
-    got = run("filtered_rank_metrics_whole").first()
+    got = run("filtered_rank_metrics").first()
     assert abs(got.mrr - sum(1 / x for x in ranks) / len(ranks)) < 1e-5 and abs(got.hits10 - sum(x <= 10 for x in ranks) / len(ranks)) < 1e-5
 
-    assert run("silhouette_whole").count() == len(vectors) and run("cluster_top_terms_whole").count() == 30
+    assert run("silhouette").count() == len(vectors) and run("cluster_top_terms").count() == 30
     assert run("clusters_hierarchical").select("topic").distinct().count() == len({r.label for r in vectors})
     assert run("clusters_hierarchical").count() == len(vectors)
-    assert run("umass_coherence_whole").count() == rows("documents").select("source").distinct().count()
+    assert run("umass_coherence").count() == rows("documents").select("source").distinct().count()
     graph = registry.model_queries._graph(spark, SF)
     assert graph.where("relation = 'has_property'").count() > 0
 
 
-def test_every_document_meets_every_item(spark, tmp_path):
+def test_documents_meet_all_items_they_share_words_with(spark, tmp_path):
     spark.createDataFrame([(1, "The cat sat"), (2, "A dog")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "CAT the"), (99, "dog cat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {tuple(r) for r in registry.queries()["case_insensitive_sets_whole"](spark, str(tmp_path)).collect()}
-    assert got == {(1, 7, 2, True), (1, 99, 1, False), (2, 7, 0, False), (2, 99, 1, False)}
+    got = {tuple(r) for r in registry.queries()["case_insensitive_sets"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 7, 2, True), (1, 99, 1, False), (2, 99, 1, False)}
