@@ -28,12 +28,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset (tests, local mode)."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, one of our own in local mode (tests); a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='quillgraph-checkpoint-')}"
-    return folder
+    if folder:
+        return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quillgraph-checkpoint-')}")
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -52,9 +57,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget_stored(spark: SparkSession) -> None:
-    """Deletes what stored() has written in this process. For a caller that is done with the results."""
-    for path in _written:
+def stored_so_far() -> int:
+    """How many tables stored() has written in this process: a mark for forget_stored()."""
+    return len(_written)
+
+
+def forget_stored(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Deletes what stored() has written after that mark, but for the last few. For a caller that is done with them."""
+    done = _written[since : len(_written) - but]
+    for path in done:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _written.clear()
+    del _written[since : len(_written) - but]
