@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,6 +20,36 @@ ALNUM_TABLE = bytes(
 )
 
 
+_held: dict[str, object] = {}
+
+
+def held(owner: str, make: Callable):
+    """A worker's tables of one operator. Workers are reused, so those of the operator before go when another one begins."""
+    if owner not in _held:
+        release()
+        _held[owner] = make()
+    return _held[owner]
+
+
+def release() -> None:
+    """Drops the tables held in this process and hands free memory back to the system."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or name with underscores before it until no column has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table, so that the scan reads no others."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -43,11 +76,12 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of so many rows, so that what a step makes of one stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, and of so many bytes if those are more than a row, so that what a step makes of one stays small."""
     for batch in batches:
-        for low in range(0, len(batch), rows):
-            yield batch.slice(low, rows)
+        each = max(1, min(rows, size * len(batch) // max(batch.nbytes, 1)))
+        for low in range(0, len(batch), each):
+            yield batch.slice(low, each)
 
 
 def crc_mod(column: str | Column, modulus: int) -> Column:
@@ -57,6 +91,13 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
 
 
 def with_columns(batch: pa.RecordBatch, drop: tuple[str, ...], added: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch without the dropped columns and with the added ones at its end."""
-    names = [n for n in batch.schema.names if n not in drop and n not in added]
-    return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(added.values()), names=[*names, *added])
+    """The batch without the dropped columns and with the added ones at its end, which replace those of their names (case aside, as in Spark)."""
+    gone = {n.lower() for n in (*drop, *added)}
+    kept = [i for i, n in enumerate(batch.schema.names) if n.lower() not in gone]
+    return pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + list(added.values()), names=[*(batch.schema.names[i] for i in kept), *added])
+
+
+def fields_with(schema: T.StructType, drop: tuple[str, ...], added: list[T.StructField]) -> T.StructType:
+    """The schema of with_columns()."""
+    gone = {n.lower() for n in (*drop, *(f.name for f in added))}
+    return T.StructType([*(f for f in schema if f.name.lower() not in gone), *added])

@@ -1,72 +1,113 @@
 """Benchmark decontamination: a prefix-filtered containment join of documents against item windows.
 
-A window is ``window`` consecutive words of an item (an item with fewer words, but not none, is one window).
-A document contains a window only if all its words occur in order, so the required overlap is the whole window
-and the necessary prefix under a global rarity order is one word: the window's rarest. Document words are joined
-to that prefix word alone; the word's place in the window gives the only possible start (positional bound), a
-start before the text or an end behind it is dismissed (length bound), and the words there are compared exactly.
-
-The item index is broadcast in blocks of at most ``block_bytes`` of item text: one block is the usual case, more
-are applied one after the other to all documents, so memory stays bounded however many items there are.
+A window is ``window`` consecutive words of an item (an item with fewer words, but not none, is one window). Its
+shingles are its pairs of neighbouring words (of a window of one word, the word). They are ordered by rarity: how often
+each stands in all documents, counted first. A document contains a window only if it contains all its shingles, so the
+necessary prefix is one shingle, the window's rarest. Document shingles are joined to those prefixes; the place of the
+prefix in the window gives the only possible start (positional bound), a start before the text or an end behind it is
+dismissed (length bound), and the item-sized window of document words there is compared exactly.
+
+Items are cut on the executors into chunks of ``CHUNK`` words that overlap by a window less one, so no item is too large
+for the index. The index takes at most about ``INDEX_BYTES`` in memory (``BYTES_A_WORD`` for each item word, measured): one
+block of chunks is the usual case. More blocks are joined one after the other to the documents; each gives only the
+hits, which are brought together by the text's digest, so documents aren't written again.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no window; equal items are
-all reported; repeated document rows each give a row; other columns of the documents pass through ``mark`` unless
-they clash with an output column, which then replaces them.
+all reported; an item whose id is null hits words, but has no id to report or count; repeated document rows each give a
+row; an empty table gives an empty one, and without items no document is hit. ``mark`` hands all columns on and puts its
+results under the names it is given; a column of such a name is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
-from .common import ALNUM_TABLE, alnum_words, table, texts_as_bytes, with_columns
+from ..session import stored
+from .common import ALNUM_TABLE, LOWER, UPPER, alnum_words, fields_with, fresh, held, slices, table, texts_as_bytes, with_columns
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
-
+#: Words of a chunk of an item.
+CHUNK = 4000
+#: Memory of one block's index, and what a word of an item takes of it.
+INDEX_BYTES, BYTES_A_WORD = 96 << 20, 400
 #: What mark() adds: words, hit runs as [start, end) pairs, items with an occurring window.
-ADDED = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hit_runs", T.ArrayType(T.LongType())),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-def build_index(items: list[tuple[str, str | None]], window: int) -> tuple[dict, dict]:
-    """prefix word -> ((offset, length), ...), and window words -> item ids."""
-    windows: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        words = alnum_words((text or "").encode("utf-8", "surrogatepass"))
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            windows.setdefault(tuple(words[i : i + size]), set()).add(item)
-    frequency = Counter(word for w in windows for word in set(w))
-    places: dict[bytes, set[tuple[int, int]]] = {}
-    for w in windows:
-        rarest = min(w, key=lambda word: (frequency[word], word))
-        places.setdefault(rarest, set()).add((w.index(rarest), len(w)))
-    return {w: tuple(sorted(p)) for w, p in places.items()}, {w: tuple(sorted(x)) for w, x in windows.items()}
-
-
-def find(words: list[bytes], places: dict, windows: dict) -> tuple[list[tuple[int, int]], set[str]]:
-    """(start, end) of every occurrence, and the items."""
-    found, items, n = [], set(), len(words)
-    for i in [i for i, w in enumerate(words) if w in places]:
-        for offset, length in places[words[i]]:
-            start = i - offset
-            if start >= 0 and start + length <= n and (hit := windows.get(tuple(words[start : start + length]))):
-                found.append((start, start + length))
-                items.update(hit)
-    return found, items
+NAMES = ("n_words", "hit_runs", "item_ids")
+
+Chunk = tuple[str | None, int, bytes]
+
+
+def chunks_of(words: list[bytes], window: int, chunk: int = CHUNK) -> Iterator[list[bytes]]:
+    """Parts of an item such that each window is in one."""
+    for low in range(0, max(len(words) - window + 1, 1) if words else 0, chunk):
+        yield words[low : low + chunk + window - 1]
+
+
+def shingles(words: list[bytes]) -> list[bytes]:
+    """Pairs of neighbouring words."""
+    return [a + b" " + b for a, b in zip(words, words[1:])]
+
+
+class Index:
+    """Item words in one list, and for each prefix shingle the distinct windows that have it as their rarest."""
+
+    def __init__(self, chunks: Iterable[Chunk], window: int) -> None:
+        """chunks: (item_id, words of the whole item if fewer than a window else the window, text of the chunk)."""
+        self.words: list[bytes] = []
+        self.owners: list[set[str]] = []  # of each distinct window
+        self.sizes: list[int] = []
+        self.starts: list[int] = []
+        known: dict[tuple[bytes, ...], int] = {}
+        same: dict[bytes, bytes] = {}
+        for item, size, text in chunks:
+            own = [same.setdefault(w, w) for w in text.split()]
+            base = len(self.words)
+            self.words += own
+            for i in range(len(own) - size + 1):
+                number = known.setdefault(tuple(own[i : i + size]), len(known))
+                if number == len(self.owners):
+                    self.owners.append(set())
+                    self.starts.append(base + i)
+                    self.sizes.append(size)
+                if item is not None:
+                    self.owners[number].add(item)
+        self.prefixes: dict[bytes, list[tuple[int, int]]] = {}  # shingle -> (window, place of the shingle in it)
+
+    def vocabulary(self) -> set[bytes]:
+        """Shingles of the windows."""
+        out = set()
+        for start, size in zip(self.starts, self.sizes, strict=True):
+            own = self.words[start : start + size]
+            out.update(shingles(own) if size > 1 else own)
+        return out
+
+    def order(self, frequency: dict[bytes, int]) -> Index:
+        """Chooses each window's prefix by the frequency of shingles in the documents, equals by name."""
+        self.prefixes = {}
+        for number, (start, size) in enumerate(zip(self.starts, self.sizes, strict=True)):
+            own = self.words[start : start + size]
+            every = shingles(own) if size > 1 else own
+            at = min(range(len(every)), key=lambda i: (frequency.get(every[i], 0), every[i]))
+            self.prefixes.setdefault(every[at], []).append((number, at))
+        return self
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """(start, end) of every occurrence in a document's words, and the items."""
+        found, items, n, prefixes = [], set(), len(words), self.prefixes
+        for own in (shingles(words), words) if 1 in self.sizes else (shingles(words),):
+            for i in [i for i, s in enumerate(own) if s in prefixes]:
+                for number, at in prefixes[own[i]]:
+                    start, size, there = i - at, self.sizes[number], self.starts[number]
+                    if start >= 0 and start + size <= n and words[start : start + size] == self.words[there : there + size]:
+                        found.append((start, start + size))
+                        items |= self.owners[number]
+        return found, items
 
 
 def merge_runs(found: list[tuple[int, int]]) -> list[int]:
@@ -80,39 +121,101 @@ def merge_runs(found: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every row of docs with n_words, hit_runs and item_ids; items has item_id and text."""
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("item_id").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    schema = T.StructType([f for f in docs.schema if f.name not in ADDED.names] + list(ADDED))
-    out = docs
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], window))
-
-        def step(batches: Iterator[pa.RecordBatch], index=index, first=block == 0) -> Iterator[pa.RecordBatch]:
-            places, windows = index.value
-            for batch in batches:
-                n_words, runs, ids = [], [], []
-                before = [[]] * len(batch) if first else batch.column("hit_runs").to_pylist()
-                known = [[]] * len(batch) if first else batch.column("item_ids").to_pylist()
-                for row, raw in enumerate(texts_as_bytes(batch, text)):
-                    words = alnum_words(raw)
-                    found, hit = find(words, places, windows)
-                    n_words.append(len(words))
-                    runs.append(merge_runs(found + list(zip(before[row][::2], before[row][1::2], strict=True))) if found else before[row])
-                    ids.append(sorted({*known[row], *hit}) if hit else known[row])
-                yield with_columns(batch, (), {"n_words": pa.array(n_words, pa.int64()), "hit_runs": pa.array(runs, pa.list_(pa.int64())), "item_ids": pa.array(ids, pa.list_(pa.string()))})
-
-        out = out.mapInArrow(step, schema)
-        if blocks > 1:
-            out = cut(out)
+def item_chunks(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, size, words, n): chunks of all items (item_id, text), written once."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[list] = [[], [], [], []]
+            for item, raw in zip(batch.column("item_id").to_pylist(), texts_as_bytes(batch), strict=True):
+                words = alnum_words(raw)
+                for part in chunks_of(words, window):
+                    for column, value in zip(out, (item, min(window, len(words)), b" ".join(part), len(part)), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["item_id", "size", "words", "n"])
+
+    own = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
+    return stored(own.mapInArrow(step, "item_id string, size long, words binary, n long").distinct())
+
+
+def frequencies(docs: DataFrame, text: str, index: Index) -> dict[bytes, int]:
+    """How often each shingle of the index stands in the documents; at most as many numbers as the index has shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(index.vocabulary()))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("decontaminate", dict)
+        wanted, total = shared.value, Counter()
+        single = any(b" " not in s for s in wanted)
+        for batch in slices(batches):
+            for raw in texts_as_bytes(batch, text):
+                words = alnum_words(raw)
+                total.update(filter(wanted.__contains__, shingles(words)))
+                if single:
+                    total.update(filter(wanted.__contains__, words))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["shingle", "n"])
+
+    counted = docs.select(text).mapInArrow(step, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    out = {bytes(r.shingle): r.n for r in counted.collect()}
+    shared.unpersist()
     return out
 
 
-def hit_count(runs: str = "hit_runs"):
+def _marks(docs: DataFrame, text: str, names: tuple[str, str, str], index: Index | None, hits_only: bool = False) -> DataFrame:
+    """Every row, or each row that is hit, with its results by one index; without an index no row is hit."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    added = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())), strict=True)]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("decontaminate", dict)
+        own = shared.value
+        for batch in slices(batches):
+            n_words, runs, ids = [], [], []
+            for raw in texts_as_bytes(batch, text):
+                words = alnum_words(raw)
+                found, hit = own.find(words) if own else ((), ())
+                n_words.append(len(words))
+                runs.append(merge_runs(found))
+                ids.append(sorted(hit))
+            out = with_columns(batch, (), dict(zip(names, (pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))), strict=True)))
+            yield out.filter(pa.array([bool(r) for r in runs], pa.bool_())) if hits_only else out
+
+    return docs.mapInArrow(step, fields_with(docs.schema, (), added))
+
+
+def _joined_runs(runs: Column) -> Column:
+    """Runs of several blocks, an array of flat arrays, as disjoint ones."""
+    pairs = F.array_sort(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2 - 1).cast("int")), lambda i: F.struct(F.get(r, 2 * i).alias("a"), F.get(r, 2 * i + 1).alias("b"))))))
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, p: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.greatest(last(acc), p["b"])))
+    return F.aggregate(pairs, F.array().cast("array<bigint>"), lambda acc, p: F.when((F.size(acc) > 0) & (p["a"] <= F.try_element_at(acc, F.lit(-1))), longer(acc, p)).otherwise(F.concat(acc, F.array(p["a"], p["b"]))))
+
+
+def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, index_bytes: int = INDEX_BYTES, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """Every row of docs with its number of words, hit runs and the ids of items that hit it; items has item_id and text."""
+    chunks = item_chunks(items, window)
+    total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total * BYTES_A_WORD // index_bytes))
+
+    def index_of(block: int) -> Index:
+        part = chunks if blocks == 1 else chunks.where(F.pmod(F.xxhash64("words", "size"), F.lit(blocks)) == block)
+        own = Index(((r.item_id, r.size, bytes(r.words)) for r in part.select("item_id", "size", "words").toLocalIterator()), window)
+        return own.order(frequencies(docs, text, own) if own.sizes else {})
+
+    if blocks == 1:
+        own = index_of(0)
+        return _marks(docs, text, names, own if own.sizes else None)
+    key = fresh("digest", docs.columns)
+    hits = None
+    for block in range(blocks):
+        found = stored(_marks(docs.select(F.col(text).alias("text")).distinct(), "text", NAMES, index_of(block), True).select(F.md5("text").alias(key), *NAMES[1:]))
+        hits = found if hits is None else hits.union(found)
+    runs, ids = fresh("runs", docs.columns), fresh("ids", docs.columns)
+    hits = hits.groupBy(key).agg(_joined_runs(F.collect_list("hit_runs")).alias(runs), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias(ids))
+    counted = _marks(docs, text, names, None).withColumn(key, F.md5(F.col(text))).join(hits, key, "left")
+    return counted.withColumns({names[1]: F.coalesce(runs, F.col(names[1])), names[2]: F.coalesce(ids, F.col(names[2]))}).drop(key, runs, ids)
+
+
+def hit_count(runs: str = "hit_runs") -> Column:
     """Document words inside any occurrence: ends minus starts."""
     return F.aggregate(F.transform(runs, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -131,22 +234,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: hit words are cut out of the text, a document of which under half of the words is left goes."""
-    columns = docs.columns
-    schema = T.StructType(docs.schema.fields)
-    marked = mark(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    left = marked.where(hit_count() * 2 <= F.col("n_words"))
-    cleaned = left.select(*columns, "hit_runs").mapInArrow(_excise, schema)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    """Pipeline stage: hit words are cut out of the text, a document of which under half of the words is left goes.
 
+    Null, empty and unhit texts stay as they are; an empty table stays empty; repeated rows are treated alike; all columns
+    stay, whatever their names, and n_chars, where there is one, follows the text.
+    """
+    names = tuple(fresh(n, docs.columns) for n in NAMES)
+    marked = mark(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), names=names)
+    left = marked.where(hit_count(names[1]) * 2 <= F.col(names[0])).drop(names[0], names[2])
+    runs = names[1]
 
-def _excise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for value, runs in zip(batch.column("text").to_pylist(), batch.column("hit_runs").to_pylist(), strict=True):
-            out.append(excise(value, runs) if runs else value)
-        arrays = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "hit_runs"]
-        yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n != "hit_runs"])
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = [excise(v, r) if r else v for v, r in zip(batch.column("text").to_pylist(), batch.column(runs).to_pylist(), strict=True)]
+            kept = [n for n in batch.schema.names if n != runs]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in kept], names=kept)
+
+    cleaned = left.select(*docs.columns, runs).mapInArrow(step, docs.schema)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def excise(value: str, runs: list[int]) -> str:
@@ -166,22 +271,17 @@ def excise(value: str, runs: list[int]) -> str:
     return b"".join(kept).decode("utf-8", "surrogatepass")
 
 
-def brute_force(words: list[bytes], items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> tuple[int, list[str]]:
-    """The contract read literally, for tests: hit words and items."""
-    hit, names = set(), set()
-    for item, own in items:
-        size = min(window, len(own))
-        for i in range(len(own) - size + 1 if size else 0):
-            for j in range(len(words) - size + 1):
-                if words[j : j + size] == own[i : i + size]:
-                    hit.update(range(j, j + size))
-                    names.add(item)
-    return len(hit), sorted(names)
-
-
-def items_digest(items: list[str]) -> str:
-    """Lower-case hex of the comma-joined ids."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
-ORACLE_SQL = None
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+with docs as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+items as (select item_id, {_WORDS} as w from benchmark),
+sized as (select item_id, w, least({WINDOW}, len(w)) as size from items where len(w) > 0),
+windows as (select distinct item_id, size, array_to_string(w[k : k + size - 1], ' ') as win from (select *, unnest(range(1, len(w) - size + 2)) as k from sized)),
+spots as (select r, size, k, array_to_string(w[k : k + size - 1], ' ') as win from (select r, w, size, unnest(range(1, len(w) - size + 2)) as k from docs, (select distinct size from sized) where len(w) >= size)),
+hits as (select r, size, k, item_id from spots join windows using (size, win)),
+covered as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k + size)) as p from (select distinct r, k, size from hits)) group by r),
+named as (select r, list_sort(list(distinct item_id::varchar) filter (item_id is not null)) as ids from hits group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(ids), 0)::bigint as n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (r) left join named using (r)
+"""
