@@ -15,10 +15,10 @@ def brute(text):
         starts += at
         labels |= {label} if at else set()
     every, best = set(labels), 0.0
-    for line in (text or "").split("\n"):
-        own = set(re.findall(lj.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in line)))
-        for label, template in lj.TEMPLATES:
-            t = set(template.split())
+    for label, template in lj.TEMPLATES:
+        t, span = set(template.split()), len(template.split())
+        for i in range(len(words)):
+            own = set(words[i : i + span])
             if 100 * len(own & t) >= lj.THRESHOLD * len(t):
                 every.add(label)
                 best = max(best, len(own & t) / len(t))
@@ -28,7 +28,7 @@ def brute(text):
 def texts():
     rng = random.Random(6)
     vocabulary = sorted({w for _, t in lj.TEMPLATES for w in t.split()}) + ["x", "é", "licenses", "MIT", "GENERAL"]
-    out = [None, "", "\n\n", "mit license mit license", "MIT\nLicense; general public-license", "mit licensee", "the the license", "general general public license license"]
+    out = [None, "", " ".join(t for _, t in lj.TEMPLATES).replace(" ", "\n"), "\n\n", "mit license mit license", "MIT\nLicense; general public-license", "mit licensee", "the the license", "general general public license license"]
     for _ in range(150):
         lines = []
         for _ in range(rng.randrange(1, 5)):
@@ -48,6 +48,14 @@ def test_matches_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_notices_over_several_lines_and_in_long_texts(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\n * conditions are met:"
+    long = "the of in " * 100_000
+    rows = [(1, bsd), (2, long + bsd), (3, bsd.replace("\n", " x\n")), (4, long)]
+    got = {r.doc_id: (r.labels, r.score) for r in lj.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == ("bsd", 1.0) and got[3][0] == "bsd" and 0.8 <= got[3][1] < 1 and got[4] == ("", 0.0)
+
+
 def test_sql_agrees(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
