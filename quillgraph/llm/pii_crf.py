@@ -1,14 +1,15 @@
 """Personal data: patterns for the base spans, and a linear-chain CRF over word shapes that adds spans.
 
 The CRF is trained here, on a small labelled table that is built from templates (``labelled_table``), in seconds on
-the driver; its weights, of fixed size, are broadcast. Texts are decoded in numpy batches. A token of an added span
-holds a digit or an @, so only runs of tokens around such tokens are decoded.
+the driver; its weights, of fixed size, are broadcast. Whole texts are decoded, in numpy batches; stretches of prose for
+which the field's weights prove that nothing in them is personal (``crf.CRF.reach``) part a text into pieces.
 
-A span the CRF adds is kept if it doesn't overlap a base span. Kinds are those of the base, and ``secret`` for
-keys and tokens.
+A span the CRF adds is kept if it doesn't overlap a base span. Kinds are those of the base, ``secret`` for keys, tokens
+and passwords, and ``id`` for numbers of persons. Names and street addresses are not found: their shapes are those of prose.
 
-Defined cases: null and empty text have no spans; counts are of base spans; spans are in code points, end exclusive;
-repeated rows each give a row.
+Defined cases: null and empty text have no spans; counts are of base spans, ``n_spans`` of all; spans are in code points,
+end exclusive; equal starts go by kind; repeated rows each give a row; an empty table gives an empty one. ``find`` takes
+doc_id and text alone, ``mask`` keeps all columns, whatever their names. Time and memory are in proportion to a text.
 """
 
 from __future__ import annotations
@@ -20,26 +21,24 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import table, texts
+from .common import held, slices, table, texts
 
 BASE = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(crf.KINDS)}
 _MAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _MAIL_RIGHT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# A start within a run of digits or behind one finds no more than the run's own start, so it is skipped.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: A token with one of these may be more than prose.
-_SIGNS = re.compile(r"[0-9@]")
-#: Tokens on either side of such a token that are decoded with it.
-REACH = 3
 
 Span = tuple[int, int, str]
 
@@ -84,29 +83,40 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], ORDER[s[2]]))
 
 
-def labelled_table(rows: int = 400, seed: int = 7) -> list[tuple[str, list[Span]]]:
+def labelled_table(rows: int = 600, seed: int = 7) -> list[tuple[str, list[Span]]]:
     """Lines of invented words with and without personal data, and the spans in them."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(["ba", "re", "ti", "on", "ü", "é", "st", "la", "Mo", "K"]) for _ in range(rng.randrange(1, 4)))
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a7"
 
-    def personal() -> tuple[str, str]:
-        kind = rng.choice(crf.KINDS)
+    alnum = lambda n: "".join(rng.choice("ABCDEFGHabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("ABCDEFGHIJKLabcdefghijkmnopqrstuvwxyz") for _ in range(n - 2)) + "aZ"
+
+    def personal() -> tuple[str, str, str]:
+        """Kind, what stands before it, and the value."""
+        kind = rng.choice((*crf.KINDS, "secret"))
         if kind == "email":
-            return kind, f"{word()}{rng.choice(['.', '_', ''])}{digits(2)}@{word()}.{rng.choice(['com', 'org', 'example.net'])}"
+            return kind, "", f"{word()}{rng.choice(['.', '_', ''])}{digits(2)}@{word()}.{rng.choice(['com', 'org', 'example.net'])}"
         if kind == "ip":
-            return kind, ".".join(str(rng.randrange(1, 256)) for _ in range(4))
+            return kind, "", ".".join(str(rng.randrange(1, 256)) for _ in range(4))
         if kind == "card":
             n = digits(16)
-            return kind, rng.choice([n, "-".join(n[i : i + 4] for i in range(0, 16, 4)), " ".join(n[i : i + 4] for i in range(0, 16, 4))])
+            return kind, "", rng.choice([n, n, "-".join(n[i : i + 4] for i in range(0, 16, 4)), " ".join(n[i : i + 4] for i in range(0, 16, 4))])
         if kind == "phone":
-            return kind, rng.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])
-        return kind, rng.choice([hexa(40), hexa(32), f"sk-{word()}{digits(4)}{hexa(24)}", f"AK{digits(3)}{hexa(24).upper()}"])
+            return kind, "", rng.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])
+        if kind == "id":
+            return kind, rng.choice(["", "", "SSN ", "ssn: "]), f"{digits(3)}-{digits(2)}-{digits(4)}"
+        cue = rng.choice(crf.CUES)
+        cue = rng.choice([cue, cue.upper(), cue.title()])
+        if rng.random() < 0.3:
+            return kind, rng.choice([f"{cue}: ", f"{cue} = ", f"{cue}="]), rng.choice([word() + digits(3), alnum(9) + "7", alnum(12) + "x1", word() + "_" + digits(2)])
+        before = rng.choice(["", "", f"{cue} = ", f"{cue}: ", f"{cue}=", f"{cue} "])
+        return kind, before, rng.choice([hexa(40), hexa(40).upper(), hexa(32), f"sk-{word()}{digits(4)}{hexa(24)}", f"AK{digits(3)}{hexa(24).upper()}", f"ghp_{letters(36)}", alnum(40) + "aB12", letters(32)])
 
     def harmless() -> str:
         n = digits(rng.randrange(1, 5))
-        return rng.choice([n, f"{n}.{digits(1)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"${n}", f"{n}%", "Version 2.0.", f"@{word()}", f"({n})", f"{digits(5)}", f"{word()}{digits(2)}", f"https://{word()}.com/{digits(4)}"])
+        return rng.choice([n, f"{n}.{digits(1)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"${n}", f"{n}%", "Version 2.0.", f"@{word()}", f"({n})", f"{digits(5)}", f"{word()}{digits(2)}", f"https://{word()}.com/{digits(4)}", f"{word()}:", f"{word()}_{word()}", "= ", f"the {rng.choice(crf.CUES)} {word()}", word() + "".join(rng.choice("aeioubdgstrn") for _ in range(24))])
 
     out = []
     for _ in range(rows):
@@ -114,9 +124,8 @@ def labelled_table(rows: int = 400, seed: int = 7) -> list[tuple[str, list[Span]
         for _ in range(rng.randrange(2, 12)):
             pick = rng.random()
             if pick < 0.25:
-                kind, value = personal()
-                if kind == "secret":
-                    text += rng.choice(["token = ", "key: ", "api_key=", "secret "]) if rng.random() < 0.7 else ""
+                kind, before, value = personal()
+                text += before
                 mark = rng.choice(["", "", "", '"', "("]) if kind in ("secret", "email") else ""
                 spans.append((len(text) + len(mark), len(text) + len(mark) + len(value), kind))
                 text += mark + value + {'"': '"', "(": ")", "": rng.choice(["", "", ",", ".", "###", "!!"])}[mark] + " "
@@ -132,55 +141,81 @@ def model() -> crf.CRF:
     return crf.train(labelled_table())
 
 
-def runs_of(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around each token with a digit or @, as far as REACH on either side, merged where they meet."""
-    if not _SIGNS.search(text):
-        return []
+def pieces_of(text: str, reach: int) -> Iterator[tuple[int, list[tuple[int, int]], int]]:
+    """(first token's number, token spans, tokens behind) of the parts of a text that need decoding: tokens that aren't prose,
+    each with ``wide(reach)`` tokens on either side; parts that meet are one."""
+    hits = [m.start() for m in crf.SPECIAL.finditer(text)]
+    if not hits:
+        return
     tokens = [m.span() for m in crf.TOKEN.finditer(text)]
-    starts = [a for a, _ in tokens]
-    out: list[list[tuple[int, int]]] = []
-    last = 0  # the token that follows the latest run
-    for m in _SIGNS.finditer(text):
-        i = bisect_right(starts, m.start()) - 1
-        low, high = max(i - REACH, 0), min(i + REACH + 1, len(tokens))
-        if out and low <= last:
-            out[-1] += tokens[last:high]
-        else:
-            out.append(tokens[low:high])
-        last = max(last, high)
-    return out
+    ends = [b for _, b in tokens]
+    low = high = -1
+    for i in sorted({bisect_right(ends, at) for at in hits}):
+        if high >= 0 and i - wide(reach) > high:
+            yield low, tokens[low:high], len(tokens) - high
+            low = -1
+        if low < 0:
+            low = max(0, i - wide(reach))
+        high = min(i + wide(reach) + 1, len(tokens))
+    yield low, tokens[low:high], len(tokens) - high
+
+
+def wide(reach: int) -> int:
+    """Plain tokens beside another token that are decoded with it. Those next to it have it for a neighbour; ``reach`` further
+    ones settle the one behind them as outside, and that needs ``reach`` ones on its other side, between the piece's end and it."""
+    return 2 * reach + 3
 
 
 _EDGE = "\"'`#*$%&!?,;:()[]{}<>|.="
 
 
+def trimmed(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
+    """A span without marks at its ends, and without the name of a field before a secret."""
+    lead = _EDGE.replace("(", "") if kind == "phone" else _EDGE
+    own = text[a:b]
+    if kind == "secret" and "=" in own.rstrip("="):
+        a += own.rstrip("=").rindex("=") + 1
+    own = text[a:b].rstrip(_EDGE)
+    b = a + len(own)
+    return b - len(own.lstrip(lead)), b
+
+
 def crf_spans(batch: list[str], field: crf.CRF) -> list[list[Span]]:
-    """Spans that the field finds in each text."""
-    where = [(i, run) for i, text in enumerate(batch) for run in runs_of(text)]
+    """Spans that the field finds in each whole text."""
+    scores, margin = field.scores, field.reach + 1
+    where, numbers = [], []
+    for i, text in enumerate(batch):
+        for first, tokens, behind in pieces_of(text, field.reach):
+            shapes = [scores.shape(text[a:b]) for a, b in tokens]
+            where.append((i, tokens, margin if first else -1, len(tokens) - margin - 1 if behind else len(tokens)))
+            numbers.append(scores.of([crf.PLAIN if first else "", *shapes, crf.PLAIN if behind else ""]))
     out: list[list[Span]] = [[] for _ in batch]
-    where.sort(key=lambda x: len(x[1]))
-    for low in range(0, len(where), 256):
-        part = where[low : low + 256]
-        paths = field.decode([crf.features([batch[i][a:b] for a, b in run]) for i, run in part])
-        for (i, run), path in zip(part, paths, strict=True):
-            open_at = None
-            for t, y in enumerate([*path.tolist(), 0]):
-                name = crf.LABELS[y]
-                if open_at is not None and name[0] != "I":
-                    text, a, b = batch[i], run[open_at][0], run[t - 1][1]
-                    kind = crf.LABELS[path[open_at]][2:]
-                    while a < b and text[a] in _EDGE.replace("(", "" if kind == "phone" else "("):
-                        a += 1
-                    while a < b and text[b - 1] in _EDGE:
-                        b -= 1
-                    if kind == "secret" and "=" in text[a:b].rstrip("="):
-                        a += text[a:b].rstrip("=").rindex("=") + 1
-                        a += len(text[a:b]) - len(text[a:b].lstrip(_EDGE))
-                    if a < b and _SIGNS.search(text[a:b]):
-                        out[i].append((a, b, kind))
-                    open_at = None
-                if name[0] == "B":
-                    open_at = t
+    for (i, tokens, low, high), path in zip(where, field.decode(numbers, np.array(scores.rows)), strict=True):
+        text, at = batch[i], np.flatnonzero(path)
+        open_at = None
+        for t in at.tolist():
+            name = crf.LABELS[path[t]]
+            if name[0] == "B":
+                open_at = t
+            if open_at is None or not low < open_at < high or t + 1 < len(path) and crf.LABELS[path[t + 1]][0] == "I":
+                continue
+            a, b = trimmed(text, tokens[open_at][0], tokens[t][1], name[2:])
+            if a < b:
+                out[i].append((a, b, name[2:]))
+    if len(scores.rows) > crf.Scores.SIZE:
+        scores.clear()
+    return out
+
+
+def without(spans: list[Span], base: list[Span]) -> list[Span]:
+    """Spans, in order, that overlap none of the base, in order of their starts."""
+    out, reached, at = [], 0, 0  # the furthest end of the base spans that start before this one's end
+    for a, b, kind in spans:
+        while at < len(base) and base[at][0] < b:
+            reached = max(reached, base[at][1])
+            at += 1
+        if reached <= a:
+            out.append((a, b, kind))
     return out
 
 
@@ -189,7 +224,7 @@ def all_spans(batch: list[str], field: crf.CRF) -> list[tuple[list[Span], list[S
     out = []
     for text, more in zip(batch, crf_spans(batch, field), strict=True):
         base = base_spans(text)
-        added = [s for s in more if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+        added = without(more, base)
         out.append((base, sorted(base + added, key=lambda s: (s[0], ORDER[s[2]], s[1]))))
     return out
 
@@ -199,20 +234,22 @@ def joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id with counts of base spans, their digest and all spans; docs: doc_id, text."""
+    """doc_id with counts of base spans, their digest, all spans and their number; docs: doc_id, text."""
     shared = docs.sparkSession.sparkContext.broadcast(model())
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, digests, spans = {k: [] for k in BASE}, [], []
+        held("crf", dict)
+        for batch in slices(batches):
+            counts, digests, spans, n_spans = {k: [] for k in BASE}, [], [], []
             for base, every in all_spans(texts(batch), shared.value):
                 for k in BASE:
                     counts[k].append(sum(s[2] == k for s in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(every))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(counts[k], pa.int64()) for k in BASE], pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"])
+                n_spans.append(len(every))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(counts[k], pa.int64()) for k in BASE], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(n_spans, pa.int64())], names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -230,7 +267,8 @@ def mask(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model())
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held("crf", dict)
+        for batch in slices(batches):
             values = batch.column("text").to_pylist()
             found = all_spans([v or "" for v in values], shared.value)
             out = [masked(v, every) if every else v for v, (_, every) in zip(values, found, strict=True)]
@@ -245,8 +283,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, its personal data replaced by the kind in brackets."""
-    return mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Pipeline stage: every document stays, its personal data replaced by the kind in brackets.
+
+    Null and empty texts stay as they are; an empty table stays empty; repeated rows and all columns stay, whatever their
+    names; n_chars, where there is one, follows the text.
+    """
+    out = mask(docs)
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 
 ORACLE_SQL = None

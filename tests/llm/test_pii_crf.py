@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
@@ -32,12 +33,58 @@ def test_base_matches_the_patterns(spark, sf_dir):
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     k = len(crf.LABELS)
-    field = crf.CRF(rng.normal(size=(crf.FEATURES, k)), np.where(crf.ALLOWED, rng.normal(size=(k, k)), -1e9))
-    feats = [crf.features(t.split()) for t in ("a 1@b.c 12", "x", "4 5 6 7")]
-    for f, path in zip(feats, field.decode(feats), strict=True):
-        s = field.scores(f)
+    field = pii_crf.model()
+    rows = rng.normal(size=(9, k)) * 4
+    numbers = [np.array([1, 2, 3, 4], np.int32), np.array([5], np.int32), np.array([6, 7, 8], np.int32)]
+    for own, path in zip(numbers, field.decode(numbers, rows), strict=True):
+        s = rows[own]
         score = lambda p: crf.START[p[0]] + sum(s[i, y] for i, y in enumerate(p)) + sum(field.transition[a, b] for a, b in itertools.pairwise(p))  # noqa: E731, B023
-        assert np.isclose(score(path), max(score(p) for p in itertools.product(range(k), repeat=len(f))))
+        assert np.isclose(score(path), max(score(p) for p in itertools.product(range(k), repeat=len(own))))
+
+
+def test_pieces_give_the_path_of_the_whole_text():
+    field, rng = pii_crf.model(), random.Random(8)
+    for _ in range(150):
+        table = pii_crf.labelled_table(4, seed=rng.randrange(10**6))
+        text = " ".join(" ".join(["wort"] * rng.randrange(0, 40)) + " " + t for t, _ in table) + " end" * rng.randrange(0, 30)
+        tokens = [m.span() for m in crf.TOKEN.finditer(text)]
+        shapes = ["", *[crf.token_shape(text[a:b]) for a, b in tokens], ""]
+        scores = crf.Scores(field)
+        (path,) = field.decode([scores.of(shapes)], np.array(scores.rows))
+        whole = []
+        for t, y in enumerate(path.tolist()):
+            name = crf.LABELS[y]
+            if name[0] == "B":
+                whole.append([tokens[t][0], tokens[t][1], name[2:]])
+            elif name[0] == "I":
+                whole[-1][1] = tokens[t][1]
+        want = [(*pii_crf.trimmed(text, a, b, k), k) for a, b, k in whole]
+        assert pii_crf.crf_spans([text], field) == [[s for s in want if s[0] < s[1]]]
+
+
+def test_long_texts_take_time_in_proportion():
+    field = pii_crf.model()
+    for text in ["1" * 1_000_000, "1." * 300_000, "a@" * 200_000, "9 " * 200_000, "+1 " * 200_000, "1-" * 300_000, "x" * 1_000_000]:
+        began = time.process_time()
+        pii_crf.all_spans([text, "short 1.2.3.4"], field)
+        assert time.process_time() - began < 60
+
+
+def test_recall_on_documents(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    found = planted = 0
+    for text, (_, every) in zip(texts, pii_crf.all_spans(texts, pii_crf.model()), strict=True):
+        for m in re.finditer(r"(?<![0-9A-Fa-f])(?:[0-9]{16}|[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Fa-f])|[\w.]+@\w+(?:\.\w+)+|\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", text):
+            planted += 1
+            found += any(a <= m.start() and m.end() <= b for a, b, _ in every)
+    assert planted > 30 and found >= 0.9 * planted
+
+
+def test_kinds_beyond_the_base():
+    field = pii_crf.model()
+    for text, value in [("his SSN 123-45-6789 there", "123-45-6789"), ("ab ghp_abcdEFGHijklMNOPqrstUVWXyzabCDEFghij cd", "ghp_abcdEFGHijklMNOPqrstUVWXyzabCDEFghij"), ("the password: hunter27x is", "hunter27x")]:
+        ((_, every),) = pii_crf.all_spans([text], field)
+        assert [text[a:b] for a, b, _ in every] == [value]
 
 
 def test_trained_field_on_rows_it_has_not_seen():
@@ -58,14 +105,13 @@ def test_added_spans():
     assert pii_crf.masked("ab 1.2.3.4 c", [(3, 10, "ip")]) == "ab [ip] c"
 
 
-def test_runs_cover_every_sign():
-    rng = random.Random(1)
-    for _ in range(300):
-        text = " ".join(rng.choice(["a", "b", "1", "x@"]) if rng.random() < 0.3 else "w" for _ in range(rng.randrange(0, 40)))
-        runs = pii_crf.runs_of(text)
-        flat = [s for r in runs for s in r]
-        assert flat == sorted(set(flat))
-        assert {m.span() for m in crf.TOKEN.finditer(text) if pii_crf._SIGNS.search(m[0])} <= set(flat)
+def test_columns_pass_whatever_their_names(spark):
+    rows = [(1, "mail a@b.cd", "s", 3, "i"), (2, None, "s", 4, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Spans string, n_spans long, base_sha256 string")
+    got = pii_crf.stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert [(r.text, r.Spans, r.n_spans) for r in got.collect()] == [("mail [email]", "s", 3), (None, "s", 4)]
+    assert pii_crf.stage(spark, docs.limit(0), "").count() == 0
 
 
 def test_query(spark, sf_dir):
@@ -74,4 +120,4 @@ def test_query(spark, sf_dir):
     assert [r.text for r in pii_crf.mask(docs).collect()] == [None, "[email]", "[email]"]
     assert pii_crf.find(docs.limit(0)).count() == 0
     got = pii_crf.query(spark, sf_dir)
-    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"] and got.where("spans != ''").count() > 0
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"] and got.where("spans != ''").count() > 0
