@@ -1,19 +1,23 @@
 """HTML to a small element tree, and union-free wrappers inferred from such trees.
 
-A tree node is [name, children]; children are nodes and strings. A wrapper item is [name, flags, items, mass, pages]
-for an element or a group of them, or ["#", flags, text, mass, pages] for a text slot, whose text is None once two
-pages differ in it.
+A tree node is [name, children, class]; children are nodes and strings, the class is the first word of an element's class
+or id without digits. A wrapper item is [label, flags, items, mass, pages] for an element or a group of them, whose label
+is its name and class, or ["#", flags, texts, mass, pages] for text: the texts (``constant``) that all pages so far have
+there, and SLOT among the flags once they differ in any.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
 
-OPTIONAL, REPEATED = 1, 2
-#: Text of deeper elements goes to their parent, blocks apart, and what isn't article stays apart; longer child lists are generalised to one repeated item a name.
-DEEPEST, WIDEST = 60, 48
+OPTIONAL, REPEATED, SLOT = 1, 2, 4
+#: Text of deeper elements goes to their parent, blocks apart, and what isn't article stays apart.
+DEEPEST = 60
+#: Places of one label in a child list that stay apart; with more, all of them are one repeated item.
+PLACES = 8
 
 # Element names of HTML by their role here.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed"}
@@ -28,8 +32,10 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 AWAY_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "notices", "alert", "comment", "comments", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login", "popup", "modal", "widget", "pagination", "pager", "toolbar", "skip", "search", "complementary", "contentinfo", "dialog"}
 KEEP_ALWAYS = {"html", "body", "article", "main"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+# A quoted value holds < or >, not both: so no tag is searched beyond the next one, and a page takes time in proportion to its size.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"<]*"|"[^">]*"|'[^'<]*'|'[^'>]*'|[^'"<>])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CLASS = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:\s|^)(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 
@@ -46,35 +52,100 @@ def element_name(tag: str, attributes: str) -> str:
     return tag
 
 
-def own_node(name: str, stack: list) -> bool:
-    """Below DEEPEST: what has a role of its own keeps its node, once, so the tree is few levels deeper at most."""
-    if name[0] == "!":
-        return not any(x[0][0] == "!" for x in stack[DEEPEST:])
-    if name in HEADINGS:
-        return stack[-1][0] == "!header"
-    return name in ("a", "article", "main") and not any(x[0] == name for x in stack[DEEPEST:])
+def class_of(attributes: str) -> str:
+    """The first word of the class or id, without digits, so that numbered names are one."""
+    for m in _CLASS.finditer(attributes):
+        words = (m[1] or m[2] or m[3] or "").split()
+        if words:
+            return re.sub("[0-9.]+", "", words[0].lower())
+    return ""
 
 
-def parse(source: str) -> list:
-    """The tree of a page. Elements that are left open end with their parent; strange ends are ignored; raw elements and comments go."""
-    root: list = ["html", []]
-    stack = [root]
-    opened: Counter[str] = Counter()  # names on the stack, so that a strange end needs no search
+def label(node: list) -> str:
+    """An element's name in a wrapper."""
+    return f"{node[0]}.{node[2]}" if node[2] else node[0]
+
+
+def base(name: str) -> str:
+    """The element name in a label."""
+    return name.partition(".")[0]
+
+
+def constant(text: str) -> str:
+    """What a wrapper keeps of a text that is the same on all pages so far: itself, or its digest if it is long."""
+    return text if len(text) <= 80 else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+class _Stack:
+    """Open elements, with how many of each name are open, below DEEPEST too, so that nothing is searched in vain."""
+
+    def __init__(self, root: list) -> None:
+        self.nodes, self.opened, self.deep = [root], Counter(), Counter()
 
-    def leave(i: int) -> None:
+    def push(self, node: list) -> None:
+        if len(self.nodes) >= DEEPEST:
+            self.deep[node[0]] += 1
+            self.deep["!"] += node[0][0] == "!"
+        self.nodes.append(node)
+        self.opened[node[0].lstrip("!")] += 1
+
+    def own_node(self, name: str) -> bool:
+        """Below DEEPEST: what has a role of its own keeps its node, once, so the tree is few levels deeper at most."""
+        if name[0] == "!":
+            return not self.deep["!"]
+        if name in HEADINGS:
+            return self.nodes[-1][0] == "!header"
+        return name in ("a", "article", "main") and not self.deep[name]
+
+    def leave(self, i: int) -> None:
         """Ends the open elements from the i-th on; a block that has no node of its own ends its text."""
-        gone = stack[i:]
-        del stack[i:]
-        opened.subtract(x[0].lstrip("!") for x in gone)
-        if any(len(x) > 2 and x[0] not in INLINE for x in gone):
-            stack[-1][1].append(["/", []])
+        breaks = False
+        while len(self.nodes) > i:
+            node = self.nodes.pop()
+            self.opened[node[0].lstrip("!")] -= 1
+            if len(self.nodes) >= DEEPEST:
+                self.deep[node[0]] -= 1
+                self.deep["!"] -= node[0][0] == "!"
+            breaks |= len(node) > 3 and node[0] not in INLINE
+        if breaks:
+            self.nodes[-1][1].append(["/", [], ""])
+
+    def close(self, tag: str) -> None:
+        """The end of an element, or of none that is open."""
+        if self.opened[tag]:
+            i = len(self.nodes) - 1
+            while i and self.nodes[i][0].lstrip("!") != tag:
+                i -= 1
+            if i:
+                self.leave(i)
+                return
+        if tag in BLOCKS or tag == "div":
+            self.nodes[-1][1].append(["/", [], ""])
+
+    def make_way(self, tag: str) -> None:
+        """Ends what the start of this element ends. Above an open p all is inline."""
+        shut = CLOSES.get(tag) or ({"p"} if tag not in INLINE else set())
+        if not any(self.opened[x] for x in shut):
+            return
+        for i in range(len(self.nodes) - 1, 0, -1):
+            name = self.nodes[i][0].lstrip("!")
+            if name in shut:
+                self.leave(i)
+                return
+            if name in SCOPE or "p" in shut and name not in INLINE:
+                return
+
 
-    at, end = 0, len(source)
+def parse(source: str) -> list:
+    """The tree of a page. Elements that are left open end with their parent; strange ends are ignored; raw elements and comments go."""
+    root: list = ["html", [], ""]
+    stack = _Stack(root)
+    at, end, last = 0, len(source), source.rfind(">")
     while at < end:
-        m = _TAG.search(source, at)
+        m = _TAG.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
         text = source[at : m.start()] if m else source[at:]
         if text:
-            stack[-1][1].append(html.unescape(text))
+            stack.nodes[-1][1].append(html.unescape(text))
         if not m:
             break
         at = m.end()
@@ -85,39 +156,29 @@ def parse(source: str) -> list:
         if tag == "html":
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0].lstrip("!") == tag), 0) if opened[tag] else 0
-            if depth:
-                leave(depth)
-            elif tag in BLOCKS or tag == "div":
-                stack[-1][1].append(["/", []])
+            stack.close(tag)
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = close.end() if close else end
             continue
+        here = stack.nodes[-1][1]
         if tag in VOID:
-            stack[-1][1].append("\n" if tag in ("br", "wbr") else ["/", []] if tag == "hr" else " ")
+            here.append("\n" if tag in ("br", "wbr") else ["/", [], ""] if tag == "hr" else " ")
             continue
-        shut = CLOSES.get(tag) or ({"p"} if tag not in INLINE else set())
-        for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in shut) else ():
-            name = stack[i][0].lstrip("!")
-            if name in shut:
-                leave(i)
-                break
-            if name in SCOPE and name not in shut:
-                break
+        stack.make_way(tag)
+        here = stack.nodes[-1][1]
         name = element_name(tag, attributes)
-        node = [name, []]
-        if len(stack) > DEEPEST and not own_node(name, stack):
-            node = [name, stack[-1][1], True]  # the parent's children: no node of its own
+        node = [name, [], class_of(attributes) if attributes else ""]
+        if len(stack.nodes) > DEEPEST and not stack.own_node(name):
+            node = [name, here, "", True]  # the parent's children: no node of its own
             if name not in INLINE:
-                node[1].append(["/", []])
+                here.append(["/", [], ""])
         else:
-            stack[-1][1].append(node)
+            here.append(node)
         if not attributes.endswith("/") or tag not in INLINE:
-            stack.append(node)
-            opened[name.lstrip("!")] += 1
+            stack.push(node)
     return root
 
 
@@ -176,7 +237,7 @@ def items_of(node: list) -> list:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            out.append(["#", 0, joined, len(joined), 1])
+            out.append(["#", 0, [constant(joined)], len(joined), 1])
 
     def inline(current: list) -> None:
         for child in current[1]:
@@ -187,7 +248,7 @@ def items_of(node: list) -> list:
             else:
                 put_text()
                 items = items_of(child)
-                out.append([child[0], 0, items, sum(i[3] for i in items) if child[0][0] != "!" else 0, 1])
+                out.append([label(child), 0, items, sum(i[3] for i in items) if child[0][0] != "!" else 0, 1])
 
     inline(node)
     put_text()
@@ -199,15 +260,28 @@ def merge_item(a: list, b: list, same_page: bool = False) -> list:
     flags, total = a[1] | b[1], a[3] + b[3]
     pages = max(a[4], b[4]) if same_page else a[4] + b[4]
     if a[0] == "#":
-        return ["#", flags, a[2] if a[2] == b[2] else None, total, pages]
+        own, other = set(a[2]), set(b[2])
+        if same_page:
+            return ["#", flags, sorted(own | other), total, pages]
+        return ["#", flags | (SLOT if own != other else 0), sorted(own & other), total, pages]
     return [a[0], flags, align(a[2], b[2], same_page), total, pages]
 
 
+def shape(item: list) -> frozenset[str]:
+    """Labels of an item's children."""
+    return frozenset(x[0] for x in item[2] if x[0] != "#") if item[0] != "#" else frozenset()
+
+
+def alike(a: frozenset[str], b: frozenset[str]) -> float:
+    """How well two elements of one label fit each other, from 1 to 2: by the share of child labels that both have."""
+    return 1 + (len(a & b) / len(a | b) if a or b else 1)
+
+
 def fold(items: list) -> list:
-    """Neighbouring equals become one repeated item, and neighbouring equal groups of two or three a repeated group."""
+    """Neighbours of one label and the same child labels become one repeated item, and neighbouring equal groups of two or three a repeated group."""
     out: list = []
     for item in items:
-        if out and out[-1][0] == item[0]:
+        if out and out[-1][0] == item[0] and shape(out[-1]) == shape(item):
             out[-1] = merge_item(out[-1], item, True)
             out[-1][1] |= REPEATED
         else:
@@ -223,42 +297,67 @@ def fold(items: list) -> list:
                 out[i : i + 2 * size] = merged
             else:
                 i += 1
-    if len(out) > WIDEST:
+    often = {k for k, n in Counter(x[0] for x in out).items() if n > PLACES}
+    if often:
         first: dict[str, list] = {}
+        rest = []
         for item in out:
-            first[item[0]] = merge_item(first[item[0]], item, True) if item[0] in first else item
-            first[item[0]][1] |= REPEATED | OPTIONAL
-        out = list(first.values())
+            if item[0] not in often:
+                rest.append(item)
+            elif item[0] in first:
+                kept = first[item[0]]
+                kept[:] = merge_item(kept, item, True)
+                kept[1] |= REPEATED | OPTIONAL
+            else:
+                first[item[0]] = item
+                rest.append(item)
+        out = rest
     return out
 
 
-def align(a: list, b: list, same_page: bool = False) -> list:
-    """Longest common subsequence by name; what only one side has becomes optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge_item(x, y, same_page) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+def matched(left: list[tuple[str, frozenset[str]]], right: list[tuple[str, frozenset[str]]], repeated: list[bool] | None = None) -> list[int]:
+    """For each of the left, in order, its partner on the right or -1, such that they fit best together; a repeated one of the right may have several."""
+    n, m = len(left), len(right)
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        name, own = left[i]
+        row, below = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge_item(a[i], b[j], same_page))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], a[i][1] | OPTIONAL, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], b[j][1] | OPTIONAL, *b[j][2:]])
+            most = below[j] if below[j] > row[j + 1] else row[j + 1]
+            if right[j][0] == name:
+                both = alike(own, right[j][1]) + below[j if repeated and repeated[j] else j + 1]
+                if both > most:
+                    most = both
+            row[j] = most
+    out, j = [-1] * n, 0
+    for i in range(n):
+        while j < m and best[i][j] == best[i][j + 1]:
             j += 1
-    return fold(out)
+        if j < m and best[i][j] > best[i + 1][j]:
+            out[i] = j
+            j += not (repeated and repeated[j])
+    return out
+
+
+def align(a: list, b: list, same_page: bool = False) -> list:
+    """Items of one label that fit best, in order, are merged; what only one side has becomes optional."""
+    if [x[0] for x in a] == [x[0] for x in b]:
+        return [merge_item(x, y, same_page) for x, y in zip(a, b, strict=True)]
+    out, j = [], 0
+    for x, partner in zip(a, matched([(x[0], shape(x)) for x in a], [(y[0], shape(y)) for y in b]), strict=True):
+        if partner < 0:
+            out.append([x[0], x[1] | OPTIONAL, *x[2:]])
+            continue
+        out += [[y[0], y[1] | OPTIONAL, *y[2:]] for y in b[j:partner]]
+        out.append(merge_item(x, b[partner], same_page))
+        j = partner + 1
+    return fold(out + [[y[0], y[1] | OPTIONAL, *y[2:]] for y in b[j:]])
 
 
 def expression(items: list) -> str:
     """The wrapper as a union-free regular expression over names, # for a slot."""
     out = []
     for name, flags, inner, *_ in items:
-        body = "#" if name == "#" and inner is None else repr(inner) if name == "#" else f"<{name}>{expression(inner)}</>"
-        out.append({0: body, 1: f"({body})?", 2: f"({body})+", 3: f"({body})*"}[flags])
+        body = "#" if name == "#" and flags & SLOT else "".join(map(repr, inner)) if name == "#" else f"<{name}>{expression(inner)}</>"
+        out.append({0: body, 1: f"({body})?", 2: f"({body})+", 3: f"({body})*"}[flags & 3])
     return "".join(out)

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from quillgraph.llm import html_tree as ht
 from quillgraph.llm import html_wrapper as hw
@@ -66,6 +67,8 @@ def test_all_pages_of_the_table(spark, sf_dir, monkeypatch):
     for r in got:
         assert r.text == plain(rows[r.page_id]) and r.n_chars == len(r.text)
     monkeypatch.setattr(hw, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(hw, "GROUP", 3)
+    monkeypatch.setattr(hw, "FAN", 2)
     assert {r.page_id: r.text for r in hw.query(spark, sf_dir).collect()} == {r.page_id: r.text for r in got}
 
 
@@ -82,3 +85,48 @@ def test_depth_loses_nothing():
         assert hw.article(page, None) == "one\ntwo\nthree\nbold text\nrest", n
     deep = "<div>" * 100 + "<div>around</div><article><header><h1>Head</h1>by me</header><p>text</article>" + "</div>" * 100
     assert hw.article(deep, None) == "Head\ntext"
+
+
+def neutral(i, classes=False):
+    """A page without telling names: the third box is the article, with a line that all pages have; on every fifth page another box is larger."""
+    words = lambda k, m: " ".join(f"w{k}x{j}" for j in range(m))
+    aside = words(f"s{i}", 200 if i % 5 == 0 else 12)
+    body = "".join(f"<z>{words(f'b{i}q{j}', 6 if i % 5 == 0 else 60)}</z>" for j in range(1 + i % 3))
+    boxes = ["<a href=x>One</a> <a href=y>Two</a>", aside, f"<z>Title {i}</z><z>Kept by all of us here</z>{body}"]
+    if i % 4 == 1 and classes:
+        boxes.insert(1, f"<z>{words(f'o{i}', 3)}</z>")
+    return "<body>" + "".join(f"<div>{b}</div>" for b in boxes) + "</body>", [f"Title {i}", *[words(f"b{i}q{j}", 6 if i % 5 == 0 else 60) for j in range(1 + i % 3)]]
+
+
+def test_place_and_boilerplate_come_from_the_pages_of_the_host():
+    for classes in (False, True):
+        pages = [neutral(i, classes) for i in range(20)]
+        sources = [p.replace("<z", "<p").replace("</z", "</p") for p, _ in pages]
+        if classes:
+            sources = [s.replace("<div><p>Title", "<div class='q7 k'><p>Title").replace("<div>w", "<div class=r>w") for s in sources]
+        rule = hw.Rule(wrapper(sources))
+        for s, (_, want) in zip(sources, pages, strict=True):
+            assert hw.article(s, rule) == "\n".join(want)
+        alone = [hw.article(s, None) for s in sources]
+        assert sum(a == "\n".join(w) for a, (_, w) in zip(alone, pages, strict=True)) == 0  # the line of all pages stays
+        assert sum("Title" not in a for a in alone) == 4  # and another box is taken
+
+
+def test_both_ways_to_the_pages_agree(spark, monkeypatch):
+    rows = [(100 * h + i, f"http://h{h}.x/{i}", neutral(i + h)[0].replace("<z", "<p").replace("</z", "</p")) for h in range(3) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = {r.page_id: r.text for r in hw.extract(pages).collect()}
+    for held, fan, group in ((1, 2, 1), (2, 3, 7), (5000, 32, 256)):
+        for name, value in (("HELD", held), ("FAN", fan), ("GROUP", group), ("BROADCAST_BYTES", 1)):
+            monkeypatch.setattr(hw, name, value)
+        assert {r.page_id: r.text for r in hw.extract(pages).collect()} == want
+
+
+def test_long_pages_take_time_in_proportion():
+    n = 1_000_000
+    pages = ["<a " * (n // 3), "<a " * (n // 3) + ">", "<a>" * (n // 3), "<div>" * (n // 5), "<p><b>" * (n // 6), "<!" * (n // 2), "<a x='" * (n // 6), "<p><div>" + "<center>" * (n // 8), "<ul>" + "<li>x" * (n // 5), "x " * (n // 2), "&amp;" * (n // 5), "".join(f"<div class=c{chr(97 + i % 26)}>x</div><p>y</p>" for i in range(n // 30))]
+    for page in pages:
+        began = time.process_time()
+        assert isinstance(hw.article(page, None), str)
+        hw.Rule(wrapper([page, page]))
+        assert time.process_time() - began < 90, page[:30]
