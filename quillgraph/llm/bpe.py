@@ -2,18 +2,22 @@
 
 A token sequence is what the merge list yields if and only if every token yields itself and every two neighbours
 yield just themselves. So each prefix of a text has one encoding, found from those of its shorter prefixes by a
-dynamic programme over the last token.
+dynamic programme over the last token. How far behind a boundary the merges must look to settle it is computed from the
+merge list alone (``Merges.lookahead``).
 """
 
 from __future__ import annotations
 
 import codecs
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import regex
 
+from .common import ON_RELEASE
+
 #: White space as Unicode defines it (Python's own classes also hold U+001C to U+001F).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -47,21 +51,63 @@ class Merges:
         self.raw = {i: bytes(self.bytes_of[c] for c in t) for t, i in self.ids.items() if all(c in self.bytes_of for c in t)}
         self.raw |= {i: t.encode() for t, i in self.special.items()}
         self._valid: dict[tuple[str, str], bool] = {}
+        self._spines: tuple[dict, dict] = {}, {}
+        self._joins: dict[str, dict[str, int]] = {}
+        for (left, right), rank in self.ranks.items():
+            self._joins.setdefault(left, {})[right] = rank
 
-    @property
+    @cached_property
     def lookahead(self) -> int:
-        """Bytes that can still change a boundary: a later token starts less than the longest token before the end read so far."""
-        return self.longest - 1
+        """Bytes behind a boundary that settle it, whatever follows them: computed from the merge list.
+
+        A merge (left, right) crosses a boundary only if right has formed behind it and is still whole at that rank.
+        Whether it is depends on the merges of lower rank that could have taken one of its last parts before it was
+        complete, and so on: ranks fall along such a chain, so the longest one is found merge by merge.
+        """
+        made: dict[str, list[tuple[str, int]]] = {}  # last part and rank of each merge that makes a token
+        for (left, right), rank in self.ranks.items():
+            made.setdefault(left + right, []).append((right, rank))
+        ranks: dict[str, list[int]] = {}  # of the merges with that left part
+        reach: dict[str, list[int]] = {}  # the longest way of any of them so far
+        most = 0
+        for (left, right), rank in self.ranks.items():
+            further, parts = 0, [(right, rank)]
+            while parts:  # right, its last part, the last part of that ...
+                part, limit = parts.pop()
+                at = bisect_left(ranks.get(part, ()), limit)
+                if at:
+                    further = max(further, reach[part][at - 1])
+                parts += [(p, r) for p, r in made.get(part, ()) if r < limit]
+            way = self._size(right) + further
+            most = max(most, way)
+            ranks.setdefault(left, []).append(rank)
+            own = reach.setdefault(left, [])
+            own.append(max(way, own[-1]) if own else way)
+        return most
+
+    def _size(self, token: str) -> int:
+        return len(token.removesuffix(self.suffix) if self.suffix else token)
+
+    @cached_property
+    def ending(self) -> dict[str, int]:
+        """The longest token that ends with a symbol."""
+        out: dict[str, int] = {}
+        for t in self.whole:
+            out[t[-1]] = max(out.get(t[-1], 0), len(t))
+        return out
 
     def symbols(self, raw: bytes) -> str:
         """One character of the vocabulary's alphabet for each byte."""
         return raw.decode("latin-1").translate(self.to_symbols)
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """The lowest-ranked pair is joined, leftmost first, until no pair has a rank."""
+    def merged(self, parts: list[str], steps: int = NEVER) -> list[str] | None:
+        """The lowest-ranked pair is joined, leftmost first, until no pair has a rank, or so often; None if it can't be done once."""
         rank_of = self.ranks.get
         ranks = [rank_of(pair, NEVER) for pair in zip(parts, parts[1:])]
-        while ranks and (best := min(ranks)) < NEVER:
+        if steps == 1 and min(ranks) == NEVER:
+            return None
+        while ranks and steps and (best := min(ranks)) < NEVER:
+            steps -= 1
             at = ranks.index(best)
             parts[at] += parts.pop(at + 1)
             del ranks[at]
@@ -78,37 +124,80 @@ class Merges:
             return [*body[:-1], body[-1] + self.suffix]
         return list(token)
 
+    @cached_property
+    def _built(self) -> dict[str, tuple[str, str] | None]:
+        """For each token that the merges make from its symbols, the two that the last merge joins; None for single symbols."""
+        out: dict[str, tuple[str, str] | None] = {}
+        for t in self.ids:
+            parts = self.parts(t)
+            if len(parts) == 1:
+                out[t] = None
+                continue
+            while len(parts) > 2 and (got := self.merged(parts, 1)) is not None:
+                parts = got
+            if len(parts) == 2 and tuple(parts) in self.ranks:
+                out[t] = tuple(parts)
+        return out
+
     @cached_property
     def whole(self) -> frozenset[str]:
         """Tokens that the merges make from their symbols: others never occur in an encoding."""
-        return frozenset(t for t in self.ids if self.merged(self.parts(t)) == [t])
+        return frozenset(self._built)
+
+    def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
+        """Parts that stand at that end of the token (0 left, 1 right) while it is made, and the rank at which each is used up."""
+        spines = self._spines[side]
+        found = spines.get(token)
+        if found is None:
+            pair = self._built.get(token)
+            found = spines[token] = [(token, NEVER)]
+            if pair:
+                rank = self.ranks[pair]
+                found += [(part, min(limit, rank)) for part, limit in self._spine(pair[side], side)]
+        return found
 
     def valid(self, left: str, right: str) -> bool:
-        """The two tokens may stand side by side."""
+        """The two tokens may stand side by side: no merge joins parts that touch while they are made. Of equal ranks the left place goes first."""
         known = self._valid.get((left, right))
         if known is None:
-            if len(self._valid) > 400_000:
+            if len(self._valid) > 100_000:
                 self._valid.clear()
-            known = self._valid[left, right] = self.merged(self.parts(left) + self.parts(right)) == [left, right]
+            joins, ends, known = self._joins.get, self._spine(right, 0), True
+            for part, used in self._spine(left, 1):
+                ranks = joins(part)
+                if ranks:
+                    for other, limit in ends:
+                        rank = ranks.get(other, NEVER)
+                        if rank < used and rank <= limit and rank < NEVER:
+                            known = False
+            self._valid[left, right] = known
         return known
 
     def last_tokens(self, symbols: str) -> tuple[list[str], list[int]]:
         """For each prefix, without the end of word: its last token and its token count; entry 0 is the empty prefix."""
-        last, count, longest = [""], [0], self.longest
-        whole, valid, known = self.whole, self.valid, self._valid
+        last, count = [""], [0]
+        self.extend(symbols, last)
         for end in range(1, len(symbols) + 1):
-            for start in range(max(0, end - longest), end):
+            count.append(count[end - len(last[end])] + 1)
+        return last, count
+
+    def extend(self, symbols: str, last: list[str]) -> None:
+        """Appends the last token of each prefix that ``last`` doesn't cover yet; entry 0 is the token before, or none."""
+        whole, valid, known, ending = self.whole, self.valid, self._valid.get, self.ending
+        for end in range(len(last), len(symbols) + 1):
+            widest = ending.get(symbols[end - 1], 0)
+            for start in range(end - widest if end > widest else 0, end):
                 token = symbols[start:end]
                 if token in whole:
                     before = last[start]
-                    ok = not start or known.get((before, token))
-                    if ok or ok is None and valid(before, token):
-                        last.append(token)
-                        count.append(count[start] + 1)
+                    if not before:
+                        break
+                    ok = known((before, token))
+                    if valid(before, token) if ok is None else ok:
                         break
             else:
                 raise ValueError(f"no token ends at byte {end}")
-        return last, count
+            last.append(token)
 
     def closed(self, symbols: str, last: list[str], count: list[int], end: int) -> int:
         """Tokens of the prefix of that length as a whole word, with its end of word."""
@@ -146,55 +235,67 @@ class Bounded(dict):
 
 
 class Transducer:
-    """Encodes one pretoken that arrives in pieces. A token is emitted once every start that a later token can still have
-    agrees on it; the window that is kept is as long as the lookahead and what is not yet agreed on."""
+    """Encodes one pretoken that arrives in pieces. A token is emitted once the text that has been read behind it is as
+    long as the merge list's lookahead, for then nothing that follows can change it; the window that is kept is bounded
+    by that and the longest token."""
 
     def __init__(self, merges: Merges) -> None:
-        self.m = merges
+        self.m, self.step = merges, merges.lookahead + merges.longest
+        self.fed = 0
         self.reset()
 
     def reset(self) -> None:
-        self.window, self.last, self.base = "", [""], ""
+        self.window, self.last = "", [""]
+
+    def encode(self, raw: bytes) -> list[int]:
+        """A whole pretoken. What it shares with the start of the one before isn't read again: a prefix has the same last tokens wherever it stands."""
+        if len(raw) > self.step:
+            self.reset()
+            return [*self.feed(raw), *self.finish()]
+        self.fed += 1
+        now, shared = self.m.symbols(raw), 0
+        for a, b in zip(self.window, now):
+            if a != b:
+                break
+            shared += 1
+        self.window = now
+        del self.last[shared + 1 :]
+        self.m.extend(now, self.last)
+        return [self.m.ids[t] for t in self._tokens(len(now))]
 
     def feed(self, raw: bytes) -> Iterator[int]:
         """Token ids that are stable now."""
         m = self.m
-        for symbol in m.symbols(raw):
-            self.window += symbol
-            end = len(self.window)
-            for start in range(max(0, end - m.longest), end):
-                token = self.window[start:end]
-                before = self.last[start] if start else self.base
-                if token in m.whole and (not before or m.valid(before, token)):
-                    self.last.append(token)
-                    break
-            if end >= 2 * m.longest and not end % m.longest:
-                yield from self._emit(max(0, end - m.lookahead))
-
-    def _chain(self, end: int) -> list[str]:
-        out = []
+        self.fed += 1
+        for low in range(0, len(raw), self.step):
+            self.window += m.symbols(raw[low : low + self.step])
+            m.extend(self.window, self.last)
+            if len(self.window) >= 2 * self.step:
+                yield from self._emit(len(self.window) - m.lookahead)
+
+    def _tokens(self, end: int) -> list[str]:
+        out, last = [], self.last
         while end:
-            out.append(self.last[end])
+            out.append(last[end])
+            end -= len(last[end])
+        out.reverse()
+        return out
+
+    def _emit(self, settled: int) -> Iterator[int]:
+        """settled: boundaries up to there can't change any more."""
+        end = len(self.window)
+        while end > settled:
             end -= len(self.last[end])
-        return out[::-1]
-
-    def _emit(self, first: int) -> Iterator[int]:
-        """first: the least start a later token can have."""
-        shared = self._chain(len(self.window))
-        for end in range(first, len(self.window)):
-            chain = self._chain(end)
-            n = next((i for i, (a, b) in enumerate(zip(shared, chain, strict=False)) if a != b), min(len(shared), len(chain)))
-            shared = shared[:n]
-        if shared:
-            done = sum(map(len, shared))
-            self.window, self.base = self.window[done:], shared[-1]
-            self.last = [""] + self.last[done + 1 :]
-            yield from (self.m.ids[t] for t in shared)
+        done = self._tokens(end)
+        if done:
+            self.window, self.last = self.window[end:], [done[-1], *self.last[end + 1 :]]
+            yield from (self.m.ids[t] for t in done)
 
     def finish(self) -> Iterator[int]:
         """The rest; the transducer is then ready for the next pretoken."""
-        yield from (self.m.ids[t] for t in self._chain(len(self.window)))
+        done = self._tokens(len(self.window))
         self.reset()
+        return map(self.m.ids.__getitem__, done)
 
 
 class Decoder:
@@ -222,3 +323,6 @@ def special_pattern(path: str):
     """Matches the special strings of a file, longest first; None without any."""
     strings = sorted(load(path).special, key=len, reverse=True)
     return regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
+
+
+ON_RELEASE += [load.cache_clear, special_pattern.cache_clear]

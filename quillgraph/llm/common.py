@@ -21,6 +21,8 @@ ALNUM_TABLE = bytes(
 
 
 _held: dict[str, object] = {}
+#: Called when tables are dropped: modules put in what else they keep in a worker.
+ON_RELEASE: list[Callable[[], None]] = []
 
 
 def held(owner: str, make: Callable):
@@ -34,6 +36,8 @@ def held(owner: str, make: Callable):
 def release() -> None:
     """Drops the tables held in this process and hands free memory back to the system."""
     _held.clear()
+    for drop in ON_RELEASE:
+        drop()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -84,6 +88,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 <<
             yield batch.slice(low, each)
 
 
+def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with garbage collection put off to the end of each: large tables without cycles would be gone through again and again."""
+    for batch in batches:
+        gc.disable()
+        try:
+            yield batch
+        finally:
+            gc.enable()
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo: the fold of a row. A null key counts as the empty text."""
     c = F.col(column) if isinstance(column, str) else column

@@ -8,7 +8,8 @@ Text is put in composed normal form (NFC) and lower case, character by character
 counted once and kept in a table of bounded size in each worker.
 
 Defined cases: null and empty text have no tokens and no bytes; special strings in a text count as one token each and
-part the words at their sides; repeated rows each give a row; other columns pass through ``count``.
+part the words at their sides; repeated rows each give a row; an empty table gives an empty one. ``count`` hands the other
+columns on, without ``text``; a column named ``n_tokens`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import table, texts, with_columns
+from .common import fields_with, held, slices, table, texts, with_columns
 
 FILE = "word_bpe_49k.json"
 LIMIT = 2048
@@ -70,9 +71,6 @@ class Pieces(bpe.Bounded):
         return sum(map(self.words.__getitem__, PRETOKEN.findall(piece)))
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def plain(text: str) -> str:
     """NFC and lower case, each character by itself."""
     text = unicodedata.normalize("NFC", text)
@@ -87,9 +85,7 @@ def parted(text: str, path: str) -> list[str]:
 
 def count_text(text: str, path: str) -> int:
     """Tokens of the whole text."""
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    of, special, total = _pieces[path].__getitem__, bpe.load(path).special, 0
+    of, special, total = held(f"prefix {path}", lambda: Pieces(path)).__getitem__, bpe.load(path).special, 0
     for part in parted(text, path):
         if part in special:
             total += 1
@@ -135,11 +131,10 @@ def count(docs: DataFrame, path: str) -> DataFrame:
     """Every row of docs with n_tokens."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield with_columns(batch, ("text",), {"n_tokens": pa.array([count_text(t, path) for t in texts(batch)], pa.int64())})
 
-    kept = [f for f in docs.schema if f.name not in ("text", "n_tokens")]
-    return docs.mapInArrow(step, T.StructType([*kept, T.StructField("n_tokens", T.LongType())]))
+    return docs.mapInArrow(step, fields_with(docs.schema, ("text",), [T.StructField("n_tokens", T.LongType())]))
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -33,6 +33,10 @@ def test_byte_ids_and_round_trip(all_texts):
         assert got == ",".join(map(str, ids)), repr((text or "")[:80])
         assert decoded == t.decode(ids, skip_special_tokens=False)
         assert bpe_stream.decode(ids, BYTE) == decoded
+    rows = bpe_stream.Pieces(BYTE, 500).of([text or "" for text in all_texts])  # together, with a table that is soon full
+    for text, parts in zip(all_texts, rows, strict=True):
+        want = t.encode(text or "", add_special_tokens=False).ids
+        assert bpe_stream._digests(parts)[:2] == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
 
 
 def test_word_counts(all_texts):
@@ -83,3 +87,76 @@ def test_ids_of_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, "the the"), (3, "")], "doc_id long, text string")
     want = Tokenizer.from_file(BYTE).encode("the the", add_special_tokens=False).ids
     assert [(r.n_tokens, r.ids) for r in bpe_stream.encode(docs, BYTE).collect()] == [(0, []), (2, want), (0, [])]
+
+
+def small_merges(tmp_path, rng, symbols="abc", n=12):
+    """A file with random merges over a few letters, each made of tokens there are."""
+    import json
+
+    tokens, merges = list(symbols), []
+    while len(merges) < n:
+        pair = (rng.choice(tokens), rng.choice(tokens))
+        if "".join(pair) not in tokens:
+            merges.append(" ".join(pair))
+            tokens.append("".join(pair))
+    path = tmp_path / f"{rng.random()}.json"
+    path.write_text(json.dumps({"model": {"merges": merges, "vocab": {t: i for i, t in enumerate(tokens)}}, "added_tokens": []}))
+    return bpe.Merges(str(path))
+
+
+def ends(tokens):
+    out, at = set(), 0
+    for t in tokens:
+        at += len(t)
+        out.add(at)
+    return out
+
+
+def test_lookahead_settles_boundaries(tmp_path):
+    rng = random.Random(11)
+    for _ in range(40):
+        m = small_merges(tmp_path, rng)
+        for _ in range(30):
+            text = "".join(rng.choices("abc", k=60))
+            full = ends(m.merged(list(text)))
+            for n in range(m.lookahead, 60):
+                settled = {e for e in ends(m.merged(list(text[:n]))) if e <= n - m.lookahead}
+                assert settled == {e for e in full if e <= n - m.lookahead}
+
+
+def test_neighbours_are_judged_as_the_merges_do(tmp_path):
+    rng = random.Random(12)
+    for _ in range(40):
+        m = small_merges(tmp_path, rng)
+        for a in m.whole:
+            for b in m.whole:
+                assert m.valid(a, b) == (m.merged(list(a + b)) == [a, b])
+
+
+def test_every_pretoken_goes_through_the_transducer(all_texts):
+    of = bpe_stream.Pieces(BYTE)
+    distinct = {p for t in all_texts for part in of.pattern.split(t or "") if part not in of.special for p in bpe_stream.PRETOKEN.findall(part)}
+    for parts in of.of([t or "" for t in all_texts]):
+        bpe_stream._digests(parts)
+    assert of.stream.fed >= len(distinct)
+
+
+def test_very_long_texts_in_segments():
+    t = Tokenizer.from_file(BYTE)
+    rng = random.Random(4)
+    words = ["the", "thé", "a\nb", " ", "  ", "\n\n", "x,", "12", "\t", "don't", "<|endoftext|>", "=" * 300]
+    for text in [" ".join(rng.choices(words, k=60_000)), "a" * 300_000, " " * 200_000 + "x"]:
+        want = t.encode(text, add_special_tokens=False).ids
+        (parts,) = bpe_stream.Pieces(BYTE).of([text])
+        n, ids, back = bpe_stream._digests(parts)
+        assert n == len(want) and ids == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert back == hashlib.sha256(t.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_results_replace_columns_of_their_name_and_empty_tables_stay_empty(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, n_tokens long, IDS2 string")
+    got = bpe_stream.stage(spark, docs, "")
+    assert got.columns == ["doc_id", "text", "IDS2", "n_tokens", "ids", "n_ids"]
+    assert [(r.n_tokens, len(r.ids), r.IDS2) for r in got.collect()] == [(2, 2, "x")]
+    assert bpe_stream.stage(spark, docs.limit(0), "").count() == 0
+    assert token_prefix.count(docs.limit(0), WORD).count() == 0
