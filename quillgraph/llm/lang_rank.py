@@ -6,10 +6,11 @@ from its place there, or the length of the profile if it isn't there. The neares
 the one whose name comes first.
 
 Profiles are counted on the executors over all rows that may be learned from, and only the top ranks of each language
-come to the driver.
+come to the driver. Texts are worked on in pieces of a thousand rows or a few megabytes, long ones whole.
 
 Defined cases: text that is null or without letters is ``und`` with score 0, and so is every text if there is nothing
-to learn from; rows with null lang are not learned from; repeated rows count as often as they occur.
+to learn from; rows with null lang are not learned from; repeated rows count as often as they occur; an empty table
+gives an empty one. ``identify`` keeps all columns, and those named as its results are replaced.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
-from .common import crc_mod, table, texts, with_columns
+from .common import crc_mod, fields_with, fresh, held, slices, table, texts, with_columns
 
 #: Ranks of a profile and of a document's list; letters of the longest n-gram.
 RANKS, LONGEST = 400, 3
+#: Distinct n-grams that a task holds.
+HELD = 1_000_000
 UNKNOWN = "und"
 SPACE = 32
 _letters: list[np.ndarray] = []
@@ -116,43 +117,65 @@ def weighted_ngrams(words: Counter) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int64), np.bincount(inverse, weights).astype(np.int64)
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    found, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return found, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-gram counts of each batch by language, from its distinct words."""
-    for batch in batches:
+    """n-gram counts of a task by language, from the distinct words of its pieces; more than HELD distinct ones are handed on and begun anew."""
+    counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = held("lang_rank", dict)
+    counts.clear()
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for language, parts in counts.items():
+            grams, n = _added(parts)
+            yield pa.RecordBatch.from_arrays([pa.repeat(language, len(grams)), pa.array(grams, pa.int64()), pa.array(n)], names=["lang", "gram", "n"])
+        counts.clear()
+
+    for batch in slices(batches):
         words: dict[str, Counter] = {}
         for language, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
             words.setdefault(language, Counter()).update(text.split())
-        names, keys, counts = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for language, own in words.items():
-            grams, n = weighted_ngrams(own)
-            names += [language] * len(grams)
-            keys.append(grams)
-            counts.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["lang", "gram", "n"])
+            counts.setdefault(language, []).append(weighted_ngrams(own))
+            size += len(counts[language][-1][0])
+        if size > HELD:
+            for language, parts in counts.items():
+                counts[language] = [_added(parts)]
+            size = sum(len(parts[0][0]) for parts in counts.values())
+            if size > HELD // 2:
+                yield from out()
+                size = 0
+    yield from out()
 
 
 def learn(rows: DataFrame, ranks: int = RANKS) -> Profiles:
-    """Profiles from rows of text and lang."""
+    """Profiles from rows of text and lang. Ranks are cut in each task before languages meet, so a hot one is no large group."""
     counted = rows.select("lang", "text").where("lang is not null and text is not null").mapInArrow(_count, "lang string, gram long, n long")
-    grams = cut(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = grams.withColumn("place", place).where(F.col("place") <= ranks)
     lists: dict[str, list[int]] = {}
-    for (language,) in grams.select("lang").distinct().collect():
-        top = grams.where(F.col("lang") == language).orderBy(F.desc("n"), "gram").limit(ranks)
-        lists[language] = [r.gram for r in top.select("gram", "n").collect()]
+    for r in sorted(top.select("lang", "place", "gram").collect()):  # at most RANKS rows a language
+        lists.setdefault(r.lang, []).append(r.gram)
     return Profiles(lists)
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """Every row of docs with lang_pred and score."""
+def identify(docs: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Every row of docs with the predicted language and its score under these names."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held("lang_rank", dict).clear()
+        for batch in slices(batches):
             got = [shared.value.predict(t) for t in texts(batch)]
-            yield with_columns(batch, (), {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})
+            yield with_columns(batch, (), {names[0]: pa.array([g[0] for g in got], pa.string()), names[1]: pa.array([g[1] for g in got], pa.float64())})
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return docs.mapInArrow(step, T.StructType([*[f for f in docs.schema if f.name not in ("lang_pred", "score")], *added]))
+    added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return docs.mapInArrow(step, fields_with(docs.schema, (), added))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,16 +186,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a language are rejected; lang is replaced by the prediction."""
-    profiles = learn(docs.where(crc_mod("doc_id", 3) != 1))
-    named = identify(docs, profiles).where(F.col("lang_pred") != UNKNOWN)
-    return named.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """Pipeline stage: documents without a language are rejected; lang is replaced by the prediction.
 
-
-def accuracy(result: DataFrame, docs: DataFrame) -> pd.DataFrame:
-    """Share of held-out rows of known language that are predicted right, for tests."""
-    known = result.where("held_out").join(docs.where("lang is not null and text is not null").select("doc_id", "lang"), "doc_id")
-    return known.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("accuracy"), F.count("*").alias("n")).toPandas()
+    Null, empty and letterless texts go, and with nothing to learn from all do; an empty table stays empty; repeated rows
+    and all columns stay, whatever their names.
+    """
+    profiles = learn(docs.where(crc_mod("doc_id", 3) != 1))
+    names = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    named = identify(docs, profiles, names).where(F.col(names[0]) != UNKNOWN)
+    return named.withColumn("lang", F.col(names[0])).select(*docs.columns)
 
 
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import xxhash
 
-from .common import space_words
+from .common import held, space_words
 
 WIDTH = 5
 SAMPLES, ROWS = 128, 4
@@ -34,9 +34,6 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -49,7 +46,8 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     words = space_words(text)
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array([_hashes[w] for w in words], np.uint64)
+    hashes = held("minhash", WordHashes)
+    h = np.array([hashes[w] for w in words], np.uint64)
     size = min(width, len(h))
     key = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):

@@ -10,11 +10,12 @@
    its size and not its square; only what stays outside the bucket's main component meets all others.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6. Sketches may only dismiss a pair whose
-estimate is 0.15, about four standard errors, under the threshold; every link is confirmed on full sets.
+estimate is 0.25 (``MARGIN``) under the threshold; every link is confirmed on full sets.
 
 Defined cases: null text, or one without words, has an empty set and is linked with nothing; with fewer words than a
 shingle the whole sequence is the one shingle; rows that share a doc_id are one document (linked); rows without a
-doc_id take part, and their component_id is null if no member of it has a doc_id; they are never ``kept``.
+doc_id take part, and their component_id is null if no member of it has a doc_id; they are never ``kept``; an empty table
+gives an empty one; of other columns the operator takes none, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, stored
 from . import minhash
-from .common import table, texts_as_bytes
+from .common import slices, table, texts_as_bytes
 from .components import components
 
 PERCENT = 75
@@ -44,7 +45,7 @@ NAMELESS = 1 << 62
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints, sizes, keys, sketches = [], [], [], []
         for raw in texts_as_bytes(batch):
             own = minhash.shingles(raw)
@@ -147,7 +148,7 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [minhash.shingles(raw).tobytes() for raw in texts_as_bytes(batch)]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _large_blocks(mixed: DataFrame) -> DataFrame:
     """(block, second, node, label): each block pairs a chunk outside the bucket's main component with any chunk of the bucket."""
     other = (F.col("label") != F.col("main")).alias("other")
-    counted = mixed.groupBy("band", other).agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    counted = _bounded(cut(mixed.groupBy("band", other).agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))))  # so that a bucket's nodes need not meet in one task
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")
     placed = mixed.select("band", "node", "label", other).join(counted, ["band", "other"]).select("band", "other", "node", "label", chunk)
     every = counted.select("band", "other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"))
@@ -240,12 +241,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays; repeated rows of one doc_id count once, rows without doc_id can't be named as a copy and stay."""
+    """Pipeline stage: one document of each group stays; repeated rows of one doc_id count once, rows without doc_id can't be named as a copy and stay.
+
+    Null and empty texts are no copies of each other and stay; an empty table stays empty; all columns stay, whatever
+    their names, for the result is joined by doc_id alone.
+    """
     found = stored(near_duplicates(docs))
     gone = cut(found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct())
-    left = docs.join(_bounded(gone), "doc_id", "left_anti")
-    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"))
     if again.isEmpty():
         return left
     few = _bounded(again)
-    return left.join(few, "doc_id", "left_anti").unionByName(left.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.join(few, "doc_id", "left_anti").unionByName(left.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
