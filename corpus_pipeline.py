@@ -3,6 +3,10 @@
 Language ID drops what it rejects, near-dedup keeps one document of each group, decontamination cuts benchmark
 windows out of texts (and drops texts that are mostly such), PII spans are replaced by their kind, and the last stage
 adds token ids.
+
+Defined cases: documents with null, empty or letterless text go in the first stage; rows of one doc_id count once, rows
+without doc_id stay; an empty table goes through empty; other columns, whatever their names, pass all stages, but that
+n_tokens, ids and n_ids are replaced in the last.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import bpe_stream, decontaminate, lang_rank, near_dedup, pii_crf
-from quillgraph.session import stored
+from quillgraph.session import forget_stored, stored, stored_so_far
 
 STAGES = [
     ("language_id", lang_rank.stage),
@@ -25,8 +29,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, one after the other, over documents. Once a stage's result is written, what it was made from is deleted."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), stored_so_far()
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
+        forget_stored(spark, mark, but=1)
     return docs
