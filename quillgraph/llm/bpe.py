@@ -100,6 +100,12 @@ class Merges:
         """One character of the vocabulary's alphabet for each byte."""
         return raw.decode("latin-1").translate(self.to_symbols)
 
+    def symbols_of(self, text: str) -> str:
+        """symbols() of the text's UTF-8; printable ASCII stands for itself but for the blank."""
+        if text.isascii() and text.isprintable():
+            return text.replace(" ", self.alphabet[32])
+        return self.symbols(text.encode("utf-8", "surrogatepass"))
+
     def merged(self, parts: list[str], steps: int = NEVER) -> list[str] | None:
         """The lowest-ranked pair is joined, leftmost first, until no pair has a rank, or so often; None if it can't be done once."""
         rank_of = self.ranks.get
@@ -160,7 +166,7 @@ class Merges:
         """The two tokens may stand side by side: no merge joins parts that touch while they are made. Of equal ranks the left place goes first."""
         known = self._valid.get((left, right))
         if known is None:
-            if len(self._valid) > 100_000:
+            if len(self._valid) > 200_000:
                 self._valid.clear()
             joins, ends, known = self._joins.get, self._spine(right, 0), True
             for part, used in self._spine(left, 1):
@@ -247,13 +253,13 @@ class Transducer:
     def reset(self) -> None:
         self.window, self.last = "", [""]
 
-    def encode(self, raw: bytes) -> list[int]:
+    def encode(self, text: str) -> list[int]:
         """A whole pretoken. What it shares with the start of the one before isn't read again: a prefix has the same last tokens wherever it stands."""
-        if len(raw) > self.step:
+        now, shared = self.m.symbols_of(text), 0
+        if len(now) > self.step:
             self.reset()
-            return [*self.feed(raw), *self.finish()]
+            return [*self.feed(text.encode("utf-8", "surrogatepass")), *self.finish()]
         self.fed += 1
-        now, shared = self.m.symbols(raw), 0
         for a, b in zip(self.window, now):
             if a != b:
                 break

@@ -60,7 +60,7 @@ class Pieces(bpe.Bounded):
             ids = ",".join([self[p] for p in found])
             decoded = "".join([self.odd.get(p, p) for p in found])
         else:
-            own = self.stream.encode(piece.encode("utf-8", "surrogatepass"))
+            own = self.stream.encode(piece)
             ids = ",".join(map(str, own))
             decoded = self.decoder.feed(own) + self.decoder.finish()
         if decoded != piece:
