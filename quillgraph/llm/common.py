@@ -96,6 +96,7 @@ def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch
         finally:
             gc.enable()
+            gc.collect(1)  # what the batch has made, not the tables
 
 
 def crc_mod(column: str | Column, modulus: int) -> Column:
