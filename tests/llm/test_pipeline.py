@@ -2,11 +2,12 @@
 
 import public_tokenizers
 import pytest
+from test_decontaminate import brute_force
 from test_near_dedup import brute
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillgraph.llm import decontaminate, pii_crf
+from quillgraph.llm import pii_crf
 from quillgraph.llm.common import alnum_words
 
 
@@ -51,14 +52,14 @@ def test_decontamination_leaves_no_window_and_other_words_alone(stages, spark):
     after = {r.doc_id: r.text for r in rows["decontamination"]}
     for r in rows["near_dedup"]:
         words = alnum_words(r.text.encode())
-        hit, _ = decontaminate.brute_force(words, items)
+        hit, _ = brute_force(words, items)
         if 2 * hit > len(words):
             assert r.doc_id not in after
         elif not hit:
             assert after[r.doc_id] == r.text
         else:
             left = alnum_words(after[r.doc_id].encode())
-            assert len(left) == len(words) - hit and decontaminate.brute_force(left, items)[0] == 0
+            assert len(left) == len(words) - hit and brute_force(left, items)[0] == 0
 
 
 def test_pii_is_masked_and_all_documents_stay(stages):
