@@ -110,7 +110,7 @@ def labelled_table(rows: int = 600, seed: int = 7) -> list[tuple[str, list[Span]
         cue = rng.choice(crf.CUES)
         cue = rng.choice([cue, cue.upper(), cue.title()])
         if rng.random() < 0.3:
-            return kind, rng.choice([f"{cue}: ", f"{cue} = ", f"{cue}="]), rng.choice([word() + digits(3), alnum(9) + "7", alnum(12) + "x1", word() + "_" + digits(2)])
+            return kind, rng.choice([f"{cue}: ", f"{cue} = ", f"{cue}="]), rng.choice([word() + digits(3), word() + digits(2) + word(), word() + digits(rng.randrange(1, 5)), alnum(9) + "7", alnum(12) + "x1", word() + "_" + digits(2)])
         before = rng.choice(["", "", f"{cue} = ", f"{cue}: ", f"{cue}=", f"{cue} "])
         return kind, before, rng.choice([hexa(40), hexa(40).upper(), hexa(32), f"sk-{word()}{digits(4)}{hexa(24)}", f"AK{digits(3)}{hexa(24).upper()}", f"ghp_{letters(36)}", alnum(40) + "aB12", letters(32)])
 
