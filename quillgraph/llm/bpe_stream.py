@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import fields_with, held, slices, table, texts, uncollected, with_columns
+from .common import fields_with, held, short_batches, slices, table, texts, uncollected, with_columns
 
 FILE = "byte_bpe_50k.json"
 #: Entries of each half of a worker's table, and characters of a piece that goes there.
@@ -186,6 +186,7 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFram
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: all documents, with n_tokens, their token ids (array) and n_ids. An empty table gives an
     empty one; null text has no ids; columns of these names are replaced, others stay."""
+    short_batches(spark)
     return encode(docs, public_tokenizers.path(FILE), size=TABLE_SIZE // 4).withColumn("n_ids", F.size("ids"))
 
 

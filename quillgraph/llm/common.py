@@ -20,6 +20,8 @@ ALNUM_TABLE = bytes(
 )
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _held: dict[str, object] = {}
 #: Called when tables are dropped: modules put in what else they keep in a worker.
 ON_RELEASE: list[Callable[[], None]] = []
@@ -88,6 +90,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 <<
             yield batch.slice(low, each)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows between executors and their workers, unless the session names a number: whole texts in
+    the default of 10,000 rows are tens of megabytes on either side. Results don't depend on it."""
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches, with garbage collection put off to the end of each: large tables without cycles would be gone through again and again."""
     for batch in batches:

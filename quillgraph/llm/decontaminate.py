@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .common import ALNUM_TABLE, LOWER, UPPER, alnum_words, fields_with, fresh, held, slices, table, texts_as_bytes, with_columns
+from .common import ALNUM_TABLE, LOWER, UPPER, alnum_words, fields_with, fresh, held, short_batches, slices, table, texts_as_bytes, with_columns
 
 WINDOW = 10
 #: Words of a chunk of an item.
@@ -239,6 +239,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and unhit texts stay as they are; an empty table stays empty; repeated rows are treated alike; all columns
     stay, whatever their names, and n_chars, where there is one, follows the text.
     """
+    short_batches(spark)
     names = tuple(fresh(n, docs.columns) for n in NAMES)
     marked = mark(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), names=names)
     left = marked.where(hit_count(names[1]) * 2 <= F.col(names[0])).drop(names[0], names[2])

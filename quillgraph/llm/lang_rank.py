@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, fields_with, fresh, held, slices, table, texts, with_columns
+from .common import crc_mod, fields_with, fresh, held, short_batches, slices, table, texts, with_columns
 
 #: Ranks of a profile and of a document's list; letters of the longest n-gram.
 RANKS, LONGEST = 400, 3
@@ -191,6 +191,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and letterless texts go, and with nothing to learn from all do; an empty table stays empty; repeated rows
     and all columns stay, whatever their names.
     """
+    short_batches(spark)
     profiles = learn(docs.where(crc_mod("doc_id", 3) != 1))
     names = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
     named = identify(docs, profiles, names).where(F.col(names[0]) != UNKNOWN)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, stored
 from . import minhash
-from .common import slices, table, texts_as_bytes
+from .common import short_batches, slices, table, texts_as_bytes
 from .components import components
 
 PERCENT = 75
@@ -246,6 +246,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are no copies of each other and stay; an empty table stays empty; all columns stay, whatever
     their names, for the result is joined by doc_id alone.
     """
+    short_batches(spark)
     found = stored(near_duplicates(docs))
     gone = cut(found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct())
     left = docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)

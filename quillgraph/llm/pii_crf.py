@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import held, slices, table, texts
+from .common import held, short_batches, slices, table, texts
 
 BASE = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(crf.KINDS)}
@@ -288,6 +288,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are; an empty table stays empty; repeated rows and all columns stay, whatever their
     names; n_chars, where there is one, follows the text.
     """
+    short_batches(spark)
     out = mask(docs)
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
 

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillgraph.llm import pii_crf
-from quillgraph.llm.common import alnum_words
+from quillgraph.llm.common import BATCH_ROWS, alnum_words, short_batches
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +84,16 @@ def test_ids_are_those_of_the_library(stages):
 def test_run(spark, stages):
     rows, folder = stages
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == sorted(r.doc_id for r in rows["bpe"])
+
+
+def test_batches_are_short_unless_the_session_says_otherwise(spark):
+    """short_batches sets the rows of an Arrow batch only where none are set."""
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        spark.conf.unset(BATCH_ROWS)
+        short_batches(spark)
+        assert spark.conf.get(BATCH_ROWS) == "1000"
+        short_batches(spark, 7)
+        assert spark.conf.get(BATCH_ROWS) == "1000"
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
