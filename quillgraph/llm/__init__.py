@@ -18,11 +18,14 @@ MODULES = {
     "op8_token_prefix": "token_prefix",
     "op9_bpe_stream": "bpe_stream",
     "op10_decontaminate": "decontaminate",
+    "op11_conversation_trie": "conversation_trie",
+    "op12_fill_middle": "fill_middle",
+    "op13_url_filter": "url_filter",
 }
 
 
 def queries() -> dict:
-    """Name to a function of (spark, sf_dir) for each of the ten operators."""
+    """Name to a function of (spark, sf_dir) for each of the thirteen operators."""
     return {name: importlib.import_module(f"{__name__}.{module}").query for name, module in MODULES.items()}
 
 
