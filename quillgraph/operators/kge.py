@@ -1,25 +1,44 @@
-"""Knowledge-graph embeddings: TransE, DistMult, ComplEx and ConvKB, trained in numpy, one task for each configuration.
+"""Knowledge-graph embeddings: scores, gradients and updates of TransE, DistMult, ComplEx and ConvKB in numpy.
 
-The graph of a configuration is held by its task, so its size is checked (``MOST_TRIPLES``); configurations run beside
-each other on the executors.
+``kge_blocks`` trains and ranks graphs of any size with them. ``train`` and ``filtered_metrics`` do the same for a graph
+that one process holds: the plain way that tests compare with.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_TRIPLES = 5_000_000
 MODELS = ("transe", "distmult", "complex", "convkb")
 
 
-def configurations(models: tuple[str, ...] = MODELS, dims: tuple[int, ...] = (8, 16), rates: tuple[float, ...] = (0.1,), epochs: int = 20) -> list[dict]:
-    return [{"config": i, "model": m, "dim": d, "rate": r, "epochs": epochs} for i, (m, d, r) in enumerate((m, d, r) for m in models for d in dims for r in rates)]
+#: The search spaces of the survey, by model: (dimension, rate, epochs, batch, weight of the squares). Fixed values.
+SEARCH = {
+    "transe": [(16, 0.001, 180, 128, 0.05), (24, 0.001, 180, 128, 0.05), (32, 0.001, 180, 128, 0.05)],
+    "convkb": [(6, 0.002, 150, 128, 0.01), (8, 0.002, 150, 128, 0.01), (12, 0.002, 150, 128, 0.01)],
+    "complex": [(16, 0.01, 180, 128, 0.025), (24, 0.015, 150, 128, 0.025), (24, 0.02, 180, 128, 0.45), (32, 0.015, 150, 128, 0.045)],
+}
+
+
+def configurations(models: tuple[str, ...] = MODELS, dims: tuple[int, ...] = (8, 16), rates: tuple[float, ...] = (0.1,), epochs: int = 20, **more) -> list[dict]:
+    """The product of the values. more: keys that all get, such as decay, patience, every, inverse (see kge_blocks.train_all)."""
+    return [{"config": i, "model": m, "dim": d, "rate": r, "epochs": epochs, **more} for i, (m, d, r) in enumerate((m, d, r) for m in models for d in dims for r in rates)]
+
+
+def smart_search(model: str, **more) -> list[dict]:
+    """The configurations of SEARCH for one model."""
+    return [{"config": i, "model": model, "dim": d, "rate": rate, "epochs": epochs, "batch": batch, "decay": decay, **more} for i, (d, rate, epochs, batch, decay) in enumerate(SEARCH[model])]
+
+
+def width_of(model: str, dim: int) -> int:
+    """Numbers in an entity's vector: complex ones have a real and an imaginary half."""
+    return 2 * dim if model == "complex" else dim
+
+
+def start(rng: np.random.Generator, rows: int, dim: int, width: int) -> np.ndarray:
+    bound = 6 / np.sqrt(dim)
+    return rng.uniform(-bound, bound, (rows, width)) / 3
 
 
 class Model:
@@ -27,10 +46,9 @@ class Model:
 
     def __init__(self, kind: str, entities: int, relations: int, dim: int, seed: int = 0, filters: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        width = 2 * dim if kind == "complex" else dim
+        width = width_of(kind, dim)
         self.kind, self.dim = kind, dim
-        bound = 6 / np.sqrt(dim)
-        self.p = {"e": rng.uniform(-bound, bound, (entities, width)) / 3, "r": rng.uniform(-bound, bound, (relations, width)) / 3}
+        self.p = {"e": start(rng, entities, dim, width), "r": start(rng, relations, dim, width)}
         if kind == "convkb":
             self.p["f"] = rng.normal(0, 0.3, (filters, 3))
             self.p["w"] = rng.normal(0, 0.3, (filters, dim))
@@ -53,8 +71,8 @@ class Model:
         f = self.p["f"]
         return f[:, 0, None] * h[..., None, :] + f[:, 1, None] * r[..., None, :] + f[:, 2, None] * t[..., None, :]
 
-    def step(self, h: np.ndarray, r: np.ndarray, t: np.ndarray, slope: np.ndarray, rate: float) -> None:
-        """One adaptive step down: slope is the loss by the score of each triple (ids)."""
+    def step(self, h: np.ndarray, r: np.ndarray, t: np.ndarray, slope: np.ndarray, rate: float, decay: float = 0.0) -> None:
+        """One adaptive step down: slope is the loss by the score of each triple (ids). decay pulls touched rows to zero."""
         eh, er, et = self.p["e"][h], self.p["r"][r], self.p["e"][t]
         s = slope[:, None]
         if self.kind == "transe":
@@ -76,35 +94,79 @@ class Model:
             self._apply("f", np.stack([(on * x[:, None, :]).sum((0, 2)) for x in (eh, er, et)], 1), rate)
             self._apply("w", (np.maximum(z, 0) * slope[:, None, None]).sum(0), rate)
         for name, ids, grad in (("e", np.concatenate([h, t]), np.vstack([gh, gt])), ("r", r, gr)):
-            full = np.zeros_like(self.p[name])
-            np.add.at(full, ids, grad)
-            self._apply(name, full, rate)
-
-    def _apply(self, name: str, grad: np.ndarray, rate: float) -> None:
-        self.square[name] += grad**2
-        self.p[name] -= rate * grad / np.sqrt(self.square[name])
+            rows, place = np.unique(ids, return_inverse=True)  # only rows that occur are touched, whatever the table's size
+            total = np.zeros((len(rows), grad.shape[1]))
+            np.add.at(total, place, grad)
+            self._apply(name, total + decay * self.p[name][rows] if decay else total, rate, rows)
+
+    def _apply(self, name: str, grad: np.ndarray, rate: float, rows: np.ndarray | slice = slice(None)) -> None:
+        self.square[name][rows] += grad**2
+        self.p[name][rows] -= rate * grad / np.sqrt(self.square[name][rows])
+
+    def query(self, side: str, anchor: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """What the anchors (heads for side t, tails for side h) and relations come to before a candidate is known: one row each."""
+        d = self.dim
+        if self.kind == "transe":
+            return anchor + r if side == "t" else anchor - r
+        if self.kind == "distmult":
+            return anchor * r
+        if self.kind == "complex":
+            a, b, c, e = anchor[:, :d], anchor[:, d:], r[:, :d], r[:, d:]
+            return np.hstack([a * c - b * e, b * c + a * e]) if side == "t" else np.hstack([a * c + b * e, b * c - a * e])
+        f = self.p["f"]
+        return np.hstack([f[i, 0 if side == "t" else 2] * anchor + f[i, 1] * r for i in range(len(f))])
+
+    def against(self, side: str, q: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """Scores of all candidates for each query, a block at a time."""
+        if self.kind in ("distmult", "complex"):
+            return q @ candidates.T
+        out = np.zeros((len(q), len(candidates)))
+        part = np.empty_like(out)
+        if self.kind == "transe":
+            for i in range(self.dim):
+                np.subtract(q[:, i, None], candidates[None, :, i], out=part)
+                out -= np.abs(part, out=part)
+            return out
+        for i in range(len(self.p["f"])):
+            last = candidates * self.p["f"][i, 2 if side == "t" else 0]
+            for j in range(self.dim):
+                np.add(q[:, i * self.dim + j, None], last[None, :, j], out=part)
+                np.maximum(part, 0, out=part)
+                part *= self.p["w"][i, j]
+                out += part
+        return out
+
+    def epoch(self, triples: np.ndarray, share: np.ndarray, low: np.ndarray, size: np.ndarray, rate: float, rng: np.random.Generator, batch: int = 512, decay: float = 0.0) -> float:
+        """Logistic loss on each triple and one with a replaced end; which end goes by the relation's fan-out (Bernoulli). low, size: for each entity the range that its stand-in is drawn from. Gives the summed loss."""
+        order, total = rng.permutation(len(triples)), 0.0
+        for at in range(0, len(order), batch):
+            h, r, t = triples[order[at : at + batch]].T
+            swap = rng.random(len(h)) < share[r]
+            end = np.where(swap, h, t)
+            other = low[end] + rng.integers(0, size[end], len(h))
+            h2, t2 = np.where(swap, other, h), np.where(swap, t, other)
+            e, rel = self.p["e"], self.p["r"]
+            good, bad = self.score(e[h], rel[r], e[t]), self.score(e[h2], rel[r], e[t2])
+            total += float(np.logaddexp(0, -good).sum() + np.logaddexp(0, bad).sum())
+            slope = np.concatenate([-1 / (1 + np.exp(np.clip(good, -50, 50))), 1 / (1 + np.exp(-np.clip(bad, -50, 50)))])
+            self.step(np.concatenate([h, h2]), np.concatenate([r, r]), np.concatenate([t, t2]), slope, rate, decay)
+        return total
 
 
 def train(triples: np.ndarray, entities: int, relations: int, config: dict, seed: int = 0, batch: int = 512) -> tuple[Model, list[float]]:
-    """Logistic loss on each triple and one with a replaced end; which end goes by the relation's fan-out (Bernoulli)."""
+    """The whole graph in one process."""
     rng = np.random.default_rng(seed)
     model = Model(config["model"], entities, relations, config["dim"], seed)
+    low, size = np.zeros(entities, np.int64), np.full(entities, entities)
+    losses = [model.epoch(triples, fan_out(triples, relations), low, size, config["rate"], rng, batch) / max(1, 2 * len(triples)) for _ in range(config["epochs"])]
+    return model, losses
+
+
+def fan_out(triples: np.ndarray, relations: int) -> np.ndarray:
+    """For each relation the chance that the head is replaced."""
     heads = np.array([len(np.unique(triples[triples[:, 1] == r, 0])) for r in range(relations)])
     tails = np.array([len(np.unique(triples[triples[:, 1] == r, 2])) for r in range(relations)])
-    share = tails / np.maximum(heads + tails, 1)
-    losses = []
-    for _ in range(config["epochs"]):
-        order, total = rng.permutation(len(triples)), 0.0
-        for low in range(0, len(order), batch):
-            h, r, t = triples[order[low : low + batch]].T
-            swap, other = rng.random(len(h)) < share[r], rng.integers(0, entities, len(h))
-            h2, t2 = np.where(swap, other, h), np.where(swap, t, other)
-            e, rel = model.p["e"], model.p["r"]
-            good, bad = model.score(e[h], rel[r], e[t]), model.score(e[h2], rel[r], e[t2])
-            total += float(np.logaddexp(0, -good).sum() + np.logaddexp(0, bad).sum())
-            model.step(np.concatenate([h, h2]), np.concatenate([r, r]), np.concatenate([t, t2]), np.concatenate([-1 / (1 + np.exp(np.clip(good, -50, 50))), 1 / (1 + np.exp(-np.clip(bad, -50, 50)))]), config["rate"])
-        losses.append(total / max(1, 2 * len(triples)))
-    return model, losses
+    return tails / np.maximum(heads + tails, 1)
 
 
 def filtered_metrics(model: Model, test: np.ndarray, known: np.ndarray) -> dict[str, float]:
@@ -126,34 +188,6 @@ def filtered_metrics(model: Model, test: np.ndarray, known: np.ndarray) -> dict[
     return {"mrr": float((1 / ranks).mean()), "hits1": float((ranks <= 1).mean()), "hits10": float((ranks <= 10).mean())}
 
 
-def train_all(triples: DataFrame, configs: list[dict], seed: int = 0, train_metrics: bool = False) -> DataFrame:
-    """With train_metrics the ranks of all training triples too, which take as long again for each of them; else those are null.
-
-    config, model, dim, losses of first and last epoch, train and test metrics, vectors as JSON by entity. triples: subject, relation, object, split (unique)."""
-    if triples.count() > MOST_TRIPLES:
-        raise ValueError(f"more than {MOST_TRIPLES} triples; train on a part of the graph")
-    rows = triples.select("subject", "relation", "object", "split").distinct().orderBy("subject", "relation", "object").toPandas()  # checked size
-    names = sorted({*rows["subject"], *rows["object"]})
-    kinds = sorted(set(rows["relation"]))
-    entity, relation = {n: i for i, n in enumerate(names)}, {n: i for i, n in enumerate(kinds)}
-    ids = np.array([[entity[s], relation[r], entity[o]] for s, r, o in zip(rows["subject"], rows["relation"], rows["object"], strict=True)], np.int64).reshape(-1, 3)
-    is_test = (rows["split"] == "test").to_numpy()
-    spark = triples.sparkSession
-    shared = spark.sparkContext.broadcast((ids, is_test, names, len(kinds)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, test, entities, relations = shared.value
-        for pdf in batches:
-            for config in map(json.loads, pdf["value"]):
-                model, losses = train(own[~test], len(entities), relations, config, seed)
-                scores = {f"{side}_{k}": v for side, part in (("train", own[~test]), ("test", own[test])) for k, v in (filtered_metrics(model, part, own) if side == "test" or train_metrics else dict.fromkeys(("mrr", "hits1", "hits10"))).items()}
-                yield pd.DataFrame([{"config": config["config"], "model": config["model"], "dim": config["dim"], "first_loss": losses[0], "last_loss": losses[-1], **scores, "vectors": json.dumps(model.p["e"].round(6).tolist())}])
-
-    schema = "config int, model string, dim int, first_loss double, last_loss double, train_mrr double, train_hits1 double, train_hits10 double, test_mrr double, test_hits1 double, test_hits10 double, vectors string"
-    work = spark.createDataFrame([(json.dumps(c),) for c in configs], "value string").repartition(len(configs))
-    return work.mapInPandas(run, schema)
-
-
 def best_by(results: DataFrame, measure: str) -> DataFrame:
     """The first configuration with the largest measure."""
     return results.orderBy(F.desc(measure), "config").limit(1)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import classify, clusters, explain, graph, kge, metrics, sampling, topics
+from ..operators import classify, clusters, explain, graph, kge, kge_blocks, metrics, sampling, topics
 from ..operators import triples as tr
 from ..operators import vocabulary as vo
 from ..session import cut
@@ -84,17 +84,16 @@ def classify_triples(triples: DataFrame, configs: list[dict] | None = None, alph
     The configuration with the best test MRR is taken; triples is subject, relation, object, label (from 0).
     """
     unique = triples.select("subject", "relation", "object").distinct().withColumn("key", F.concat_ws("|", "subject", "relation", "object"))
-    trained = cut(kge.train_all(cut(sampling.split_graph(unique, "key")), configs or kge.configurations(dims=(8,), epochs=10)))
-    best = kge.best_by(trained, "test_mrr")
-    names = graph.dense_ids(unique.select(F.explode(F.array("subject", "object")).alias("entity")), "entity")
-    vectors = best.select(F.posexplode(F.from_json("vectors", "array<array<double>>")).alias("id", "vec")).join(names, "id").select("entity", "vec")
+    trained = kge_blocks.train_all(cut(sampling.split_graph(unique, "key")), configs or kge.configurations(dims=(8,), epochs=10))
+    best = kge.best_by(trained.results, "test_mrr").first()["config"]
+    vectors = trained.vectors.where(F.col("config") == best).select("entity", "vec")
     if alpha is not None:
         vectors = graph.scaled(vectors, graph.entity_frequency(triples), alpha).select("entity", "vec")
     vectors = cut(vectors)
     width = vectors.select(F.size("vec")).first()[0]
     rows = graph.pair_features(triples.withColumn("key", F.concat_ws("|", "subject", "relation", "object", "label")), vectors, width).dropDuplicates(["key"])
     folds = classify.cross_validate(rows.select("key", "label", "features"), "key", k)
-    return {"embeddings": trained.drop("vectors"), "folds": folds, "summary": metrics.fold_summary(folds, "accuracy", k)}
+    return {"embeddings": trained.results, "folds": folds, "summary": metrics.fold_summary(folds, "accuracy", k)}
 
 
 def explain_topics(terms: DataFrame, method: str = "hierarchical", providers: Providers = DEFAULT) -> dict[str, DataFrame]:
