@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -190,8 +190,8 @@ def _joined_runs(runs: Column) -> Column:
     return F.aggregate(pairs, F.array().cast("array<bigint>"), lambda acc, p: F.when((F.size(acc) > 0) & (p["a"] <= F.try_element_at(acc, F.lit(-1))), longer(acc, p)).otherwise(F.concat(acc, F.array(p["a"], p["b"]))))
 
 
-def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, index_bytes: int = INDEX_BYTES, names: tuple[str, str, str] = NAMES) -> DataFrame:
-    """Every row of docs with its number of words, hit runs and the ids of items that hit it; items has item_id and text."""
+def _indexes(docs: DataFrame, items: DataFrame, text: str, window: int, index_bytes: int) -> tuple[int, Callable[[int], Index]]:
+    """How many indexes the items take, and what makes each."""
     chunks = item_chunks(items, window)
     total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-total * BYTES_A_WORD // index_bytes))
@@ -201,6 +201,12 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
         own = Index(((r.item_id, r.size, bytes(r.words)) for r in part.select("item_id", "size", "words").toLocalIterator()), window)
         return own.order(frequencies(docs, text, own) if own.sizes else {})
 
+    return blocks, index_of
+
+
+def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, index_bytes: int = INDEX_BYTES, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """Every row of docs with its number of words, hit runs and the ids of items that hit it; items has item_id and text."""
+    blocks, index_of = _indexes(docs, items, text, window, index_bytes)
     if blocks == 1:
         own = index_of(0)
         return _marks(docs, text, names, own if own.sizes else None)
@@ -240,8 +246,36 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay, whatever their names, and n_chars, where there is one, follows the text.
     """
     short_batches(spark)
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    blocks, index_of = _indexes(docs, items, "text", WINDOW, INDEX_BYTES)
+    cleaned = _cleaned_by(docs, index_of(0)) if blocks == 1 else _cleaned(docs, items)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
+
+
+def _cleaned_by(docs: DataFrame, index: Index) -> DataFrame:
+    """The stage with one index: found and cut out in one pass, so that a task needs one worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("decontaminate", dict)
+        own = shared.value
+        for batch in slices(batches):
+            out, kept = [], []
+            for value, raw in zip(batch.column("text").to_pylist(), texts_as_bytes(batch), strict=True):
+                words = alnum_words(raw)
+                runs = merge_runs(own.find(words)[0]) if own.sizes else []
+                kept.append(2 * (sum(runs[1::2]) - sum(runs[::2])) <= len(words))
+                out.append(excise(value, runs) if runs else value)
+            made = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(made, names=batch.schema.names).filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(step, docs.schema)
+
+
+def _cleaned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The stage with several indexes: their hits are joined by text first."""
     names = tuple(fresh(n, docs.columns) for n in NAMES)
-    marked = mark(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), names=names)
+    marked = mark(docs, items, names=names)
     left = marked.where(hit_count(names[1]) * 2 <= F.col(names[0])).drop(names[0], names[2])
     runs = names[1]
 
@@ -251,8 +285,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             kept = [n for n in batch.schema.names if n != runs]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in kept], names=kept)
 
-    cleaned = left.select(*docs.columns, runs).mapInArrow(step, docs.schema)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
+    return left.select(*docs.columns, runs).mapInArrow(step, docs.schema)
 
 
 def excise(value: str, runs: list[int]) -> str:

@@ -92,6 +92,16 @@ def test_stage_keeps_columns_whose_names_clash(spark, tmp_path):
     assert d.stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_stage_is_the_same_with_several_indexes(spark, tmp_path, monkeypatch):
+    docs, items = fixture()
+    rows(spark, items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = rows(spark, docs)
+    one = sorted(d.stage(spark, own, str(tmp_path)).collect(), key=str)
+    monkeypatch.setattr(d, "INDEX_BYTES", 4_000)
+    monkeypatch.setattr(d.mark, "__defaults__", ("text", 10, 4_000, d.NAMES))
+    assert sorted(d.stage(spark, own, str(tmp_path)).collect(), key=str) == one and len(one) < len(docs)
+
+
 def test_excise_keeps_the_rest():
     assert d.excise("Ab c-D é, f!", [1, 3]) == "Ab  é, f!"
 
