@@ -9,17 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import classify, clusters, explain, graph, kge, kge_blocks, metrics, sampling, topics
+from ..operators import classify, clusters, explain, graph, kge, kge_blocks, metrics, sampling, search, topics
+from ..operators import quota as quota_fill
 from ..operators import triples as tr
 from ..operators import vocabulary as vo
-from ..session import cut
+from ..session import cut, stored
 
 
 def proper_runs(value: Column) -> Column:
@@ -96,6 +96,28 @@ def classify_triples(triples: DataFrame, configs: list[dict] | None = None, alph
     return {"embeddings": trained.results, "folds": folds, "summary": metrics.fold_summary(folds, "accuracy", k)}
 
 
+def classify_by_auc(triples: DataFrame, configs: list[dict], alpha: float | None = 0.5, draws: list[dict] | None = None, k: int = 10, judge: dict = search.JUDGE) -> dict[str, DataFrame]:
+    """As classify_triples, but the embedding is the one whose classifier has the largest AUC, the classifier is searched among draws, and the final fit is reported.
+
+    triples: subject, relation, object, label (from 0). With alpha, vectors are scaled by frequency first, and the ranks before and after are told.
+    """
+    unique = triples.select("subject", "relation", "object").distinct().withColumn("key", F.concat_ws("|", "subject", "relation", "object"))
+    trained = kge_blocks.train_all(cut(sampling.split_graph(unique, "key")), configs)
+    out, vectors = {"embeddings": trained.results}, trained.vectors
+    if alpha is not None:
+        out["scaling"], out["scaling_summary"], vectors = kge_blocks.scaling_impact(trained, graph.entity_frequency(triples), alpha)
+    keyed = triples.withColumn("key", F.concat_ws("|", "subject", "relation", "object", "label")).dropDuplicates(["key"])
+    features = {c["config"]: graph.pair_features(keyed, vectors.where(F.col("config") == c["config"]).select("entity", "vec"), kge.width_of(c["model"], c["dim"])) for c in configs}
+    out["choice"] = search.by_auc(features, "key", judge)
+    best = out["choice"].where("best").first()
+    if best is None:
+        raise ValueError("no embedding gave an AUC")
+    rows = stored(features[best.config].select("key", "label", "features"))
+    train = sampling.split(rows, "label", "key", 0.2).where("split = 'train'")
+    out["search"] = search.search(train, "key", draws or search.draws(search.SPACE, 20))
+    return out | search.final(rows, "key", search.winner(out["search"]), k)
+
+
 def explain_topics(terms: DataFrame, method: str = "hierarchical", providers: Providers = DEFAULT) -> dict[str, DataFrame]:
     """terms (topic, term, vec) to clusters, explanations and their summary; topics of fewer than three terms are one cluster."""
     found = cut(clusters.cluster_terms(terms, method))
@@ -137,27 +159,6 @@ def project(vectors: DataFrame) -> DataFrame:
 
 
 def merge_categories(docs: DataFrame, mapping: DataFrame, quota: int) -> DataFrame:
-    """docs (doc_id, categories array) with the first mapped category that isn't full, in doc_id order; others go.
-
-    The quota of one document depends on those before it, so candidates are cut first to what could matter: of each
-    category its first ``quota * categories`` documents. What is left, of a size that the quota fixes, is one group.
-    """
+    """docs (doc_id, categories array) with the first mapped category that isn't full, in doc_id order; others go. See operators.quota."""
     codes = docs.select("doc_id", F.posexplode("categories").alias("place", "code")).join(mapping, "code")  # mapping: code, category
-    first = codes.groupBy("doc_id", "category").agg(F.min("place").alias("place"))
-    kinds = mapping.select("category").distinct().count()
-    rank = F.row_number().over(Window.partitionBy("category").orderBy("doc_id"))
-    near = first.withColumn("rank", rank).where(F.col("rank") <= quota * kinds)
-
-    def fill(pdf):
-        full: dict[str, int] = {}
-        out = []
-        for doc, own in pdf.sort_values(["doc_id", "place"]).groupby("doc_id", sort=True):
-            for c in own["category"]:
-                if full.get(c, 0) < quota:
-                    full[c] = full.get(c, 0) + 1
-                    out.append((doc, c))
-                    break
-        return pd.DataFrame(out, columns=["doc_id", "category"])
-
-    filled = near.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fill, "doc_id long, category string")
-    return docs.join(filled, "doc_id")
+    return docs.join(quota_fill.fill(codes, quota), "doc_id")

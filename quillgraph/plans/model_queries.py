@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, clusters, explain, kge, kge_blocks, metrics, sampling, topics
+from ..operators import classify, clusters, explain, kge, kge_blocks, metrics, quota, sampling, search, topics
 from ..operators import vocabulary as vo
 from ..session import cut
 from .common import entry, table
@@ -50,6 +50,31 @@ def classifier_cv(spark, sf_dir):
     return metrics.fold_summary(folds, "accuracy", 3)
 
 
+def _judged(spark, sf_dir):
+    """Documents with a quality label, and what their whole texts count up to."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    lines = F.split(text, "\n")
+    counts = [F.length(text), F.size(words), F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)), F.size(lines), F.size(F.array_distinct(lines)) / F.size(lines), F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")) / F.greatest(F.length(text), F.lit(1)), F.regexp_count(text, F.lit(r"\p{Lu}")) / F.greatest(F.length(text), F.lit(1))]
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").join(table(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id")
+    return rows.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("label"), F.array(*[c.cast("double") for c in counts]).alias("features")).dropDuplicates(["doc_id"])
+
+
+@entry()
+def model_search(spark, sf_dir):
+    """Three draws of small boosted trees over labelled documents, with their measures over three folds, and the winner."""
+    space = search.SPACE | {"n_estimators": [5, 10], "max_depth": [3, 5]}
+    return search.search(_judged(spark, sf_dir), "doc_id", search.draws(space, 3), parallel=3)
+
+
+@entry()
+def category_fill(spark, sf_dir):
+    """Orders by customer segment, priority and status, whichever of these isn't full first; an order's places run from the rarest kind on."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey").join(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    choices = orders.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array("c_mktsegment", "o_orderpriority", "o_orderstatus")).alias("place", "category"))
+    return quota.fill(choices, 100)
+
+
 def _graph(spark, sf_dir):
     triples = valid_triples(spark, sf_dir).select("subject", "relation", "object").distinct()
     keyed = triples.withColumn("key", F.concat_ws("|", "subject", "relation", "object"))
