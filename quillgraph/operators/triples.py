@@ -29,20 +29,21 @@ TRIPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "re
 
 def phrase_tokens(docs: DataFrame, first_phrase_only: bool = False) -> DataFrame:
     """doc_id, phrase_id, tokens and their codes for each phrase that isn't blank; other columns stay."""
-    out = _phrases(docs)
+    out = phrases_of(docs)
     if first_phrase_only:
         out = out.where("phrase_id = 0")
     return out.drop("text").withColumn("tokens", tagging.tokens(F.col("phrase"))).withColumn("codes", codes(F.col("tokens")))
 
 
-def _phrases(docs: DataFrame) -> DataFrame:
+def phrases_of(docs: DataFrame) -> DataFrame:
+    """phrase_id and phrase of each phrase that isn't blank; other columns stay."""
     return docs.select("*", F.posexplode(text.phrases(F.col("text"))).alias("phrase_id", "phrase")).where(F.col("phrase").rlike(r"\S"))
 
 
 def phrase_words(docs: DataFrame) -> DataFrame:
     """doc_id, phrase_id, pos, word, tag: a row for each distinct word of a phrase, tagged in compiled code; other columns stay."""
     own = F.array_distinct(F.regexp_extract_all("phrase", F.lit(tagging.TOKEN), F.lit(0)))
-    out = _phrases(docs).drop("text")
+    out = phrases_of(docs).drop("text")
     out = out.select(*[c for c in out.columns if c != "phrase"], F.posexplode(own).alias("pos", "word"))
     return out.withColumn("low", F.lower("word")).withColumn("tag", tagging.tag(F.col("word"), F.col("low"))).drop("low")
 

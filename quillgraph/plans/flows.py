@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import classify, clusters, explain, graph, kge, kge_blocks, metrics, sampling, search, topics
+from ..operators import classify, clusters, explain, graph, kge, kge_blocks, metrics, parsing, sampling, search, topics
 from ..operators import quota as quota_fill
 from ..operators import triples as tr
 from ..operators import vocabulary as vo
@@ -32,12 +32,28 @@ class Providers:
     coreference: Callable[[Column], Column] = lambda c: c
     entities: Callable[[Column], Column] = proper_runs
     svo: Callable[[Column], Column] = rules.nearest_svo
+    #: Phrases (with tokens) to phrases with other tags; and to phrases with ``svo``, in place of the function of tokens.
+    tagger: Callable[[DataFrame], DataFrame] | None = None
+    parser: Callable[[DataFrame], DataFrame] | None = None
     explanation: Callable[[Column, Column], Column] = explain.explain
 
 
 DEFAULT = Providers()
 
 
+def trained_tags(tokens: DataFrame) -> DataFrame:
+    """tokens and codes by the trained tagger: a word has the tag of its first place in the phrase."""
+    rows = parsing.parse(tokens, name="_parsed")
+    own = F.transform("_parsed", lambda t: t["word"])
+    first = F.transform(F.array_distinct(own), lambda w: F.struct(w.alias("word"), F.get("_parsed", F.array_position(own, w).cast("int") - 1)["tag"].alias("tag")))
+    return rows.withColumn("tokens", first).withColumn("codes", tr.codes(F.col("tokens"))).drop("_parsed")
+
+
+def trained_parser(tokens: DataFrame) -> DataFrame:
+    """svo by the trained parser."""
+    return parsing.parse(tokens, name="_parsed").withColumn("svo", parsing.svo(F.col("_parsed"))).drop("_parsed")
+
+
 def enrich(docs: DataFrame, providers: Providers = DEFAULT) -> DataFrame:
     """docs with text_coref, text_clean and entities."""
     resolved = F.coalesce(providers.coreference(F.col("text")), F.col("text"))
@@ -56,11 +72,14 @@ def assign_topics(docs: DataFrame, k: int = 4, iterations: int = 10) -> tuple[Da
 def triples_only(docs: DataFrame, providers: Providers = DEFAULT) -> DataFrame:
     """doc_id, phrase_id, triples (array): parsed ones first, or the patterns' alone where a phrase has none; then the patterns in order."""
     tokens = tr.phrase_tokens(docs)
+    if providers.tagger:
+        tokens = providers.tagger(tokens)
+    tokens = providers.parser(tokens) if providers.parser else tokens.withColumn("svo", providers.svo(F.col("tokens")))
     own = "array<struct<subject:string,relation:string,object:string>>"
-    parsed = F.filter(providers.svo(F.col("tokens")).cast(own), lambda t: tr.rule_reason(t["subject"], t["relation"], t["object"], F.col("tokens")).isNull())
+    parsed = F.filter(F.col("svo").cast(own), lambda t: tr.rule_reason(t["subject"], t["relation"], t["object"], F.col("tokens")).isNull())
     made = F.concat(*[g(F.col("tokens"), F.col("codes")) for g in tr.GENERATORS.values()])
     patterns = F.transform(F.filter(made, lambda t: tr.generated_reason(lambda c: t[c]).isNull()), lambda t: F.struct(t["subject"].alias("subject"), t["relation"].alias("relation"), t["object"].alias("object")))
-    return tokens.withColumn("triples", F.concat(parsed, patterns)).drop("tokens", "codes", "phrase").where(F.size("triples") > 0)
+    return tokens.withColumn("triples", F.concat(parsed, patterns)).drop("tokens", "codes", "phrase", "svo").where(F.size("triples") > 0)
 
 
 def with_topics(docs: DataFrame, assigned: DataFrame, providers: Providers = DEFAULT) -> DataFrame:

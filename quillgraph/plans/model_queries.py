@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, clusters, explain, kge, kge_blocks, metrics, quota, sampling, search, topics
+from ..operators import classify, clusters, explain, kge, kge_blocks, metrics, parsing, quota, sampling, search, topics
+from ..operators import triples as tr
 from ..operators import vocabulary as vo
 from ..session import cut
 from .common import entry, table
@@ -67,6 +68,14 @@ def model_search(spark, sf_dir):
     return search.search(_judged(spark, sf_dir), "doc_id", search.draws(space, 3), parallel=3)
 
 
+@entry()
+def parsed_triples(spark, sf_dir):
+    """Relations between the nouns of a verb, by the trained parser, over all phrases."""
+    parsed = parsing.parse(tr.phrases_of(docs(spark, sf_dir, "doc_id", "text")).select("doc_id", "phrase"))
+    found = parsed.select("doc_id", F.explode(parsing.svo(F.col("parsed"))).alias("t")).select("doc_id", "t.*")
+    return found.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
 @entry()
 def category_fill(spark, sf_dir):
     """Orders by customer segment, priority and status, whichever of these isn't full first; an order's places run from the rarest kind on."""
