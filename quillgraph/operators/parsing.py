@@ -18,6 +18,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ WORD = re.compile(r"[^\W_]+")
 NOMINAL = [*tagging.NOUNS, "PRP"]
 #: Tags of words before a noun that belong to its name.
 WITHIN = ["JJ", "JJR", "JJS", "CD", "VBN", "VBG", *tagging.NOUNS]
-SHIFT, REDUCE, LEFT, RIGHT = range(4)
+MOVES = SHIFT, REDUCE, LEFT, RIGHT = tuple(range(4))
 
 Sentence = list[tuple[str, str, int]]
 
@@ -125,13 +126,22 @@ class Averaged:
 CLOSED = {w: t for t, own in tagging.LEXICON.items() for w in reversed(own.split())}
 
 
-def word_features(words: list[str], i: int) -> list[str]:
-    """What the tagger sees of a word without other tags."""
-    kind = lambda j: CLOSED.get(words[j].lower(), "s" if words[j][-1:] == "s" else "ed" if words[j].endswith("ed") else "ly" if words[j].endswith("ly") else "o") if 0 <= j < len(words) else "-"
-    w, low = words[i], words[i].lower()
-    before, after = words[i - 1].lower() if i else "^", words[i + 1].lower() if i + 1 < len(words) else "$"
-    shape = "digit" if w[0].isdigit() else "upper" if w[0].isupper() and i else "first" if w[0].isupper() else "lower"
-    return ["b", f"w={low}", f"1={low[-1:]}", f"2={low[-2:]}", f"3={low[-3:]}", f"p={before}", f"n={after}", f"n2={after[-2:]}", f"s={shape}", f"s={shape} p={before}", f"k={kind(i)}", f"kp={kind(i - 1)}", f"kn={kind(i + 1)}", f"kk={kind(i - 1)}|{kind(i)}", f"kkk={kind(i - 1)}|{kind(i)}|{kind(i + 1)}", f"k2={kind(i - 2)}|{kind(i - 1)}|{kind(i)}", f"ks={kind(i)}|{shape}"]
+def kind_of(low: str) -> str:
+    return CLOSED.get(low) or ("s" if low[-1:] == "s" else "ed" if low.endswith("ed") else "ly" if low.endswith("ly") else "o")
+
+
+def word_features(words: list[str]) -> list[list[str]]:
+    """What the tagger sees of each word without other tags."""
+    lows = ["^", *(w.lower() for w in words), "$"]
+    kinds = ["-", "-", *map(kind_of, lows[1:-1]), "-"]
+    out = []
+    for i, w in enumerate(words):
+        before, low, after = lows[i : i + 3]
+        k2, k1, k0, k3 = kinds[i : i + 4]
+        shape = "digit" if w[0].isdigit() else "upper" if w[0].isupper() and i else "first" if w[0].isupper() else "lower"
+        own = ["b", f"w={low}", f"1={low[-1:]}", f"2={low[-2:]}", f"3={low[-3:]}", f"p={before}", f"n={after}", f"n2={after[-2:]}", f"s={shape}", f"s={shape} p={before}"]
+        out.append([*own, f"k={k0}", f"kp={k1}", f"kn={k3}", f"kk={k1}|{k0}", f"kkk={k1}|{k0}|{k3}", f"k2={k2}|{k1}|{k0}", f"ks={k0}|{shape}"])
+    return out
 
 
 def scored(weights: dict[str, dict], features: list[str], labels: list) -> list[float]:
@@ -142,24 +152,37 @@ def scored(weights: dict[str, dict], features: list[str], labels: list) -> list[
     return [out[label] for label in labels]
 
 
-def viterbi(weights: dict[str, dict], words: list[str], tags: list[str]) -> list[str]:
-    """The best path of tags; the first of equals."""
-    if not words:
-        return []
-    step = [scored(weights, [f"t={a}"], tags) for a in tags]
-    best = [a + b for a, b in zip(scored(weights, word_features(words, 0), tags), scored(weights, ["t=^"], tags), strict=True)]
-    back = []
-    for i in range(1, len(words)):
-        own = scored(weights, word_features(words, i), tags)
-        came = [max(range(len(tags)), key=lambda a, k=k: best[a] + step[a][k]) for k in range(len(tags))]
-        best = [best[came[k]] + step[came[k]][k] + own[k] for k in range(len(tags))]
-        back.append(came)
-    at = max(range(len(tags)), key=best.__getitem__)
-    path = [at]
-    for came in reversed(back):
-        at = came[at]
-        path.append(at)
-    return [tags[k] for k in reversed(path)]
+class Tables:
+    """A tagger's weights as vectors over the tags: one for each feature, and the step from tag to tag."""
+
+    def __init__(self, weights: dict[str, dict], tags: list[str]) -> None:
+        self.tags = tags
+        self.of = {f: np.array([own.get(t, 0.0) for t in tags]) for f, own in weights.items()}
+        none = np.zeros(len(tags))
+        self.step = np.stack([self.of.get(f"t={t}", none) for t in tags])
+        self.first = self.of.get("t=^", none)
+
+    def path(self, words: list[str]) -> list[str]:
+        """The best path of tags, by Viterbi; the first of equals."""
+        if not words:
+            return []
+        marks = np.zeros((len(words), len(self.tags)))
+        for row, features in zip(marks, word_features(words), strict=True):
+            for f in features:
+                if f in self.of:
+                    row += self.of[f]
+        best, back = marks[0] + self.first, []
+        for own in marks[1:]:
+            every = best[:, None] + self.step
+            came = every.argmax(0)
+            best = every[came, np.arange(len(best))] + own
+            back.append(came)
+        at = int(best.argmax())
+        found = [at]
+        for came in reversed(back):
+            at = int(came[at])
+            found.append(at)
+        return [self.tags[k] for k in reversed(found)]
 
 
 def state_features(words: list[str], tags: list[str], stack: list[int], at: int, heads: list[int], kids: dict[int, list[int]]) -> list[str]:
@@ -223,19 +246,18 @@ def attach(weights: dict[str, dict], words: list[str], tags: list[str]) -> list[
     stack, at, heads, kids = [0], 1, [-1] * (n + 2), {}
     while at <= n:
         able = moves(stack, at, n, heads)
-        marks = scored(weights, state_features(words, tags, stack, at, heads, kids), [SHIFT, REDUCE, LEFT, RIGHT])
-        at = apply(max(able, key=lambda m: marks[m]), stack, at, heads, kids)
+        marks = scored(weights, state_features(words, tags, stack, at, heads, kids), MOVES) if len(able) > 1 else None
+        at = apply(max(able, key=marks.__getitem__) if marks else able[0], stack, at, heads, kids)
     return [max(h, 0) for h in heads[1 : n + 1]]
 
 
 @dataclass(frozen=True)
 class Model:
-    tags: list[str]
-    tagger: dict[str, dict]
+    tagger: Tables
     parser: dict[str, dict]
 
     def tag(self, words: list[str]) -> list[str]:
-        return viterbi(self.tagger, words, self.tags)
+        return self.tagger.path(words)
 
     def heads(self, words: list[str], tags: list[str]) -> list[int]:
         return attach(self.parser, words, tags)
@@ -251,11 +273,12 @@ def train(own: list[Sentence] | None = None, rounds: int = 10, seed: int = 5) ->
         for s in own:
             words, gold = [w for w, _, _ in s], [t for _, t, _ in s]
             tagger.steps += 1
-            found = viterbi(tagger.current(), words, tags)
+            found = Tables(tagger.current(), tags).path(words)
             if found != gold:
+                seen = word_features(words)
                 for path, amount in ((gold, 1.0), (found, -1.0)):
                     for i, t in enumerate(path):
-                        tagger.add([*word_features(words, i), f"t={path[i - 1] if i else '^'}"], t, amount)
+                        tagger.add([*seen[i], f"t={path[i - 1] if i else '^'}"], t, amount)
             trees = [0, *(h for _, _, h in s), -2]
             stack, at, heads, kids = [0], 1, [-1] * (len(s) + 2), {}
             while at <= len(s):
@@ -268,7 +291,7 @@ def train(own: list[Sentence] | None = None, rounds: int = 10, seed: int = 5) ->
                     parser.add(features, want, 1.0)
                     parser.add(features, best, -1.0)
                 at = apply(want, stack, at, heads, kids)
-    return Model(tags, tagger.mean(), parser.mean())
+    return Model(Tables(tagger.mean(), tags), parser.mean())
 
 
 def parse(phrases: DataFrame, model: Model | None = None, column: str = "phrase", name: str = "parsed") -> DataFrame:

@@ -71,7 +71,8 @@ def model_search(spark, sf_dir):
 @entry()
 def parsed_triples(spark, sf_dir):
     """Relations between the nouns of a verb, by the trained parser, over all phrases."""
-    parsed = parsing.parse(tr.phrases_of(docs(spark, sf_dir, "doc_id", "text")).select("doc_id", "phrase"))
+    phrases = tr.phrases_of(docs(spark, sf_dir, "doc_id", "text")).select("doc_id", "phrase")
+    parsed = parsing.parse(phrases.repartition(spark.sparkContext.defaultParallelism * 2))  # far more work than reading: files of a few rows too
     found = parsed.select("doc_id", F.explode(parsing.svo(F.col("parsed"))).alias("t")).select("doc_id", "t.*")
     return found.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
