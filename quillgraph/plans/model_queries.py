@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, clusters, explain, kge, kge_blocks, metrics, parsing, quota, sampling, search, topics
+from ..operators import classify, clusters, explain, kge, kge_blocks, metrics, parsing, quota, sampling, search, similar, topics
 from ..operators import triples as tr
 from ..operators import vocabulary as vo
 from ..session import cut
@@ -68,6 +68,14 @@ def model_search(spark, sf_dir):
     return search.search(_judged(spark, sf_dir), "doc_id", search.draws(space, 3), parallel=3)
 
 
+@entry("""with e as (select label, vec_id, embedding::double[] as v from embeddings), p as (select a.label, a.vec_id, b.vec_id as other, round(list_cosine_similarity(a.v, b.v), 9) as s from e a join e b on a.label = b.label and a.vec_id <> b.vec_id)
+select label, vec_id, other, round(s, 6) as similarity, row_number() over (partition by label, vec_id order by s desc, other) as place from p qualify place <= 5""")
+def similar_terms(spark, sf_dir):
+    """The five most similar vectors of each in its label."""
+    found = similar.within(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"), ["label"], 5, "vec_id", "embedding")
+    return found.select("label", F.col("key").alias("vec_id"), "other", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
+
+
 @entry()
 def parsed_triples(spark, sf_dir):
     """Relations between the nouns of a verb, by the trained parser, over all phrases."""
