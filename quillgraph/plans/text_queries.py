@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, sets, tagging, text
+from ..operators import linking
 from ..operators import triples as tr
 from ..operators import vocabulary as vo
 from ..session import stored
@@ -304,3 +305,25 @@ def relations(spark, sf_dir):
     return valid_triples(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("n_subjects"), F.count_distinct("object").alias("n_objects"))
 
 
+
+
+_WORDS_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+#: Every benchmark item is named by its first one to four words; longer names and larger ids weigh more.
+_NAMES_SQL = f"""nm as (select item_id, w[1:1 + item_id % 4] as w from (select item_id, {_WORDS_SQL.format("text")} as w from benchmark) where len(w) > 0),
+nb as (select array_to_string(w, ' ') as name, len(w) as size, arg_max(item_id, (len(w), item_id)) as item from nm where item_id % 7 > 0 group by w)"""
+
+
+@entry(f"""with recursive {_NAMES_SQL}, dw as (select doc_id, {_WORDS_SQL.format("text")} as w from documents where text is not null),
+ps as (select doc_id, w, unnest(range(len(w))) as place from dw),
+hit as (select doc_id, place, max(size) as size, arg_max(name, size) as name, arg_max(item, size) as item from ps join (select distinct size from nb) z on place + z.size <= len(w) join nb using (size) where array_to_string(w[place + 1:place + size], ' ') = name group by doc_id, place),
+nx as (select h.*, (select min(k.place) from hit k where k.doc_id = h.doc_id and k.place >= h.place + h.size) as after from hit h),
+g as (select * from nx where place = (select min(k.place) from hit k where k.doc_id = nx.doc_id) union all select nx.* from g join nx on nx.doc_id = g.doc_id and nx.place = g.after)
+select name, 'item:' || item as uri, count(*) as n, count(distinct doc_id) as n_docs, sum(place)::bigint as places from g group by all""")
+def entity_links(spark, sf_dir):
+    """Names of one to four words found in all texts, the longest match at each place."""
+    own = linking.words(F.col("text"))
+    items = table(spark, sf_dir, "benchmark", "item_id", "text").where(F.size(own) > 0)
+    name = F.array_join(F.slice(own, F.lit(1), (1 + F.col("item_id") % 4).cast("int")), " ")
+    names = items.select(name.alias("name"), F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("uri"), F.when(F.col("item_id") % 7 > 0, 1.0).otherwise(0.1).alias("confidence"), F.col("item_id").alias("support"))
+    found = linking.link(docs(spark, sf_dir, "doc_id", "text"), names, least_confidence=0.5)
+    return found.groupBy("name", "uri").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.sum("place").alias("places"))
