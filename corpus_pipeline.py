@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import bpe_stream, decontaminate, lang_rank, near_dedup, pii_crf
+from quillgraph.llm.common import BATCH_ROWS
 from quillgraph.session import forget_stored, stored, stored_so_far
 
 STAGES = [
@@ -29,9 +30,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over documents. Once a stage's result is written, what it was made from is deleted."""
-    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), stored_so_far()
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
-        forget_stored(spark, mark, but=1)
+    """All stages, one after the other, over documents. Once a stage's result is written, what it was made from is deleted;
+    the session's batch size, which stages set where it is unset, is as before at the end."""
+    docs, mark, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), stored_so_far(), spark.conf.get(BATCH_ROWS, None)
+    try:
+        for _, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir))
+            forget_stored(spark, mark, but=1)
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH_ROWS)
+        else:
+            spark.conf.set(BATCH_ROWS, own)
     return docs

@@ -12,7 +12,7 @@ URL = r"https?://\S+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Contractions and what they stand for, in this order.
 CONTRACTIONS = [("'s", " is"), ("n't", " not"), ("'ll", " will"), ("'m", " am"), ("can not", "cannot")]
-#: Modal verbs that a normalised predicate leaves out, and forms of be and have.
+#: Modal verbs that a normalised predicate leaves out, and forms of be and have. "should" and "shouldn't" are two entries on purpose.
 MODALS = ["can", "cannot", "can't", "could", "couldn't", "couldnt", "dare", "may", "might", "must", "need", "ought", "shall", "should", "shouldn't", "shouldnt", "will", "would"]
 AUXILIARIES = ["am", "is", "are", "was", "were", "be", "been", "being", "has", "have", "had", "having"]
 
