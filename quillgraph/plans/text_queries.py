@@ -314,10 +314,12 @@ nb as (select array_to_string(w, ' ') as name, len(w) as size, arg_max(item_id,
 
 
 @entry(f"""with recursive {_NAMES_SQL}, dw as (select doc_id, {_WORDS_SQL.format("text")} as w from documents where text is not null),
-ps as (select doc_id, w, unnest(range(len(w))) as place from dw),
-hit as (select doc_id, place, max(size) as size, arg_max(name, size) as name, arg_max(item, size) as item from ps join (select distinct size from nb) z on place + z.size <= len(w) join nb using (size) where array_to_string(w[place + 1:place + size], ' ') = name group by doc_id, place),
-nx as (select h.*, (select min(k.place) from hit k where k.doc_id = h.doc_id and k.place >= h.place + h.size) as after from hit h),
-g as (select * from nx where place = (select min(k.place) from hit k where k.doc_id = nx.doc_id) union all select nx.* from g join nx on nx.doc_id = g.doc_id and nx.place = g.after)
+ps as (select doc_id, unnest(w) as w, unnest(range(len(w))) as place from dw),
+ld as (select doc_id, place, w, lead(w, 1) over o as w1, lead(w, 2) over o as w2, lead(w, 3) over o as w3 from ps window o as (partition by doc_id order by place)),
+ng as (select doc_id, place, 1 as size, w as name from ld union all select doc_id, place, 2, w || ' ' || w1 from ld union all select doc_id, place, 3, w || ' ' || w1 || ' ' || w2 from ld union all select doc_id, place, 4, w || ' ' || w1 || ' ' || w2 || ' ' || w3 from ld),
+hit as (select doc_id, place, max(size) as size, arg_max(name, size) as name, arg_max(item, size) as item from ng join nb using (size, name) group by doc_id, place),
+nx as (select h.*, k.place as after from hit h asof left join hit k on k.doc_id = h.doc_id and h.place + h.size <= k.place),
+g as (select * from (select * from nx qualify place = min(place) over (partition by doc_id)) union all select nx.* from g join nx on nx.doc_id = g.doc_id and nx.place = g.after)
 select name, 'item:' || item as uri, count(*) as n, count(distinct doc_id) as n_docs, sum(place)::bigint as places from g group by all""")
 def entity_links(spark, sf_dir):
     """Names of one to four words found in all texts, the longest match at each place."""
