@@ -17,12 +17,12 @@ def cosine_matrix(vectors: np.ndarray) -> np.ndarray:
     return unit @ unit.T
 
 
-def ward(points: np.ndarray) -> np.ndarray:
-    """Linkage rows (left, right, height, size) by the Lance-Williams recurrence; the first least distance merges."""
+def ward(points: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Linkage rows (left, right, height, size) by the Lance-Williams recurrence; the first least distance merges. size: points that a point stands for (one each)."""
     n = len(points)
-    d = ((points[:, None] - points[None]) ** 2).sum(-1)
+    size, name, alive = np.ones(n) if size is None else np.array(size, float), np.arange(n), np.ones(n, bool)
+    d = np.stack([((points - p) ** 2).sum(-1) for p in points]) * (2 * size[:, None] * size[None] / (size[:, None] + size[None]))
     np.fill_diagonal(d, np.inf)
-    size, name, alive = np.ones(n), np.arange(n), np.ones(n, bool)
     out = np.zeros((max(n - 1, 0), 4))
     for step in range(n - 1):
         i, j = divmod(int(d.argmin()), n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, clusters, explain, kge, kge_blocks, metrics, parsing, quota, sampling, search, similar, topics
+from ..operators import classify, cluster_rounds, clusters, explain, kge, kge_blocks, metrics, parsing, quota, sampling, search, similar, topics
 from ..operators import triples as tr
 from ..operators import vocabulary as vo
 from ..session import cut
@@ -105,23 +105,23 @@ def kge_train(spark, sf_dir):
     return kge_blocks.train_all(_graph(spark, sf_dir), kge.configurations(dims=(8,), epochs=5)).results
 
 
-def _clustered(spark, sf_dir, method):
-    """Vectors of a label stand for the vocabulary of a topic, all of them; clusters.MOST_TERMS bounds one topic."""
+def _vocabularies(spark, sf_dir):
+    """Vectors of a label stand for the vocabulary of a topic, all of them."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
-    named = e.select(F.col("label").cast("string").alias("topic"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("term"), F.col("embedding").alias("vec"))
-    return clusters.cluster_terms(named, method)
+    return e.select(F.col("label").cast("string").alias("topic"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("term"), F.col("embedding").alias("vec"))
 
 
 @entry()
 def clusters_hierarchical(spark, sf_dir):
-    return _clustered(spark, sf_dir, "hierarchical")
+    return cluster_rounds.cluster_terms(_vocabularies(spark, sf_dir))
 
 
 @entry()
 def clusters_spectral(spark, sf_dir):
-    return _clustered(spark, sf_dir, "spectral")
+    """clusters.MOST_TERMS bounds one topic."""
+    return clusters.cluster_terms(_vocabularies(spark, sf_dir), "spectral")
 
 
 @entry()
 def explanations(spark, sf_dir):
-    return explain.explanations(_clustered(spark, sf_dir, "hierarchical"))
+    return explain.explanations(clusters_hierarchical(spark, sf_dir))
