@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, metrics, sampling
+from ..operators import graph, metrics, patterns, sampling
 from ..operators import vocabulary as vo
 from ..session import stored
 from .common import entry, table
@@ -252,6 +254,64 @@ def ontology_hierarchy(spark, sf_dir):
     return graph.ancestors(nations.union(regions).union(customers))
 
 
+_TRIPLES = """g as (select 'n' || n_nationkey as s, 'rdfs:subClassOf' as p, 'r' || n_regionkey as o from nation union all select 'r' || r_regionkey, 'rdfs:subClassOf', 'world' from region
+union all select 'n' || n_nationkey, 'rdf:type', 'owl:Class' from nation union all select 'r' || r_regionkey, 'rdf:type', 'owl:Class' from region
+union all select 'n' || n_nationkey, 'rdfs:label', n_name from nation union all select 'r' || r_regionkey, 'rdfs:label', r_name from region
+union all select 'c' || c_custkey, 'rdf:type', 'n' || c_nationkey from customer union all select 'c' || c_custkey, 'rdfs:label', c_name from customer union all select 'c' || c_custkey, 'tpch:segment', c_mktsegment from customer
+union all select 's' || s_suppkey, 'tpch:seat', 'n' || s_nationkey from supplier union all select 's' || s_suppkey, 'rdfs:label', s_name from supplier
+union all select 'o' || o_orderkey, 'tpch:orderedBy', 'c' || o_custkey from orders union all select 'o' || o_orderkey, 'tpch:' || lower(replace(o_orderpriority, ' ', '')), o_orderstatus from orders where o_orderpriority like '1%'
+union all values ('tpch:segment', 'rdfs:range', 'word'), ('tpch:segment', 'rdfs:comment', 'what a customer buys for'), ('tpch:seat', 'rdfs:domain', 'supplier'), ('rdfs:subClassOf', 'rdfs:label', 'kind of'))"""
+
+
+def _triples(spark, sf_dir):
+    """The tables as triples."""
+
+    def of(name, key, kind, p, o):
+        rows = table(spark, sf_dir, name, *dict.fromkeys([key, *([o] if isinstance(o, str) else o[1:])]))
+        o = F.col(o) if isinstance(o, str) else o[0]
+        return rows.select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("s"), F.lit(p).alias("p"), o.alias("o"))
+
+    node = lambda kind, c: (F.concat(F.lit(kind), F.col(c).cast("string")), c)
+    fixed = lambda x: (F.lit(x),)
+    urgent = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").where("o_orderpriority like '1%'")
+    parts = [
+        of("nation", "n_nationkey", "n", "rdfs:subClassOf", node("r", "n_regionkey")), of("region", "r_regionkey", "r", "rdfs:subClassOf", fixed("world")),
+        of("nation", "n_nationkey", "n", "rdf:type", fixed("owl:Class")), of("region", "r_regionkey", "r", "rdf:type", fixed("owl:Class")),
+        of("nation", "n_nationkey", "n", "rdfs:label", "n_name"), of("region", "r_regionkey", "r", "rdfs:label", "r_name"),
+        of("customer", "c_custkey", "c", "rdf:type", node("n", "c_nationkey")), of("customer", "c_custkey", "c", "rdfs:label", "c_name"), of("customer", "c_custkey", "c", "tpch:segment", "c_mktsegment"),
+        of("supplier", "s_suppkey", "s", "tpch:seat", node("n", "s_nationkey")), of("supplier", "s_suppkey", "s", "rdfs:label", "s_name"),
+        of("orders", "o_orderkey", "o", "tpch:orderedBy", node("c", "o_custkey")),
+        urgent.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("s"), F.concat(F.lit("tpch:"), F.lower(F.replace("o_orderpriority", F.lit(" "), F.lit("")))).alias("p"), F.col("o_orderstatus").alias("o")),
+        spark.createDataFrame([("tpch:segment", "rdfs:range", "word"), ("tpch:segment", "rdfs:comment", "what a customer buys for"), ("tpch:seat", "rdfs:domain", "supplier"), ("rdfs:subClassOf", "rdfs:label", "kind of")], "s string, p string, o string"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@entry(f"""with {_TRIPLES}, u as (select s, o as status from g where p = 'tpch:1-urgent')
+select w.o as region, x.o as segment, u.status, count(*) as n, count(distinct a.o) as customers from g a join g t on t.s = a.o and t.p = 'rdf:type' join g w on w.s = t.o and w.p = 'rdfs:subClassOf'
+join g x on x.s = a.o and x.p = 'tpch:segment' left join u on u.s = a.s where a.p = 'tpch:orderedBy' group by all""")
+def graph_patterns(spark, sf_dir):
+    """Orders of customers of nations of regions, urgent or not."""
+    patterns_of_order = [("?order", "tpch:orderedBy", "?customer"), ("?customer", "rdf:type", "?nation"), ("?nation", "rdfs:subClassOf", "?region"), ("?customer", "tpch:segment", "?segment")]
+    found = patterns.match(_triples(spark, sf_dir), patterns_of_order, [[("?order", "tpch:1-urgent", "?status")]])
+    return found.groupBy("region", "segment", "status").agg(F.count("*").alias("n"), F.count_distinct("customer").alias("customers"))
+
+
+@entry(f"""with {_TRIPLES}, t as (select lower(n_name) as term from nation union select r_name from region union select c_name from customer union select 'nowhere'),
+c as (select term, min(s) as concept from t join g on p = 'rdfs:label' and lower(o) = lower(term) group by term),
+e as (select c.*, p, o from c join g on s = concept), f as (
+select term, concept, 'type' as kind, null as property, o as value, lower(replace(o, ':', ' ')) as normalised, null as comment, null as label, null as range, null as domain from e where p = 'rdf:type'
+union all select term, concept, 'narrower', null, b.s, null, null, null, null, null from c join g b on b.p = 'rdfs:subClassOf' and b.o = concept join g k on k.s = b.s and k.p = 'rdf:type' and k.o = 'owl:Class'
+union all select term, concept, 'broader', null, o, null, null, null, null, null from e where p = 'rdfs:subClassOf'
+union all select term, concept, 'relation', e.p, e.o, null, d1.o, d2.o, d3.o, d4.o from e left join g d1 on d1.s = e.p and d1.p = 'rdfs:comment' left join g d2 on d2.s = e.p and d2.p = 'rdfs:label'
+left join g d3 on d3.s = e.p and d3.p = 'rdfs:range' left join g d4 on d4.s = e.p and d4.p = 'rdfs:domain' where e.p not in ('rdf:type', 'rdfs:label'))
+select term, 0 as ontology, concept, kind, property, value, normalised, comment, label, range, domain from f""")
+def term_semantics(spark, sf_dir):
+    """Concepts by label whatever its case, their types, the classes above and below, and other properties."""
+    names = [table(spark, sf_dir, "nation", "n_name").select(F.lower("n_name").alias("term")), table(spark, sf_dir, "region", "r_name"), table(spark, sf_dir, "customer", "c_name")]
+    return patterns.semantics(reduce(DataFrame.union, names), [_triples(spark, sf_dir)])
+
+
 # --- embeddings ------------------------------------------------------------------------------------------------
 
 _PAIRS = "pa as (select a.vec_id as i, b.vec_id as j, a.label, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as sim from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id)"
