@@ -21,8 +21,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..session import stored
+from ..session import stored, stored_twice
 from .clusters import MOST_CLUSTERS, MOST_TERMS, ward
 
 #: Rows of a block; clusters of a topic that one task merges to the end.
@@ -40,6 +42,12 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
 
 
+def in_arrow(both, f, fields: str) -> DataFrame:
+    """f(left, right) for each pair of groups; a group without left rows, which has no columns either, gives none."""
+    none = to_arrow_schema(StructType.fromDDL(fields)).empty_table()
+    return both.applyInArrow(lambda left, right: f(left, right) if len(left) else none, fields)
+
+
 def dealt(rows: DataFrame, key: str) -> DataFrame:
     """rows with part and parts: blocks of about BLOCK rows within a topic."""
     parts = rows.groupBy("topic").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -82,18 +90,17 @@ def points(terms: DataFrame) -> DataFrame:
 
     def turn(left: pa.Table, right: pa.Table) -> pa.Table:
         u = _matrix(left["u"])
-        if len(u):
-            values, vectors = np.linalg.eigh(_matrix(right["gram"]).reshape(u.shape[1], u.shape[1]))
-            u = u @ (vectors * np.sqrt(np.maximum(values, 0)))
+        values, vectors = np.linalg.eigh(_matrix(right["gram"]).reshape(u.shape[1], u.shape[1]))
+        u = u @ (vectors * np.sqrt(np.maximum(values, 0)))
         return pa.table({"topic": left["topic"], "term": left["term"], "at": pa.array(u.tolist(), pa.list_(pa.float64()))})
 
     by = ["topic", "part"]
-    return own.groupBy(*by).cogroup(spread.groupBy(*by)).applyInArrow(turn, "topic string, term string, at array<double>")
+    return in_arrow(own.groupBy(*by).cogroup(spread.groupBy(*by)), turn, "topic string, term string, at array<double>")
 
 
 def _nearest(left: pa.Table, right: pa.Table) -> pa.Table:
     out: dict[str, list] = {"topic": [], "id": [], "other": [], "d": []}
-    if len(left) and len(right):
+    if len(right):
         ids, others = left["id"].to_pylist(), right["id"].to_pylist()
         order = sorted(range(len(others)), key=others.__getitem__)  # equal distances go by term
         others = [others[i] for i in order]
@@ -121,8 +128,7 @@ def _nearest(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def merges(clusters: DataFrame) -> DataFrame:
     """topic, lo, hi, d: the pairs that are each other's nearest; where rounding leaves a topic none, its least pair."""
-    own = stored(dealt(clusters, "id"))
-    found = _pairs(own, own).applyInArrow(_nearest, "topic string, id string, other string, d double")
+    found = in_arrow(_pairs(*stored_twice(dealt(clusters, "id"))), _nearest, "topic string, id string, other string, d double")
     best = found.groupBy("topic", "id").agg(F.min(F.struct("d", "other")).alias("m"))
     pairs = best.groupBy("topic", F.least("id", "m.other").alias("lo"), F.greatest("id", "m.other").alias("hi")).agg(F.count("*").alias("n"), F.min("m.d").alias("d"))
     pairs = stored(pairs)
@@ -210,7 +216,7 @@ def _levels(fine: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
 def _distances(left: pa.Table, right: pa.Table) -> pa.Table:
     """The sum of distances of each left row to the right rows of each of the finest clusters."""
     sums = np.zeros((len(left), 0))
-    if len(left) and len(right):
+    if len(right):
         a, b, number = _matrix(left["at"]), _matrix(right["at"]), right["number"].to_numpy()
         member = (number[:, None] == np.arange(right["kinds"][0].as_py())).astype(float)
         place = {t: i for i, t in enumerate(right["term"].to_pylist())}
@@ -243,11 +249,8 @@ def _scores(sums: np.ndarray, number: np.ndarray, counts: np.ndarray, maps: list
 
 
 def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
-    labels, values = np.zeros((0, 0), np.int32), np.zeros((0, 0))
-    if len(left):
-        level = right.to_pylist()[0]
-        kinds = len(level["roots"])
-        labels, values = _scores(_matrix(left["sums"])[:, :kinds], left["number"].to_numpy(), np.array(level["counts"], float), level["maps"])
+    level = right.to_pylist()[0]
+    labels, values = _scores(_matrix(left["sums"])[:, : len(level["roots"])], left["number"].to_numpy(), np.array(level["counts"], float), level["maps"])
     return pa.table({"topic": left["topic"], "term": left["term"], "labels": pa.array(labels.tolist(), pa.list_(pa.int32())), "values": pa.array(values.tolist(), pa.list_(pa.float64()))})
 
 
@@ -267,13 +270,13 @@ def cluster_terms(terms: DataFrame) -> DataFrame:
     levels = fine.groupBy("topic").cogroup(cuts.groupBy("topic")).applyInPandas(lambda f, c: _levels(f, c), "topic string, roots array<string>, counts array<long>, maps array<array<int>>, heights array<double>, parts int")
     levels = stored(levels)
     numbered = levels.select("topic", F.size("roots").alias("kinds"), F.posexplode("roots").alias("number", "root"))
-    rows = stored(dealt(at.join(roots, ["topic", "term"]).join(numbered, ["topic", "root"]).drop("root"), "term"))
-    sums = _pairs(rows, rows).applyInArrow(_distances, "topic string, term string, number int, part int, sums array<double>")
+    rows = stored_twice(dealt(at.join(roots, ["topic", "term"]).join(numbered, ["topic", "root"]).drop("root"), "term"))
+    sums = in_arrow(_pairs(*rows), _distances, "topic string, term string, number int, part int, sums array<double>")
     total = sums.groupBy("topic", "term", "number", "part").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(MOST_CLUSTERS - 1)]).alias("sums"))
     total = total.withColumn("sums", F.transform("sums", lambda x: F.coalesce(x, F.lit(0.0))))
     spread = levels.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     by = ["topic", "part"]
-    scored = stored(total.groupBy(*by).cogroup(spread.groupBy(*by)).applyInArrow(_scored, "topic string, term string, labels array<int>, values array<double>"))
+    scored = stored(in_arrow(total.groupBy(*by).cogroup(spread.groupBy(*by)), _scored, "topic string, term string, labels array<int>, values array<double>"))
     return chosen(scored, levels)
 
 

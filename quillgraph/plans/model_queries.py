@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, cluster_rounds, clusters, explain, kge, kge_blocks, metrics, parsing, quota, sampling, search, similar, topics
+from ..operators import classify, cluster_rounds, explain, kge, kge_blocks, metrics, parsing, quota, sampling, search, similar, spectral_rounds, topics
 from ..operators import triples as tr
 from ..operators import vocabulary as vo
 from ..session import cut
@@ -118,8 +118,7 @@ def clusters_hierarchical(spark, sf_dir):
 
 @entry()
 def clusters_spectral(spark, sf_dir):
-    """clusters.MOST_TERMS bounds one topic."""
-    return clusters.cluster_terms(_vocabularies(spark, sf_dir), "spectral")
+    return spectral_rounds.cluster_terms(_vocabularies(spark, sf_dir))
 
 
 @entry()

@@ -57,6 +57,12 @@ def stored(df: DataFrame, *parts: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_twice(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df written once and read by two plans: a cogroup of a table with itself loses columns where both sides have the same ones."""
+    first = stored(df)
+    return first, df.sparkSession.read.schema(df.schema).parquet(_written[-1])
+
+
 def stored_so_far() -> int:
     """How many tables stored() has written in this process: a mark for forget_stored()."""
     return len(_written)
