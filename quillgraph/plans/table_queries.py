@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, metrics, patterns, sampling
 from ..operators import vocabulary as vo
 from ..session import stored
+from ..sources import sparse
 from .common import entry, table
 from .text_queries import VALID, docs, valid_triples
 
@@ -312,6 +313,21 @@ def term_semantics(spark, sf_dir):
     return patterns.semantics(reduce(DataFrame.union, names), [_triples(spark, sf_dir)])
 
 
+@entry("""with r as (select l_orderkey as doc_id, l_partkey as term, sum(l_quantity)::double as weight from lineitem group by all),
+b as (select doc_id, count(*) filter (weight <> 0) as feature_count, array_to_string((list(term order by weight desc, term))[1:50], ',') as top_terms from r group by doc_id),
+c as (select o_orderkey as doc_id, case o_orderstatus when 'O' then 'open' when 'F' then 'finished' when 'P' then 'in part' end as category from orders
+union select o_orderkey, 'urgent' from orders where o_orderstatus || left(o_orderpriority, 1) like 'O1%'),
+d as (select c.* from c semi join b using (doc_id) where category is not null qualify row_number() over (partition by category order by md5('42-' || doc_id), doc_id) <= 300)
+select 'order_' || doc_id as doc_id, category, 'order_document_' || doc_id as text, doc_id as original_index, feature_count, top_terms from d join b using (doc_id)""")
+def sparse_corpus(spark, sf_dir):
+    """A draw of orders as rows of parts, by the beginnings of their codes (the draw is the feature)."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").cast("long").alias("term")).agg(F.sum("l_quantity").cast("double").alias("weight"))
+    rows = lines.groupBy("doc_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))  # an order has seven lines at most
+    codes = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").select(F.concat("o_orderstatus", F.left("o_orderpriority", F.lit(1))).alias("code"), F.col("o_orderkey").alias("doc_id"))
+    found = sparse.corpus(rows, codes, {"O": "open", "F": "finished", "P": "in part", "O1": "urgent"}, 300, label="order")
+    return found.withColumn("top_terms", F.concat_ws(",", F.col("top_terms").cast("array<string>")))
+
+
 # --- embeddings ------------------------------------------------------------------------------------------------
 
 _PAIRS = "pa as (select a.vec_id as i, b.vec_id as j, a.label, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as sim from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id)"
