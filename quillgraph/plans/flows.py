@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import classify, clusters, explain, graph, kge, kge_blocks, metrics, parsing, sampling, search, topics
+from ..operators import classify, cluster_rounds, explain, graph, kge, kge_blocks, metrics, parsing, sampling, search, spectral_rounds, topics
 from ..operators import quota as quota_fill
 from ..operators import triples as tr
 from ..operators import vocabulary as vo
@@ -139,7 +139,7 @@ def classify_by_auc(triples: DataFrame, configs: list[dict], alpha: float | None
 
 def explain_topics(terms: DataFrame, method: str = "hierarchical", providers: Providers = DEFAULT) -> dict[str, DataFrame]:
     """terms (topic, term, vec) to clusters, explanations and their summary; topics of fewer than three terms are one cluster."""
-    found = cut(clusters.cluster_terms(terms, method))
+    found = cut((cluster_rounds if method == "hierarchical" else spectral_rounds).cluster_terms(terms))
     told = explain.explanations(found, providers.explanation)
     return {"clusters": found, "explanations": told, "summary": explain.summary(told)}
 
