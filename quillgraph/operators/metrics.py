@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pair_blocks
+
 CLIP = 1e-15
 
 
@@ -90,10 +92,6 @@ def wilcoxon(a: list[float], b: list[float]) -> tuple[float, float] | None:
     return t, min(1.0, 2 * sum(s <= t for s in sums) / len(sums))
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """0 if a vector has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -101,19 +99,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-#: Rows a silhouette takes; it compares all pairs, so it is for the vocabulary of a topic and not for a corpus.
-SILHOUETTE_ROWS = 20_000
-
-
 def silhouette(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """key, cluster, Euclidean silhouette; 0 for a cluster's only member. One side is a broadcast of a checked size."""
-    rows = df.select(key, vector, cluster)
-    if rows.count() > SILHOUETTE_ROWS:
-        raise ValueError(f"more than {SILHOUETTE_ROWS} rows; cluster within topics, or use ClusteringEvaluator")
-    other = rows.select(F.col(key).alias("k2"), F.col(vector).alias("v2"), F.col(cluster).alias("c2"))
-    pairs = rows.join(F.broadcast(other), F.col(key) != F.col("k2"), "left")
-    means = pairs.groupBy(key, cluster, "c2").agg(F.avg(distance(F.col(vector), F.col("v2"))).alias("d"))
-    sides = means.groupBy(key, cluster).agg(F.min(F.when(F.col("c2") == F.col(cluster), F.col("d"))).alias("a"), F.min(F.when(F.col("c2") != F.col(cluster), F.col("d"))).alias("b"))
+    """key, cluster, Euclidean silhouette; 0 for a cluster's only member and for rows without vector or cluster. key and cluster are whole numbers; all pairs, by blocks."""
+    means = pair_blocks.mean_distances(df, key, vector, cluster).withColumnRenamed("key", key)
+    both = df.select(key, cluster, F.col(vector).isNotNull().alias("has")).distinct().join(means, key, "left")
+    here = F.when(F.col("has"), F.col("d"))
+    sides = both.groupBy(key, cluster).agg(F.min(F.when(F.col("c2") == F.col(cluster), here)).alias("a"), F.min(F.when(F.col("c2") != F.col(cluster), here)).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return sides.select(key, cluster, value.alias("silhouette"))
 
