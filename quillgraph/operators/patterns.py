@@ -14,12 +14,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 Pattern = tuple[str, str, str]
 
 #: Predicates of the record of a term.
 TYPE, LABEL, SUBCLASS, CLASS = "rdf:type", "rdfs:label", "rdfs:subClassOf", "owl:Class"
 NOT_RELATIONS = [TYPE, LABEL]
 ABOUT_PROPERTY = ["comment", "label", "range", "domain"]
+#: Rows about properties that are broadcast.
+FEW_SAID = 10_000
 
 
 def variables(patterns: Sequence[Pattern]) -> list[str]:
@@ -85,6 +89,19 @@ def concepts(terms: DataFrame, ontologies: Sequence[DataFrame]) -> DataFrame:
     return own.join(first, F.lower("term") == F.col("name")).select("term", "c.ontology", "c.concept")
 
 
+def _with_said(relations: DataFrame, g: DataFrame) -> DataFrame:
+    """relations with what g says of their properties.
+
+    A property stands in any number of relations, so a shuffle by it would put all of them into one task. What is said of the properties that g uses
+    is counted first and broadcast if it is short; where it isn't, there are many properties to spread over tasks.
+    """
+    used = stored(g.where("p is not null").select(F.col("p").alias("property")).distinct())
+    for name in ABOUT_PROPERTY:
+        said = stored(match(g, [("?property", f"rdfs:{name}", f"?{name}")], distinct=True).join(used, "property", "left_semi"))
+        relations = relations.join(F.broadcast(said) if said.count() <= FEW_SAID else said, "property", "left")
+    return relations
+
+
 def semantics(terms: DataFrame, ontologies: Sequence[DataFrame], remote_types: DataFrame | None = None) -> DataFrame:
     """What is known of each term, a row a fact: term, ontology, concept, kind, property, value, normalised, comment, label, range, domain.
 
@@ -103,10 +120,9 @@ def semantics(terms: DataFrame, ontologies: Sequence[DataFrame], remote_types: D
             facts.append(mine.join(types, "concept", "left_anti").join(other, "concept").withColumn("kind", F.lit("type")))
         facts.append(mine.join(match(g, [("?value", TYPE, CLASS), ("?value", SUBCLASS, "?concept")]), "concept").withColumn("kind", F.lit("narrower")))
         facts.append(mine.join(match(g, [("?concept", SUBCLASS, "?value")]), "concept").withColumn("kind", F.lit("broader")))
-        said = [[("?property", f"rdfs:{name}", f"?{name}")] for name in ABOUT_PROPERTY]
         known = ", ".join(f"'{p}'" for p in NOT_RELATIONS)
-        relations = match(g, [("?concept", "?property", "?value")], said, where=f"property not in ({known})", distinct=True)
-        facts.append(mine.join(relations, "concept").withColumn("kind", F.lit("relation")))
+        relations = mine.join(match(g, [("?concept", "?property", "?value")], where=f"property not in ({known})", distinct=True), "concept")
+        facts.append(_with_said(relations, g).withColumn("kind", F.lit("relation")))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
     words = F.trim(F.lower(F.regexp_replace("value", r"[:/#_\s]+", " ")))
     return out.select("term", "ontology", "concept", "kind", "property", "value", F.when(F.col("kind") == "type", words).alias("normalised"), *ABOUT_PROPERTY)
