@@ -63,3 +63,15 @@ def test_provider(spark):
     own = flows.Providers(tagger=flows.trained_tags, parser=flows.trained_parser)  # the validator goes by the tagger's tags
     assert ("company", "builds", "electric cars") in {tuple(t) for t in flows.triples_only(docs, own).first().triples}
     assert flows.triples_only(docs, flows.Providers(tagger=flows.trained_tags)).count() == 1
+
+
+def test_many_phrases_at_a_time_read_as_one_by_one():
+    model = parsing.train(rounds=3)
+    lines = [" ".join(w for w, _, _ in s) for s in parsing.sentences()] + ["", "...", "Zorb", "7 of 9", "^ $", "the Flarn quibbled " * 40, "Él no vio nada — nunca más"]
+    words = [parsing.WORD.findall(x) for x in lines]
+    reader = parsing.Reader(model.tagger, model.parser)
+    reader.MOST = 20  # memories are emptied on the way
+    for low in range(0, len(words), 16):
+        for own, path in zip(words[low : low + 16], reader.tags(words[low : low + 16]), strict=True):
+            tags = [model.tagger.tags[t] for t in path]
+            assert tags == model.tag(own) and reader.heads(own, tags) == model.heads(own, tags)
