@@ -1,7 +1,9 @@
 """Steps whose work must grow no faster than the input."""
 
+from pyspark.sql import functions as F
+
 from quillgraph.functions import sets
-from quillgraph.operators import patterns
+from quillgraph.operators import patterns, topics, vocabulary
 from quillgraph.operators import triples as tr
 from quillgraph.plans import table_queries, text_queries
 
@@ -56,3 +58,21 @@ def test_accepted_triples_are_compared_by_words_made_once(spark):
     found = tr.accept_sequence(df, "g")
     assert sorted(r.triple_seq for r in found.collect()) == want
     assert "regexp" not in found.select("triple_seq")._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[0]
+
+
+def test_topic_models_of_a_grid_are_judged_in_one_pass(spark, monkeypatch):
+    calls, umass = [], topics.umass
+    monkeypatch.setattr(topics, "umass", lambda *args: calls.append(1) or umass(*args))
+    tokens = spark.createDataFrame([(d, f"w{(d * 7 + i) % 9}") for d in range(30) for i in range(6)], "doc_id long, token string")
+    features, words = topics.bag_of_words(tokens)
+    assert "token" not in "".join(x for x in plan(features).split("\n") if "hashpartitioning" in x)
+    configs = topics.grid([2, 3], ["symmetric"], [0.5])
+    found = {r.grid_id: r.coherence for r in topics.search(features, words, tokens, configs, 2).collect()}
+    assert len(calls) == 1 and set(found) == {0, 1} and all(v is not None for v in found.values())
+    one = topics.top_terms(topics.fit(features, configs[1], 2), words, 10)
+    assert abs(umass(one, tokens).agg(F.avg("coherence")).first()[0] - found[1]) < 1e-9
+
+
+def test_tokens_bring_their_topic(spark):
+    docs = spark.createDataFrame([(1, "s", "Cats sit.")], "doc_id long, source string, text string")
+    assert {tuple(r) for r in vocabulary.content_tokens(docs, "source").collect()} == {(1, "s", "cats"), (1, "s", "sit")}
