@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored, stored_twice
 from . import clusters
-from .cluster_rounds import _matrix, _pairs, chosen, dealt, grams, in_arrow, points, units
+from .cluster_rounds import _lists, _matrix, _pairs, chosen, dealt, distance_sums, grams, in_arrow, points, units
 from .clusters import MOST_CLUSTERS, MOST_TERMS
 from .ranking import ranked
 
@@ -29,10 +29,6 @@ FINISH = MOST_TERMS
 _BY = ["topic", "part"]
 
 
-def _numbers(values: np.ndarray) -> pa.Array:
-    return pa.array(values.tolist(), pa.list_(pa.float64()))
-
-
 def _spread(own: DataFrame, rows: DataFrame) -> DataFrame:
     """rows, one a topic, for each block of own."""
     parts = own.groupBy("topic").agg(F.max("parts").alias("parts"))
@@ -54,7 +50,7 @@ def embedded(terms: DataFrame) -> DataFrame:
     def normal(left: pa.Table, right: pa.Table) -> pa.Table:
         w = _matrix(left["w"])
         n, root = _scaled(w, _matrix(right["gram"]).reshape(w.shape[1], -1))
-        return left.drop(["w"]).append_column("v", _numbers(n)).append_column("root", pa.array(root.tolist(), pa.float64()))
+        return left.drop(["w"]).append_column("v", _lists(n)).append_column("root", pa.array(root.tolist(), pa.float64()))
 
     scaled = in_arrow(own.groupBy(*_BY).cogroup(_spread(own, first).groupBy(*_BY)), normal, "topic string, term string, parts int, part int, v array<double>, root double")
     scaled = stored(scaled)
@@ -66,7 +62,7 @@ def embedded(terms: DataFrame) -> DataFrame:
         lead = lead[values[lead] > 1e-10]
         rows = v @ (vectors[:, lead] / np.sqrt(values[lead])) * left["root"].to_numpy()[:, None]
         rows = np.pad(rows, ((0, 0), (0, MOST_CLUSTERS - 1 - rows.shape[1])))
-        return left.drop(["v", "root"]).append_column("rows", _numbers(rows))
+        return left.drop(["v", "root"]).append_column("rows", _lists(rows))
 
     out = in_arrow(scaled.groupBy(*_BY).cogroup(_spread(own, grams(scaled, "v")).groupBy(*_BY)), turn, "topic string, term string, parts int, part int, rows array<double>")
     return out.join(own.groupBy("topic").agg(F.count("*").alias("n")), "topic")
@@ -174,24 +170,14 @@ def _assigned(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _distances_by_level(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums of distances to the clusters of every k, one k after the other, and how many rows these clusters have in the right block."""
-    a = _matrix(left["at"])
+    """Sums of distances to the clusters of every k, one k after the other, and how many rows these clusters have in the right blocks."""
     levels = len(left["labels"][0])
-    sums = np.zeros((len(a), levels * (levels + 3)))
+    sums = np.zeros((len(left), levels * (levels + 3)))
     if len(right):
-        b = _matrix(right["at"])
-        labels = np.array(right["labels"].to_pylist(), int).reshape(len(b), -1)
-        member = np.concatenate([(labels[:, i, None] == np.arange(i + 2)).astype(float) for i in range(labels.shape[1])] or [np.zeros((len(b), 0))], 1)
-        place = {t: i for i, t in enumerate(right["term"].to_pylist())}
-        own, parts = left["term"].to_pylist(), []
-        for low in range(0, len(a), 256):
-            d = np.sqrt(np.maximum((a[low : low + 256] ** 2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a[low : low + 256] @ b.T, 0))
-            for i, t in enumerate(own[low : low + 256]):
-                if t in place:
-                    d[i, place[t]] = 0
-            parts.append(np.concatenate([d @ member, np.repeat(member.sum(0)[None], len(d), 0)], 1))
-        sums = np.concatenate(parts)
-    return pa.table({"topic": left["topic"], "term": left["term"], "labels": left["labels"], "sums": _numbers(sums)})
+        labels = np.array(right["labels"].to_pylist(), int).reshape(len(right), -1)
+        member = np.concatenate([(labels[:, i, None] == np.arange(i + 2)).astype(float) for i in range(labels.shape[1])] or [np.zeros((len(right), 0))], 1)
+        sums = np.concatenate([distance_sums(left, right, member), np.repeat(member.sum(0)[None], len(left), 0)], 1)
+    return pa.table({"topic": left["topic"], "term": left["term"], "labels": left["labels"], "sums": _lists(sums)})
 
 
 def _scored(own: pa.Table) -> pa.Table:
@@ -216,7 +202,7 @@ def _scored(own: pa.Table) -> pa.Table:
             b = means.min(1)
             good = (c[every, mine] > 1) & np.isfinite(b)
             values[:, i] = np.where(good, (np.where(good, b, 0) - a) / np.maximum(np.maximum(a, np.where(good, b, 0)), 1e-300), 0)
-    return pa.table({"topic": rows["topic"], "term": rows["term"], "labels": rows["labels"], "values": _numbers(values)})
+    return pa.table({"topic": rows["topic"], "term": rows["term"], "labels": rows["labels"], "values": _lists(values)})
 
 
 def cluster_terms(terms: DataFrame) -> DataFrame:
