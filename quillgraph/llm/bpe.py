@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
+import numpy as np
 import regex
 
 from .common import ON_RELEASE
@@ -168,17 +169,26 @@ class Merges:
         if known is None:
             if len(self._valid) > 200_000:
                 self._valid.clear()
-            joins, ends, known = self._joins.get, self._spine(right, 0), True
-            for part, used in self._spine(left, 1):
-                ranks = joins(part)
-                if ranks:
-                    for other, limit in ends:
-                        rank = ranks.get(other, NEVER)
-                        if rank < used and rank <= limit and rank < NEVER:
-                            known = False
-            self._valid[left, right] = known
+            known = self._valid[left, right] = self.judged(left, right)
         return known
 
+    def judged(self, left: str, right: str) -> bool:
+        """valid(), without its table."""
+        joins, ends = self._joins.get, self._spine(right, 0)
+        for part, used in self._spine(left, 1):
+            ranks = joins(part)
+            if ranks:
+                for other, limit in ends:
+                    rank = ranks.get(other, NEVER)
+                    if rank < used and rank <= limit and rank < NEVER:
+                        return False
+        return True
+
+    @cached_property
+    def trie(self) -> Trie:
+        """The bytes of the tokens that the merges make."""
+        return Trie({i: self.raw[i] for i in map(self.ids.__getitem__, self.whole) if i in self.raw})
+
     def last_tokens(self, symbols: str) -> tuple[list[str], list[int]]:
         """For each prefix, without the end of word: its last token and its token count; entry 0 is the empty prefix."""
         last, count = [""], [0]
@@ -233,23 +243,134 @@ class Bounded(dict):
         if found is None:
             found = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= self.size:
-                self.older = dict(self)
-                self.clear()
-            self[key] = found
+            self.keep(key, found)
         return found
 
+    def keep(self, key: str, found) -> None:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+
+
+class Trie:
+    """Byte strings with their numbers, in arrays, so that many places of a text are read at a time."""
+
+    def __init__(self, strings: dict[int, bytes]) -> None:
+        edges: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for number, string in strings.items():
+            node = 0
+            for byte in string:
+                node = edges.setdefault(node << 8 | byte, len(edges) + 1)
+            ends[node] = number
+        self.number = np.full(len(edges) + 1, -1, np.int32)
+        self.number[list(ends)] = list(ends.values())
+        keys = np.array(list(edges), np.int64)
+        order = np.argsort(keys)
+        self.edges, self.next = keys[order], np.array(list(edges.values()), np.int32)[order]
+        self.size = np.zeros(max(strings) + 1, np.int64)
+        self.size[list(strings)] = [len(x) for x in strings.values()]
+
+    def starting(self, raw: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
+        """For lengths from 1 on, the number of the string that begins at each byte and has that length, or -1. left: bytes up to the end of its word."""
+        at, node, size = np.arange(len(raw)), np.zeros(len(raw), np.int64), 0
+        while len(at):
+            edge = node << 8 | raw[at + size]
+            where = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            found = self.edges[where] == edge
+            at, node, size = at[found], self.next[where[found]].astype(np.int64), size + 1
+            out = np.full(len(raw), -1, np.int32)
+            out[at] = self.number[node]
+            yield out
+            on = left[at] > size
+            at, node = at[on], node[on]
+
 
 class Transducer:
     """Encodes one pretoken that arrives in pieces. A token is emitted once the text that has been read behind it is as
     long as the merge list's lookahead, for then nothing that follows can change it; the window that is kept is bounded
     by that and the longest token."""
 
+    #: Bytes of a pretoken that is encoded along with others, and pretokens that are at a time.
+    SHORT, TOGETHER = 32, 8192
+    #: Bits of the number of judged pairs that are kept.
+    PAIR_BITS = 20
+
     def __init__(self, merges: Merges) -> None:
         self.m, self.step = merges, merges.lookahead + merges.longest
         self.fed = 0
         self.reset()
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Whole pretokens, as encode() does them one by one: short ones take each of their bytes together."""
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        out: list[list[int] | None] = [None if 0 < len(r) <= self.SHORT else self.encode(t) for t, r in zip(texts, raws, strict=True)]
+        short = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: -len(raws[i]))
+        self.fed += len(short)
+        for low in range(0, len(short), self.TOGETHER):
+            some = short[low : low + self.TOGETHER]
+            for i, ids in zip(some, self._together([raws[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
+
+    def _together(self, raws: list[bytes]) -> list[list[int]]:
+        """Tokens of some pretokens, longest first. Byte by byte, each prefix gets its last token: the longest one that may follow the one before."""
+        sizes = np.array([len(r) for r in raws])
+        start = np.cumsum(sizes) - sizes
+        raw = np.frombuffer(b"".join(raws), np.uint8)
+        trie = self.m.trie
+        tokens = list(trie.starting(raw, np.repeat(start + sizes, sizes) - np.arange(len(raw))))
+        last = np.full(len(raw), -1, np.int32)
+        for end in range(1, len(raws[0]) + 1):
+            open_ = start[: np.searchsorted(-sizes, -end, "right")]  # words of that many bytes that have no last token yet
+            for size in range(min(end, len(tokens)), 0, -1):
+                token = tokens[size - 1][open_ + (end - size)]
+                ok = token >= 0
+                if size < end:
+                    there = np.flatnonzero(ok)
+                    ok[there] = self._may_follow(last[open_[there] + (end - size - 1)], token[there])
+                last[open_[ok] + (end - 1)] = token[ok]
+                open_ = open_[~ok]
+            if len(open_):
+                raise ValueError(f"no token ends at byte {end}")
+        out: list[list[int]] = [[] for _ in raws]
+        word, end = np.arange(len(raws)), start + sizes
+        while len(word):
+            token = last[end - 1]
+            for i, t in zip(word.tolist(), token.tolist(), strict=True):
+                out[i].append(t)
+            end = end - trie.size[token]
+            on = end > start[word]
+            word, end = word[on], end[on]
+        for ids in out:
+            ids.reverse()
+        return out
+
+    @cached_property
+    def _judged(self) -> np.ndarray:
+        """Judged pairs, each at a place of its own that later ones may take: the pair's number, and in its last bit whether it is valid."""
+        return np.full(1 << self.PAIR_BITS, -1, np.int64)
+
+    @cached_property
+    def _names(self) -> dict[int, str]:
+        return {i: t for t, i in self.m.ids.items()}
+
+    def _may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merges.valid() of many pairs of tokens."""
+        pair = left.astype(np.int64) << 31 | right
+        place = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.PAIR_BITS)).astype(np.int64)
+        found = self._judged[place]
+        new = np.flatnonzero(found >> 1 != pair)
+        if len(new):
+            fresh, first, back = np.unique(pair[new], return_index=True, return_inverse=True)
+            names, judged = self._names, self.m.judged
+            known = np.array([judged(names[p >> 31], names[p & 0x7FFFFFFF]) for p in fresh.tolist()], np.int64)
+            own = fresh << 1 | known
+            self._judged[place[new[first]]] = own
+            found[new] = own[back]
+        return (found & 1).astype(bool)
+
     def reset(self) -> None:
         self.window, self.last = "", [""]
 

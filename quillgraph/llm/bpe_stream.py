@@ -39,6 +39,8 @@ PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{b
 CUT = re.compile(rf"(?<=[^{bpe.WS}]) (?=[^{bpe.WS}])")
 #: Pieces of any text: of white space before others, only the last character goes with them.
 PIECE = re.compile(rf"[{bpe.WS}]?[^{bpe.WS}]+|[{bpe.WS}]+(?![^{bpe.WS}])")
+#: Below this, letters are the same in all versions of Unicode, so words of them need no pattern.
+LATIN = "\u0250"
 #: Without these, every blank and line end begins a piece.
 LONG_SPACE = re.compile(rf"[{bpe.WS}]{{3}}|[{bpe.WS}]{{2}}\Z")
 
@@ -56,29 +58,38 @@ class Pieces(bpe.Bounded):
 
     def make(self, piece: str) -> str:
         found = PRETOKEN.findall(piece)
-        if len(found) > 1:
-            ids = ",".join([self[p] for p in found])
-            decoded = "".join([self.odd.get(p, p) for p in found])
-        else:
-            own = self.stream.encode(piece)
-            ids = ",".join(map(str, own))
-            decoded = self.decoder.feed(own) + self.decoder.finish()
-        if decoded != piece:
+        return self.joined(piece, found) if len(found) > 1 else self.encoded(piece, self.stream.encode(piece))
+
+    def joined(self, piece: str, pretokens: list[str]) -> str:
+        ids = ",".join([self[p] for p in pretokens])
+        if self.odd and (decoded := "".join([self.odd.get(p, p) for p in pretokens])) != piece:
             self.odd[piece] = decoded
         return ids
 
+    def encoded(self, pretoken: str, own: list[int]) -> str:
+        decoded = self.decoder.feed(own) + self.decoder.finish()
+        if decoded != pretoken:
+            self.odd[pretoken] = decoded
+        return ",".join(map(str, own))
+
     def fill(self, pieces: set[str]) -> None:
-        """Puts pieces into the table, in order, so that the transducer reads what neighbours share once."""
-        fresh = set()
-        for piece in pieces - self.keys():
-            if len(piece) > PIECE_SIZE:
-                continue
-            if piece in self.older or piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():
+        """Puts pieces into the table; the transducer reads new pretokens together."""
+        older, fresh, several = self.older, set(), []
+        for piece in [p for p in pieces if p not in self and len(p) <= PIECE_SIZE]:
+            if piece in older:
+                self[piece]
+            elif (piece[1:] if piece[0] == " " else piece).isalpha() and max(piece) < LATIN:
                 fresh.add(piece)
             else:
-                fresh.update(PRETOKEN.findall(piece))
-        for piece in sorted(fresh):
-            self[piece]
+                found = PRETOKEN.findall(piece)
+                if len(found) > 1:
+                    several.append((piece, found))
+                fresh.update([p for p in found if p not in self and p not in older])
+        new = list(fresh)
+        for piece, own in zip(new, self.stream.encode_all(new), strict=True):
+            self.keep(piece, self.encoded(piece, own))
+        for piece, found in several:
+            self.keep(piece, self.joined(piece, found))
 
     def split(self, text: str) -> Iterator[list[str] | str]:
         """Pieces of a text, segment by segment, and the special strings between them."""

@@ -160,3 +160,28 @@ def test_results_replace_columns_of_their_name_and_empty_tables_stay_empty(spark
     assert [(r.n_tokens, len(r.ids), r.IDS2) for r in got.collect()] == [(2, 2, "x")]
     assert bpe_stream.stage(spark, docs.limit(0), "").count() == 0
     assert token_prefix.count(docs.limit(0), WORD).count() == 0
+
+
+def test_new_pretokens_are_encoded_together(all_texts, monkeypatch):
+    m = bpe.load(BYTE)
+    found = sorted({p for t in all_texts[:400] for p in bpe_stream.PRETOKEN.findall(t or "")} | {"\ud800", " \udfff!", "é" * 16, "é" * 17, "x" * 33})
+    one = bpe.Transducer(m)
+    want = [one.encode(p) for p in found]
+    together = bpe.Transducer(m)
+    together.TOGETHER = 500
+    assert together.encode_all(found) == want and together.fed == len(found)
+    together.PAIR_BITS = 4  # judged pairs soon lose their places
+    del together._judged
+    assert together.encode_all(found[::-1]) == want[::-1] and together.encode_all([]) == []
+    monkeypatch.setattr(bpe.Transducer, "encode", None)  # short ones must not go one by one
+    of = bpe_stream.Pieces(BYTE)
+    of.fill({p for p in found if len(p) <= 8})
+    assert [of[p] for p in found if len(p) <= 8] == [",".join(map(str, ids)) for p, ids in zip(found, want, strict=True) if len(p) <= 8]
+
+
+def test_random_merges_together(tmp_path):
+    rng = random.Random(13)
+    for _ in range(20):
+        m = small_merges(tmp_path, rng)
+        some = ["".join(rng.choices("abc", k=rng.randrange(1, 33))) for _ in range(80)]
+        assert bpe.Transducer(m).encode_all(some) == [[m.ids[x] for x in m.merged(list(s))] for s in some]
