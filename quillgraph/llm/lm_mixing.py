@@ -11,8 +11,8 @@ Base: word counts are summed over the training rows. Words with a share of at le
 at most HOT_WORDS of them, are broadcast; others are joined to their counts by word and added up by document.
 
 Defined cases: null text is empty and has one token, its end; without training rows N and V are 0 and the base score
-of each token is log10(0.1 / 0.1) = 0; repeated rows each give a row; base sums of rare words go by a 64-bit hash of
-doc_id and text.
+of each token is log10(0.1 / 0.1) = 0; repeated rows each give a row; base sums go by a 64-bit hash of doc_id and
+text.
 """
 
 from __future__ import annotations
@@ -189,9 +189,15 @@ def _asked(raws: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of the texts by part, in order within it, and where each part begins."""
     pieces = [mixing.counted(keys)[0] for keys, _ in mixing.windows(raws)]
     keys = mixing.counted(np.concatenate(pieces))[0] if len(pieces) > 1 else pieces[0]
-    part = mixing.part_of(keys, parts)
+    order, part = _by_part(keys, parts)
+    return keys[order], np.searchsorted(part, np.arange(parts + 1))
+
+
+def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ordered grams stand once they are dealt into parts, and the parts, in order."""
+    part = mixing.part_of(keys, parts).astype(np.min_scalar_type(parts))  # small numbers are sorted by their bytes
     order = np.argsort(part, kind="stable")
-    return keys[order], np.searchsorted(part[order], np.arange(parts + 1))
+    return order, part[order]
 
 
 def gram_costs(keyed: DataFrame, model: Model) -> DataFrame:
@@ -226,17 +232,23 @@ def gram_costs(keyed: DataFrame, model: Model) -> DataFrame:
 
 
 def _text_bits(raws: list[bytes], costs: pa.Table, parts: int) -> np.ndarray:
-    """Bits of each text with its end."""
-    keys, _ = _asked(raws, parts)
+    """Bits of each text with its end. Grams are sorted once, along with the numbers of their texts; what is kept of them until all distinct ones are known is small."""
+    pieces = []  # first text, distinct grams, how often each occurs, texts it occurs in
+    for low in range(0, len(raws), mixing.MOST_TEXTS):
+        for grams, owner in mixing.windows(raws[low : low + mixing.MOST_TEXTS]):
+            both = (grams << np.uint64(16)) | owner.astype(np.uint64)  # a gram has 48 bits
+            both.sort()
+            grams, owner = both >> np.uint64(16), both.astype(np.uint16)
+            first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            pieces.append((low, grams[first], np.diff(first, append=len(grams)), owner))
+    keys = mixing.counted(np.concatenate([p[1] for p in pieces]))[0]
     by_part = sorted(zip(costs.column("part").to_pylist(), costs.column("costs").to_pylist(), strict=True))
-    cost = np.frombuffer(b"".join(c for _, c in by_part), np.float32)
-    order = np.argsort(keys)
-    keys, cost = keys[order], cost[order]
+    cost = np.empty(len(keys), np.float32)
+    cost[_by_part(keys, parts)[0]] = np.frombuffer(b"".join(c for _, c in by_part), np.float32)
     out = np.zeros(len(raws))
-    for grams, owner in mixing.windows(raws):
-        both = np.argsort(grams)
-        grams, owner = grams[both], owner[both]
-        out += np.bincount(owner, cost[np.searchsorted(keys, grams)], len(raws))
+    for low, grams, times, owner in pieces:
+        own = np.bincount(owner, np.repeat(cost[np.searchsorted(keys, grams)], times))
+        out[low : low + len(own)] += own
     return out
 
 
@@ -263,48 +275,51 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", row.alias("row"), F.pmod(row, F.lit(packs)).alias("pack"))
 
     def measure(table: pa.Table, costs: pa.Table) -> pa.Table:
-        of = words.value.get
         raws = list(texts_as_bytes(table))
-        n, known, sums = [], [], []
-        for raw in raws:
-            own = space_words(raw)
-            own.append(END)
-            found = [v for v in map(of, own) if v is not None]
-            n.append(len(own))
-            known.append(len(found))
-            sums.append(math.fsum(found))
+        n = [len(space_words(raw, lower=False)) + 1 for raw in raws]
         bits = _text_bits(raws, costs, parts)
         return pa.table(
-            [table.column("doc_id"), table.column("row"), pa.array([len(r) for r in raws], pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(bits, pa.float64())],
-            names=["doc_id", "row", "n_bytes", "n_tokens", "known", "base", "bits"],
+            [table.column("doc_id"), table.column("row"), pa.array([len(r) for r in raws], pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.float64())],
+            names=["doc_id", "row", "n_bytes", "n_tokens", "bits"],
         )
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each batch, words that aren't hot and the rows that hold them, as often as they do."""
-        known = words.value
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each batch, words that aren't hot and the rows that hold them, as often as they do; and for each row what
+        its hot words add up to, under a blank and its number, which no word is and which deals rows evenly."""
+        of = words.value.get
         for batch in slices(batches, 4000):
             held: dict[bytes, list[int]] = {}
-            for row, raw in zip(batch.column("row").to_pylist(), texts_as_bytes(batch), strict=True):
+            rows, known, sums = batch.column("row").to_pylist(), [], []
+            for row, raw in zip(rows, texts_as_bytes(batch), strict=True):
                 own = space_words(raw)
                 own.append(END)
-                for w in own:
-                    if w not in known:
-                        held.setdefault(w, []).append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["word", "rows"])
+                values = list(map(of, own))
+                others = [w for w, v in zip(own, values, strict=True) if v is None]
+                for w in others:
+                    if w in held:
+                        held[w].append(row)
+                    else:
+                        held[w] = [row]
+                known.append(len(own) - len(others))
+                sums.append(math.fsum(filter(None, values)))
+            none = [None] * len(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*held, *(b" %d" % r for r in rows)], pa.binary()), pa.array([*held.values(), *([r] for r in rows)], pa.list_(pa.int64())), pa.array(none + known, pa.int64()), pa.array(none + sums, pa.float64())],
+                names=["word", "rows", "hot_known", "hot_base"],
+            )
 
     costs = gram_costs(keyed, model)  # with all columns, so that both groupings by pack share one shuffle
-    measured = keyed.groupBy("pack").cogroup(costs.groupBy("pack")).applyInArrow(measure, "doc_id long, row long, n_bytes long, n_tokens long, known long, base double, bits double")
-    measured = measured.groupBy("doc_id", "row").agg(*[F.first(c).alias(c) for c in ("n_bytes", "n_tokens", "known", "base", "bits")], F.count("*").alias("times"))
-    postings = keyed.select("row", "text").mapInArrow(rare, "word binary, rows array<long>")
+    measured = keyed.groupBy("pack").cogroup(costs.groupBy("pack")).applyInArrow(measure, "doc_id long, row long, n_bytes long, n_tokens long, bits double")
+    measured = measured.groupBy("doc_id", "row").agg(*[F.first(c).alias(c) for c in ("n_bytes", "n_tokens", "bits")], F.count("*").alias("times"))
+    postings = keyed.select("row", "text").mapInArrow(base, "word binary, rows array<long>, hot_known long, hot_base double")
     valued = postings.join(counts.where(F.col("n") < least), "word", "left").select(
-        F.explode("rows").alias("row"), (F.log10(F.coalesce("n", F.lit(0)) + 0.1) - below).alias("value"), F.col("n").isNotNull().cast("int").alias("is_known")
+        F.explode("rows").alias("row"), F.coalesce("hot_base", F.log10(F.coalesce("n", F.lit(0)) + 0.1) - below).alias("value"), F.coalesce("hot_known", F.col("n").isNotNull().cast("long")).alias("known")
     )
-    sums = valued.groupBy("row").agg(F.sum("value").alias("rare_base"), F.sum("is_known").alias("rare_known"))
+    sums = valued.groupBy("row").agg(F.sum("value").alias("base"), F.sum("known").alias("known"))
     out = measured.join(sums, "row", "left").withColumn("each", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    share = lambda c: F.coalesce(c, F.lit(0)) / F.col("times")  # noqa: E731  a repeated row's words were added up with each repetition
-    return out.select(
-        "doc_id", "n_tokens", (F.col("known") + share("rare_known")).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + share("rare_base")).alias("base_score"), (-F.col("bits") * math.log10(2)).alias("score"), (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+    return out.select(  # a repeated row's words were added up with each repetition
+        "doc_id", "n_tokens", (F.col("known") / F.col("times")).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("times")).alias("base_score"), (-F.col("bits") * math.log10(2)).alias("score"), (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 

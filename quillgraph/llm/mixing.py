@@ -30,6 +30,8 @@ LEVELS = (1, 4, 32)
 GATES = ORDERS * len(LEVELS)
 BUCKETS, REACH = 33, 8.0
 CELLS = GATES * 8 * BUCKETS
+#: The gate before the first one of each order.
+_BEFORE = np.arange(ORDERS, dtype=np.int8)[:, None] * np.int8(len(LEVELS)) - np.int8(1)
 _PRIOR = 0.4
 _LEAST = 2.0**-20
 
@@ -128,10 +130,8 @@ class Mixer:
         x = np.ones((ORDERS + 1, len(keys)), np.float32)
         np.clip(np.log((one + _PRIOR) / (zero + _PRIOR)), -REACH, REACH, out=x[:-1])
         total = zero + one
-        gate = np.zeros(len(keys), np.int64)
-        for order in range(ORDERS):
-            for i, least in enumerate(LEVELS):
-                gate = np.where(total[order] >= least, order * len(LEVELS) + i, gate)
+        level = sum((total >= least).view(np.int8) for least in LEVELS)
+        gate = ((level + _BEFORE) * (level > 0)).max(axis=0).astype(np.int64)  # of the longest context seen
         return x, gate
 
     def logit(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -146,8 +146,7 @@ class Mixer:
         for turn in range(8):
             x, gate = self.inputs(keys, turn, True)
             error = n * (bit_of(keys, turn) - 1 / (1 + np.exp(-self.logit(x, gate))))
-            slope = np.zeros_like(self.weights)
-            np.add.at(slope, gate, (error * x).T)
+            slope = np.stack([np.bincount(gate, row, GATES) for row in error * x], axis=1)
             mass = np.bincount(gate, n, GATES)[:, None]
             self.weights += rate * slope / np.maximum(mass, 1)
 

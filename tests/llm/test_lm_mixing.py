@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from quillgraph.llm import lm_mixing, mixing
 
@@ -108,3 +109,62 @@ def test_score_has_no_table_of_fixed_size(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SLOTS", 0)  # score must not depend on a table of slots
     got = {r.doc_id: r.score for r in lm_mixing.score(df, df).collect()}
     assert all(math.isclose(got[d], want[d], rel_tol=1e-5) for d in want)
+
+
+def _costs(raws, parts, value):
+    """Costs of the texts' distinct grams as parts answer, out of order."""
+    keys, bounds = lm_mixing._asked(raws, parts)
+    some = [p for p in range(parts) if bounds[p] < bounds[p + 1]][::-1]
+    return pa.table({"part": pa.array(some, pa.int32()), "costs": pa.array([value(keys[bounds[p] : bounds[p + 1]]).astype(np.float32).tobytes() for p in some], pa.binary())})
+
+
+def test_grams_of_a_pack_are_sorted_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    raws = [b"", *(bytes(rng.integers(97, 101, int(n), dtype=np.uint8)) for n in rng.integers(0, 400, 50)), b"", b"ab" * 700]
+    value = lambda keys: (keys % np.uint64(1009)).astype(np.float64)
+    want = [sum(value(k).sum() for k, _ in mixing.windows([r])) for r in raws]
+    costs = _costs(raws, 37, value)
+    assert np.allclose(lm_mixing._text_bits(raws, costs, 37), want)
+    monkeypatch.setattr(mixing, "MOST_TEXTS", 7)
+    monkeypatch.setattr(mixing.windows, "__defaults__", (512,))  # texts and packs in several pieces
+    sizes, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *rest, **more: sizes.append(len(a)) or argsort(a, *rest, **more))
+    assert np.allclose(lm_mixing._text_bits(raws, costs, 37), want)
+    assert max(sizes) <= len(lm_mixing._asked(raws, 37)[0])  # never all grams, only distinct ones
+
+
+def test_words_of_a_text_are_looked_up_once(spark, monkeypatch):
+    docs = [(1, "a b a"), (1, "a b a"), (2, None), (3, "c  c\n" * 5), (None, "A zz")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for hot in (1, 3, 500_000):  # no word, some and all words are broadcast
+        monkeypatch.setattr(lm_mixing, "HOT_WORDS", hot)
+        scored = lm_mixing.score(df, df.where("doc_id < 3"))
+        got = sorted(((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens) for r in scored.collect()))
+        assert got == [(0, 3, 2, 9), (1, 4, 4, 9), (1, 4, 4, 9), (2, 1, 1, 9), (3, 11, 1, 9)]
+        assert "hot_base" in scored._jdf.queryExecution().toString()
+
+
+def test_gates_and_slopes_match_a_plain_loop():
+    rng = np.random.default_rng(4)
+    n = 300
+    zero, one = rng.integers(0, 40, (2, mixing.ORDERS, n)).astype(np.float32) * (rng.random((2, mixing.ORDERS, n)) < 0.3)
+    keys, times = rng.integers(0, 1 << 48, n, dtype=np.uint64), rng.integers(1, 9, n).astype(float)
+    mixer = mixing.PartMixer(mixing.Mixer(np.empty(0), np.empty(0)).weights, None)
+    mixer.turns = [(zero, one)] * 8
+    want = np.zeros(n, int)
+    for order in range(mixing.ORDERS):
+        for i, least in enumerate(mixing.LEVELS):
+            want[(zero + one)[order] >= least] = order * len(mixing.LEVELS) + i
+    x, gate = mixer.inputs(keys, 0)
+    assert (gate == want).all()
+    weights = mixer.weights.copy()
+    for turn in range(8):
+        x, gate = mixer.inputs(keys, turn, True)
+        error = times * (mixing.bit_of(keys, turn) - 1 / (1 + np.exp(-(weights[gate] * x.T).sum(axis=1))))
+        slope, mass = np.zeros_like(weights), np.zeros(len(weights))
+        for j in range(n):
+            slope[gate[j]] += error[j] * x[:, j]
+            mass[gate[j]] += times[j]
+        weights += 0.05 * slope / np.maximum(mass, 1)[:, None]
+    mixer.learn(keys, times)
+    assert np.allclose(mixer.weights, weights)
