@@ -124,13 +124,13 @@ def test_grams_of_a_pack_are_sorted_once(monkeypatch):
     value = lambda keys: (keys % np.uint64(1009)).astype(np.float64)
     want = [sum(value(k).sum() for k, _ in mixing.windows([r])) for r in raws]
     costs = _costs(raws, 37, value)
+    distinct, sizes, argsort = len(lm_mixing._asked(raws, 37)[0]), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *rest, **more: sizes.append(len(a)) or argsort(a, *rest, **more))
     assert np.allclose(lm_mixing._text_bits(raws, costs, 37), want)
+    assert max(sizes) <= distinct < sum(map(len, raws)) // 2  # never all grams, only distinct ones
     monkeypatch.setattr(mixing, "MOST_TEXTS", 7)
     monkeypatch.setattr(mixing.windows, "__defaults__", (512,))  # texts and packs in several pieces
-    sizes, argsort = [], np.argsort
-    monkeypatch.setattr(np, "argsort", lambda a, *rest, **more: sizes.append(len(a)) or argsort(a, *rest, **more))
     assert np.allclose(lm_mixing._text_bits(raws, costs, 37), want)
-    assert max(sizes) <= len(lm_mixing._asked(raws, 37)[0])  # never all grams, only distinct ones
 
 
 def test_words_of_a_text_are_looked_up_once(spark, monkeypatch):
