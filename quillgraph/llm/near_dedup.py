@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, stored
+from ..session import forget_stored, shuffles_dropped, stored, stored_few, stored_so_far
 from . import minhash
 from .common import short_batches, slices, table, texts_as_bytes
 from .components import components
@@ -158,10 +158,10 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _full_sets(signed: DataFrame, signatures: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set) for the nodes: the text of one member of each class is shingled again."""
-    wanted = _bounded(cut(classes.join(nodes, "node").select("node", "print")))
-    chosen = _bounded(cut(signatures.join(wanted, "print").groupBy("node").agg(F.min("row").alias("row"))))
+def _full_sets(signed: DataFrame, signatures: DataFrame, classes: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, set) for the nodes, n at most: the text of one member of each class is shingled again."""
+    wanted = _bounded(stored_few(classes.join(nodes, "node").select("node", "print"), n))
+    chosen = _bounded(stored_few(signatures.join(wanted, "print").groupBy("node").agg(F.min("row").alias("row")), n))
     texts = signed.join(chosen, "row").groupBy("node").agg(F.first("text").alias("text"))  # one of repeated rows
     return stored(texts.mapInArrow(_sets, "node long, set binary"))
 
@@ -174,21 +174,30 @@ def _with_row(docs: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of_a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     of_b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    return cut(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
+    return stored(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs (doc_id, text)."""
+    """doc_id, n_shingles and component_id for each row of docs (doc_id, text), written; what it was made from is deleted."""
+    spark, mark = docs.sparkSession, stored_so_far()
+    with shuffles_dropped(spark):
+        found = stored(_found(spark, docs))
+        forget_stored(spark, mark, but=1)
+    return found
+
+
+def _found(spark: SparkSession, docs: DataFrame) -> DataFrame:
     signed = _with_row(docs.select("doc_id", "text"))
     signatures = stored(signed.mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary, row string"))
     full = signatures.where(F.col("print").isNotNull())
     held = full.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.xxhash64("print")).alias("p"), F.max(F.xxhash64("print")).alias("q"))
-    torn = _bounded(cut(held.where("p != q").select("doc_id")))  # ids of several classes: they link these
+    torn = _bounded(stored(held.where("p != q").select("doc_id")))  # ids of several classes: they link these
     classes = full.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = classes.join(torn.withColumn("is_torn", F.lit(True)), "doc_id", "left")
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("print"), F.lit(NAMELESS - 1))
     node = F.when(F.col("doc_id").isNull() | F.col("is_torn").isNotNull(), nameless).otherwise(F.col("doc_id"))
     classes = stored(classes.select("print", node.alias("node"), "bands", "sketch"))
+    n = classes.count()
     id_links = full.select("doc_id", "print").join(torn, "doc_id").join(classes.select("print", "node"), "print").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
     spread = classes.select("node", F.explode("bands").alias("band"))
@@ -197,23 +206,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = classes.select("node", "sketch")
     star = members.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     star = star.join(sketches.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
-    star = cut(star.select("a", "b", "sa", "sb").mapInArrow(_by_sketch, "a long, b long"))
+    star = stored(star.select("a", "b", "sa", "sb").mapInArrow(_by_sketch, "a long, b long"))
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    links = _confirmed(star, _full_sets(signed, signatures, classes, ends(star)))
-    labels = cut(components(links))
+    mark = stored_so_far()
+    labels = components(_confirmed(star, _full_sets(signed, signatures, classes, ends(star), n)))
+    forget_stored(spark, mark, but=1)
 
     placed = members.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
     parts = placed.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     mixed = stored(placed.join(parts, "band"))
     small = mixed.where(F.col("size") <= SMALL).join(sketches, "node").groupBy("band").agg(F.collect_list(F.struct("node", "label", "sketch")).alias("members"))
-    pairs = cut(small.select("members").mapInArrow(_small_buckets, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
-    large = cut(_large_blocks(mixed.where(F.col("size") > SMALL)))
+    pairs = stored(small.select("members").mapInArrow(_small_buckets, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
+    large = stored(_large_blocks(mixed.where(F.col("size") > SMALL)))
     wanted = ends(pairs).union(large.select("node")).distinct()
-    sets = _full_sets(signed, signatures, classes, wanted)
+    sets = _full_sets(signed, signatures, classes, wanted, n)
     blocks = large.join(sets, "node").groupBy("block").applyInPandas(_block, "a long, b long")
     more = _confirmed(pairs, sets).union(blocks).union(id_links)
     every = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
-    final = cut(components(every))
+    final = components(every)
     named = classes.select("print", "node").join(final, "node", "left").select("print", F.coalesce("label", "node").alias("component"))
     own = F.when(F.col("component") < NAMELESS, F.col("component"))
     return signatures.select("doc_id", "n_shingles", "print").join(named, "print", "left").select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(own).alias("component_id"))
@@ -222,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _large_blocks(mixed: DataFrame) -> DataFrame:
     """(block, second, node, label): each block pairs a chunk outside the bucket's main component with any chunk of the bucket."""
     other = (F.col("label") != F.col("main")).alias("other")
-    counted = _bounded(cut(mixed.groupBy("band", other).agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))))  # so that a bucket's nodes need not meet in one task
+    counted = _bounded(stored(mixed.groupBy("band", other).agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))))  # so that a bucket's nodes need not meet in one task
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")
     placed = mixed.select("band", "node", "label", other).join(counted, ["band", "other"]).select("band", "other", "node", "label", chunk)
     every = counted.select("band", "other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"))
@@ -247,10 +257,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their names, for the result is joined by doc_id alone.
     """
     short_batches(spark)
-    found = stored(near_duplicates(docs))
-    gone = cut(found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct())
+    mark, found = stored_so_far(), near_duplicates(docs)
+    with shuffles_dropped(spark):
+        gone = stored(found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct())
+        again = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"))
+    forget_stored(spark, mark, but=2)
     left = docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"))
     if again.isEmpty():
         return left
     few = _bounded(again)

@@ -1,8 +1,11 @@
 import random
+import time
 
 import numpy as np
 
 from quillgraph.llm import minhash, near_dedup
+from quillgraph.llm.components import components
+from quillgraph.session import DROP_SHUFFLES, checkpoint_folder
 
 
 def brute(rows):
@@ -84,6 +87,54 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
     assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 3, None]
 
 
+def files(spark, kind):
+    """Names of the shuffle blocks on this machine, or of the folders in the shared one."""
+    if kind == "shuffles":
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in (blocks.apply(i).name() for i in range(blocks.size())) if b.startswith("shuffle_")}
+    at = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_folder(spark))
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = set()
+    for top in (at, spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get())):
+        out |= {x.getPath().getName() for x in there.listStatus(top)}
+    return out
+
+
+def test_disk_is_given_back(spark, sf_dir):
+    """Only the result's own tables and no shuffle stay on disk, however many rounds there were."""
+    rows = corpus(40, 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, shuffles = files(spark, "shared"), files(spark, "shuffles")
+    left = near_dedup.near_duplicates(docs)
+    until = time.time() + 10
+    while files(spark, "shuffles") - shuffles and time.time() < until:
+        time.sleep(0.2)
+    assert not files(spark, "shuffles") - shuffles
+    assert len(files(spark, "shared") - before) == 1 and left.count() == len(rows)
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
+    before = files(spark, "shared")
+    near_dedup.stage(spark, docs, sf_dir)
+    assert len(files(spark, "shared") - before) == 2
+
+
+def test_stars_take_no_rounds_and_chains_some(spark):
+    """Edges that are stars already are handed on at once; other graphs get the least node reachable."""
+    rng = random.Random(4)
+    for name, edges in (("stars", [(10 * i + k, 10 * i) for i in range(40) for k in range(1, 6)]), ("chain", [(i + 1, i) for i in range(60)]), ("ring", [(i, (i + 1) % 9) for i in range(9)]), ("mixed", [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]), ("none", [])):
+        least = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in least:
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        spark.sparkContext.setJobGroup(f"components-{name}", name)
+        got = components(spark.createDataFrame(edges, "a long, b long"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{name}"))
+        assert {tuple(r) for r in got.collect()} == set(least.items())
+        assert got.count() == len(least)
+        assert name != "stars" or jobs <= 10
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_sketches_keep_pairs_at_the_threshold():
     rng = np.random.default_rng(3)
     lost = 0
