@@ -1,11 +1,12 @@
 """Steps whose work must grow no faster than the input."""
 
+from pyspark.ml.clustering import LDA
 from pyspark.sql import functions as F
 
 from quillgraph.functions import sets
 from quillgraph.operators import patterns, topics, vocabulary
 from quillgraph.operators import triples as tr
-from quillgraph.plans import table_queries, text_queries
+from quillgraph.plans import registry, table_queries, text_queries
 
 
 def plan(df) -> str:
@@ -76,3 +77,10 @@ def test_topic_models_of_a_grid_are_judged_in_one_pass(spark, monkeypatch):
 def test_tokens_bring_their_topic(spark):
     docs = spark.createDataFrame([(1, "s", "Cats sit.")], "doc_id long, source string, text string")
     assert {tuple(r) for r in vocabulary.content_tokens(docs, "source").collect()} == {(1, "s", "cats"), (1, "s", "sit")}
+
+
+def test_models_of_the_grid_take_whole_passes_over_all_documents(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(topics, "LDA", lambda **how: asked.append(how) or LDA(**how | {"maxIter": 1}))
+    registry.queries()["lda_grid"](spark, "/root/testdata/sf0.001")
+    assert len(asked) == 4 and all(how["subsamplingRate"] == 1.0 and how["maxIter"] == 50 for how in asked)
